@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from skein.llm import mixing
+from skein.llm import mixing, simhash
 
-QUERIES = {"op1_mix_sources": mixing.op1_mix_sources}
+QUERIES = {
+    "op1_mix_sources": mixing.op1_mix_sources,
+    "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+}
 ORACLE = {"op1_mix_sources": mixing.ORACLE_OP1}
