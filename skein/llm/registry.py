@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from skein.llm import mixing, simhash
+from skein.llm import automaton, mixing, simhash, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op4_decontaminate": automaton.op4_decontaminate,
+    "op9_url_filter": urls.op9_url_filter,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
-ORACLE = {"op1_mix_sources": mixing.ORACLE_OP1}
+ORACLE = {"op1_mix_sources": mixing.ORACLE_OP1, "op4_decontaminate": automaton.ORACLE_OP4, "op9_url_filter": urls.ORACLE_OP9}
