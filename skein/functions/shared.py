@@ -34,3 +34,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     The count stops after ``max_rows`` + 1 rows. Call it on a table that is cheap to read.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+#: Rows of whole texts that a Python worker gets at once.
+BATCH_ROWS = 256
+
+
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Lowers the session's rows per Arrow batch to ``rows``; texts can be long, and a batch is held whole by the JVM and by the worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
