@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.shared import checkpointed, table
+from skein.functions.shared import bound_batches, checkpointed, table
 
 #: ASCII letters and digits and everything beyond ASCII.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -199,6 +199,7 @@ def find_contamination(
     broadcasts one group; further groups take further passes, which add to the spans found so far, with
     a checkpoint between them. So the driver and a task hold one group at most.
     """
+    bound_batches(docs.sparkSession)
     out_names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"]
     kept = [c for c in docs.columns if c not in out_names]
     df = docs.select(*kept, F.array().cast("array<struct<start:int,stop:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))

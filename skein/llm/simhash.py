@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.shared import checkpointed, table
+from skein.functions.shared import bound_batches, checkpointed, table
 from skein.llm.components import connected_components
 
 SHINGLE = 3
@@ -59,6 +59,8 @@ def fingerprint(data: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, into: str = "_fp") -> DataFrame:
+    bound_batches(docs.sparkSession)
+
     @F.pandas_udf("long")
     def fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
