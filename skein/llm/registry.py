@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from skein.llm import automaton, classifier, matroska, mixing, simhash, urls
+from skein.llm import automaton, classifier, html_text, matroska, mixing, simhash, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_media_columns": matroska.op2_media_columns,
     "op3_quality_score": classifier.op3_quality_score,
     "op4_decontaminate": automaton.op4_decontaminate,
+    "op7_html_text": html_text.op7_html_text,
     "op9_url_filter": urls.op9_url_filter,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
