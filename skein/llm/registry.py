@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from skein.llm import automaton, classifier, html_text, matroska, mixing, simhash, urls
+from skein.llm import automaton, classifier, html_text, matroska, mixing, sharding, simhash, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_media_columns": matroska.op2_media_columns,
     "op3_quality_score": classifier.op3_quality_score,
     "op4_decontaminate": automaton.op4_decontaminate,
+    "op5_shard": sharding.op5_shard,
     "op7_html_text": html_text.op7_html_text,
     "op9_url_filter": urls.op9_url_filter,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
-ORACLE = {"op1_mix_sources": mixing.ORACLE_OP1, "op4_decontaminate": automaton.ORACLE_OP4, "op9_url_filter": urls.ORACLE_OP9}
+ORACLE = {"op1_mix_sources": mixing.ORACLE_OP1, "op4_decontaminate": automaton.ORACLE_OP4, "op5_shard": sharding.ORACLE_OP5, "op9_url_filter": urls.ORACLE_OP9}
