@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import automaton, classifier, html_text, matroska, mixing, sharding, simhash, urls
+from skein.llm import automaton, classifier, html_text, lines, matroska, mixing, sharding, simhash, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -11,7 +11,8 @@ QUERIES = {
     "op4_decontaminate": automaton.op4_decontaminate,
     "op5_shard": sharding.op5_shard,
     "op7_html_text": html_text.op7_html_text,
+    "op8_line_dedup": lines.op8_line_dedup,
     "op9_url_filter": urls.op9_url_filter,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
-ORACLE = {"op1_mix_sources": mixing.ORACLE_OP1, "op4_decontaminate": automaton.ORACLE_OP4, "op5_shard": sharding.ORACLE_OP5, "op9_url_filter": urls.ORACLE_OP9}
+ORACLE = {"op1_mix_sources": mixing.ORACLE_OP1, "op4_decontaminate": automaton.ORACLE_OP4, "op5_shard": sharding.ORACLE_OP5, "op8_line_dedup": lines.ORACLE_OP8, "op9_url_filter": urls.ORACLE_OP9}
