@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import automaton, classifier, html_text, lines, matroska, mixing, sharding, simhash, urls
+from skein.llm import automaton, classifier, html_text, lines, matroska, mixing, secrets, sharding, simhash, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_score": classifier.op3_quality_score,
     "op4_decontaminate": automaton.op4_decontaminate,
     "op5_shard": sharding.op5_shard,
+    "op6_secret_scan": secrets.op6_secret_scan,
     "op7_html_text": html_text.op7_html_text,
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_url_filter": urls.op9_url_filter,
