@@ -16,15 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder; its lineage ends there.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share.
 
-    The folder is spark.checkpoint.dir. Only where that is unset, as in tests on
-    one machine, a temporary folder takes its place.
+    It is spark.checkpoint.dir. Only where that is unset, as in tests on one
+    machine, a temporary folder takes its place.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="skein-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder; its lineage ends there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
