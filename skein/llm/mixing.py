@@ -60,8 +60,8 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), max_repeat: int = 3) ->
     The budgets share the sum of all sizes by weight. None exceeds ``max_repeat``
     times its source's size; what is cut off goes to the others by weight. With
     the sources sorted by the level at which they reach their limit, the final
-    level is the first one that lies under the limit of its own source, so no
-    iteration is needed. The windows run over one row per source.
+    level is the first one that lies under the limit of its own source, which is also
+    the highest such level, so no iteration is needed. The windows run over one row per source.
     """
     everything = Window.partitionBy()
     rank = Window.orderBy(F.col("_source").asc_nulls_last(), "_key")
@@ -72,7 +72,7 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), max_repeat: int = 3) ->
     after = Window.orderBy("_at", "_key").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_w").over(after)
     df = df.withColumn("_level", level)
-    final = F.min(F.when(F.col("_level") <= F.col("_at"), F.col("_level"))).over(everything)
+    final = F.max(F.when(F.col("_level") <= F.col("_at"), F.col("_level"))).over(everything)
     return df.withColumn("target", F.least("_cap", final * F.col("_w"))).drop("_w", "_cap", "_at", "_level")
 
 
@@ -188,7 +188,7 @@ WITH d AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap_w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(w) OVER (ORDER BY cap_w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM a
 ), t AS (
-  SELECT source, source_size, least(cap, w * min(CASE WHEN level <= cap_w THEN level END) OVER ()) AS target FROM l
+  SELECT source, source_size, least(cap, w * max(CASE WHEN level <= cap_w THEN level END) OVER ()) AS target FROM l
 ), p AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM t
 ), k AS (
