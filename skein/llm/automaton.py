@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -23,32 +24,28 @@ from pyspark.sql import functions as F
 
 from skein.functions.shared import bound_batches, checkpointed, table
 
-#: ASCII letters and digits and everything beyond ASCII.
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-WORD_WITH_UPPER = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+#: Words are runs of ASCII letters and digits and of everything beyond ASCII; all other bytes become spaces, letters lower case.
+_FOLDED = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 WINDOW = 10
 #: Words of the opening of a window that a document must hold to be walked.
 OPENING = 4
-#: Characters of items that one automaton may be built from.
-GROUP_CHARS = 8_000_000
-_UPPER = {c: c + 32 for c in range(65, 91)}
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
+#: Bytes of items that one automaton may be built from.
+GROUP_BYTES = 8_000_000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words_of(text: str | None) -> list[str]:
-    """Words of a text, ASCII letters lower-cased; null has none."""
-    if not text:
-        return []
-    if text.isascii():
-        return WORD.findall(text.lower())
-    return WORD.findall(text.translate(_UPPER))
+def words_of(data: bytes | None) -> list[bytes]:
+    """Words of a text in UTF-8, ASCII letters lower-cased; null has none."""
+    return data.translate(_FOLDED).split() if data else []
 
 
 class Automaton:
     """Suffix automaton of several word sequences, with the items of every state."""
 
-    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
-        self.window, self.ids, self.vocabulary = window, [], {}
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
+        self.window, self.ids = window, []
+        self.vocabulary: dict[bytes, int] = {}
         self.length, self.link, self.next = [0], [-1], [{}]
         self.short: dict[int, list[tuple[int, int]]] = {}  # by state: (words, item) of items under a window
         tokens = []
@@ -108,22 +105,25 @@ class Automaton:
         return c
 
     def _grams(self, ids: np.ndarray) -> np.ndarray:
-        """Hashes of all runs of OPENING words, or of the whole sequence where it is shorter."""
+        """Hashes of all runs of OPENING known words, or of the whole sequence where it is shorter."""
         n = min(OPENING, len(ids))
-        with np.errstate(over="ignore"):
-            out = np.zeros(len(ids) - n + 1, dtype=np.uint64)
-            for k in range(n):
-                x = (ids[k : len(ids) - n + 1 + k].astype(np.uint64) + np.uint64(1)) * _MIX[k]
-                out = out + (x ^ (x >> np.uint64(29))) * _MIX[(k + 1) % 4]
-            return out
+        known = ids >= 0
+        for k in range(1, n):
+            known = known[:-1] & (ids[k:] >= 0)
+        at = np.flatnonzero(known)
+        out = np.zeros(len(at), dtype=np.uint64)
+        for k in range(n):
+            out = out * _MIX + (ids[at + k] + 1).astype(np.uint64)
+        return out
 
     def may_hold(self, ids: np.ndarray) -> bool:
-        """Whether the openings of a window are among the words (identifiers, -1 for unknown words)."""
-        if (ids >= 0).sum() == 0:
-            return False
+        """Whether the opening of a window is among the words (identifiers, -1 for unknown words)."""
         if self.short and min(n for marks in self.short.values() for n, _ in marks) < OPENING:
-            return True
-        return len(ids) >= OPENING and bool(np.isin(self._grams(ids), self.openings).any())
+            return bool((ids >= 0).any())
+        if len(ids) < OPENING or not len(grams := self._grams(ids)):
+            return False
+        near = np.minimum(np.searchsorted(self.openings, grams), len(self.openings) - 1)
+        return bool((self.openings[near] == grams).any())
 
     def walk(self, ids: list[int]) -> Iterator[tuple[int, int, int]]:
         """(position, state, longest match) at every word that ends a match of an item."""
@@ -169,15 +169,15 @@ class Automaton:
         return np.cumsum(edge[:-1]) > 0, found
 
 
-def _groups(benchmark: DataFrame, id_col: str, text_col: str, group_chars: int) -> Iterator[list[tuple[str | None, str]]]:
+def _groups(benchmark: DataFrame, id_col: str, text_col: str, group_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """The items in groups of bounded size, read from Spark row by row; one group without items for an empty table."""
-    group: list[tuple[str | None, str]] = []
+    group: list[tuple[str | None, bytes]] = []
     held = 0
-    for item_id, text in benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).where(F.col(text_col).isNotNull()).toLocalIterator():
-        if group and held + len(text) > group_chars:
+    for item_id, text in benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string").cast("binary")).where(F.col(text_col).isNotNull()).toLocalIterator():
+        if group and held + len(text) > group_bytes:
             yield group
             group, held = [], 0
-        group.append((item_id, text))
+        group.append((item_id, bytes(text)))
         held += len(text)
     yield group
 
@@ -186,7 +186,7 @@ SPANS = "n_words long, spans array<struct<start:int,stop:int>>, items array<stri
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "item_id", item_text: str = "text", text_col: str = "text", window: int = WINDOW, group_chars: int = GROUP_CHARS
+    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "item_id", item_text: str = "text", text_col: str = "text", window: int = WINDOW, group_bytes: int = GROUP_BYTES
 ) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items_sha256, contaminated, spans (word ranges) and items.
 
@@ -195,7 +195,7 @@ def find_contamination(
     with equal texts all count. An item without an id is hit like others, but neither counted nor
     listed. Input columns named like a result column give way to it. An empty benchmark hits nothing.
 
-    The benchmark is read in groups of ``group_chars`` characters. A pass over the documents
+    The benchmark is read in groups of ``group_bytes`` bytes. A pass over the documents
     broadcasts one group; further groups take further passes, which add to the spans found so far, with
     a checkpoint between them. So the driver and a task hold one group at most.
     """
@@ -203,10 +203,10 @@ def find_contamination(
     out_names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"]
     kept = [c for c in docs.columns if c not in out_names]
     df = docs.select(*kept, F.array().cast("array<struct<start:int,stop:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for n, group in enumerate(_groups(benchmark, id_col, item_text, group_chars)):
+    for n, group in enumerate(_groups(benchmark, id_col, item_text, group_bytes)):
         if n:
             df = checkpointed(df.select(*kept, "spans", "items"))
-        df = df.withColumn("_scan", _scanner(df.sparkSession.sparkContext.broadcast(group), window)(F.col(text_col), "spans", "items"))
+        df = df.withColumn("_scan", _scanner(df.sparkSession.sparkContext.broadcast(group), window)(F.col(text_col).cast("string").cast("binary"), "spans", "items"))
         df = df.select(*kept, "_scan.*")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["stop"] - s["start"]))
     df = df.withColumn("n_hit", n_hit).withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", F.col("n_hit") > 0)
@@ -223,12 +223,12 @@ def _scanner(group, window: int):
     return scan
 
 
-def scan_text(text: str | None, automaton: Automaton, spans=(), items=()) -> tuple[int, list[dict], list[str]]:
+def scan_text(data: bytes | None, automaton: Automaton, spans=(), items=()) -> tuple[int, list[dict], list[str]]:
     """Words, hit word ranges and sorted ids of the items of a text, those known so far included."""
-    words = words_of(text)
-    known = list(map(automaton.vocabulary.get, words, [-1] * len(words)))
-    if words and automaton.may_hold(np.array(known, dtype=np.int64)):
-        hit, found = automaton.hits(known)
+    words = words_of(data)
+    known = np.fromiter(map(automaton.vocabulary.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+    if words and automaton.may_hold(known):
+        hit, found = automaton.hits(known.tolist())
         if found:
             for s in spans:
                 hit[s["start"] : s["stop"]] = True
@@ -242,12 +242,13 @@ def remove_spans(text: str | None, spans) -> str | None:
     """The text without the words of the spans (word ranges) and what stands between them."""
     if not text or not len(spans):
         return text
-    at = [m.span() for m in WORD_WITH_UPPER.finditer(text)]
+    data = text.encode()
+    at = [m.span() for m in _WORD.finditer(data)]
     out, last = [], 0
     for s in spans:
-        out.append(text[last : at[s["start"]][0]])
+        out.append(data[last : at[s["start"]][0]])
         last = at[s["stop"] - 1][1]
-    return "".join([*out, text[last:]])
+    return b"".join([*out, data[last:]]).decode()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, max_coverage: float = 0.5, min_span: int = WINDOW, text_col: str = "text", **kw) -> DataFrame:
