@@ -1,4 +1,10 @@
 """Queries by name and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from skein.plans import segment_queries
+
+_ALL = {**segment_queries.QUERIES}
+
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+ORACLE = {name: sql for name, (_, sql) in _ALL.items() if sql}
