@@ -210,7 +210,7 @@ def block_texts(node: Node) -> list[str]:
 
 
 def vote(source: str | None) -> tuple[str, int]:
-    """The path that a page votes for, and the weight of its vote: the size of its container's text."""
+    """The path that a page votes for, and the size of its container's text."""
     best = best_container(read_page(source))
     return best.path, best.size
 
@@ -233,8 +233,8 @@ def extract(source: str | None, path: str | None) -> str:
 def extract_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``pages`` with text and n_chars.
 
-    A null or empty html has an empty text. Pages without a host vote together. A host's winner is the path
-    with the greatest sum of votes, then the first by name. Input columns named like a result column give way to it. An empty
+    A null or empty html has an empty text. Pages without a host vote together. Every page with text has one vote. A host's winner
+    is the path with the most votes, then the one with the most text, then the first by name. Input columns named like a result column give way to it. An empty
     table gives an empty one.
     """
     bound_batches(pages.sparkSession)
@@ -252,8 +252,8 @@ def extract_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "htm
     kept = [c for c in pages.columns if c not in ("text", "n_chars")]
     rows = pages.select(*[F.col(c).alias(f"_in_{c}") for c in kept], url_host(F.col(url_col)).alias("_host"), F.col(html_col).alias("_html"))
     cast = rows.select("_host", votes("_html").alias("_v")).where("_v.weight > 0")
-    sums = cast.groupBy("_host", F.col("_v.path").alias("path")).agg(F.sum("_v.weight").alias("weight"))
-    winners = checkpointed(sums.groupBy("_host").agg(F.min(F.struct(-F.col("weight"), "path")).alias("_w")).select("_host", F.col("_w.path").alias("_path")))
+    sums = cast.groupBy("_host", F.col("_v.path").alias("path")).agg(F.count("*").alias("pages"), F.sum("_v.weight").alias("weight"))
+    winners = checkpointed(sums.groupBy("_host").agg(F.min(F.struct((-F.col("pages")).alias("p"), (-F.col("weight")).alias("w"), "path")).alias("_w")).select("_host", F.col("_w.path").alias("_path")))
     out = rows.join(broadcast_if_small(winners), "_host", "left").withColumn("text", texts("_html", "_path"))
     return out.select(*[F.col(f"_in_{c}").alias(c) for c in kept], "text", F.length("text").cast("long").alias("n_chars"))
 
