@@ -33,15 +33,15 @@ PAIRED = 64
 _SLICE = 1 << 16
 
 
-def fingerprint(data: bytes | None, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash, as a signed integer, of a text's word shingles; 0 for a text without words.
+def fingerprints(data: bytes | None, shingle: int = SHINGLE, count: int = 1) -> list[int]:
+    """``count`` 64-bit SimHashes, as signed integers, of a text's word shingles; 0 for a text without words.
 
-    ASCII letters are lower-cased and words end at ASCII white space. A shingle's
-    hash is its XXH64 with seed 42; a bit is set if more than half the hashes set it.
+    ASCII letters are lower-cased and words end at ASCII white space. A shingle's hash is its XXH64 with seed 42; a
+    bit is set if more than half the hashes set it. Further fingerprints are taken from the same hashes, mixed anew.
     """
     words = data.lower().split() if data else ()
     if not words:
-        return 0
+        return [0] * count
     joined = b" ".join(words)
     hashed = xxhash.xxh64_intdigest
     if len(words) <= shingle:
@@ -51,22 +51,32 @@ def fingerprint(data: bytes | None, shingle: int = SHINGLE) -> int:
         starts = np.concatenate(([0], ends[:-1]))[: len(words) - shingle + 1].tolist()
         stops = (ends[shingle - 1 :] - 1).tolist()
         hashes = np.fromiter((hashed(joined[a:b], 42) for a, b in zip(starts, stops)), dtype=np.uint64, count=len(starts))
-    set_bits = np.zeros(64, dtype=np.int64)
+    set_bits = np.zeros((count, 64), dtype=np.int64)
     for k in range(0, len(hashes), _SLICE):
-        part = np.ascontiguousarray(hashes[k : k + _SLICE]).view(np.uint8).reshape(-1, 8)
-        set_bits += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view(np.int64)[0])
+        part = hashes[k : k + _SLICE]
+        for n in range(count):
+            mixed = np.ascontiguousarray(_mixed(part, n) if n else part)
+            set_bits[n] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * set_bits > len(hashes), axis=1, bitorder="little").view(np.int64)[:, 0].tolist()
 
 
-def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, into: str = "_fp") -> DataFrame:
+def _mixed(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Another hash of each hash, by the finalizer of a common 64-bit generator."""
+    x = hashes ^ np.uint64(n * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def with_fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, count: int = 1, into: str = "_fps") -> DataFrame:
     bound_batches(docs.sparkSession)
 
-    @F.pandas_udf("long")
-    def fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("array<long>")
+    def scan(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series([fingerprint(x, shingle) for x in batch], dtype="int64")
+            yield pd.Series([fingerprints(x, shingle, count) for x in batch], dtype=object)
 
-    return docs.withColumn(into, fingerprints(F.col(text_col).cast("string").cast("binary")))
+    return docs.withColumn(into, scan(F.col(text_col).cast("string").cast("binary")))
 
 
 def _masks(blocks: int, agree: int) -> list[int]:
@@ -78,45 +88,61 @@ def _masks(blocks: int, agree: int) -> list[int]:
 
 
 def hamming_links(prints: DataFrame, blocks: int = BLOCKS, paired: int = PAIRED) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp) of which the components are those of all pairs within two bits."""
+    """Links (v, a, b) between distinct fingerprints (v, fp) of one v, of which the components are those of all pairs within two bits."""
     masks = _masks(blocks, blocks - DISTANCE)
-    keys = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("g"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(masks)])).alias("k"))
-    keys = keys.select("fp", "k.g", "k.v")
-    shared = checkpointed(keys.groupBy("g", "v").agg(F.count("*").alias("n")).where("n > 1"))
-    met = checkpointed(keys.join(shared, ["g", "v"]))
-    few = met.where(F.col("n") <= paired).select("g", "v", "fp")
-    pairs = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), ["g", "v"])
-    pairs = pairs.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)).select("a", "b")
+    keys = prints.select("v", "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("g"), F.col("fp").bitwiseAND(F.lit(m)).alias("x")) for i, m in enumerate(masks)])).alias("k"))
+    keys = keys.select("v", "fp", "k.g", "k.x")
+    at = ["v", "g", "x"]
+    shared = checkpointed(keys.groupBy(*at).agg(F.count("*").alias("n")).where("n > 1"))
+    met = checkpointed(keys.join(shared, at))
+    few = met.where(F.col("n") <= paired).select(*at, "fp")
+    pairs = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), at)
+    pairs = pairs.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)).select("v", "a", "b")
     flips = [0, *(1 << bit for bit in range(63)), -(1 << 63)]
-    many = met.where(F.col("n") > paired).select("fp").distinct()
-    balls = many.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(x)) for x in flips])).alias("z"))
-    balls = balls.groupBy("z").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    stars = balls.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a < b")
-    return pairs.union(stars)
-
-
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp, component): a row per row of ``docs`` with its fingerprint and the smallest id in reach over links of at most two bits.
-
-    Null and empty texts have fingerprint 0 and are one group with all that come within
+    many = met.where(F.col("n") > paired).select("v", "fp").distinct()
+    balls = many.select("v", "fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(x)) for x in flips])).alias("z"))
+    balls = balls.groupBy("v", "z").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    stars = balls.select("v", F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a < b")
+    return pairs.union(stars).distinct()
+
+
+def _class_links(classes: DataFrame, count: int) -> DataFrame:
+    """Links (a, b) between classes (fp: their first fingerprint; fps: its further ones) that are within two bits in any fingerprint."""
+    if count == 1:
+        return hamming_links(classes.select(F.lit(0).alias("v"), "fp")).select("a", "b")
+    held = checkpointed(classes.select(F.col("fp").alias("node"), F.posexplode("fps").alias("v", "fp")).distinct())
+    least = checkpointed(held.groupBy("v", "fp").agg(F.min("node").alias("m"), F.count("*").alias("n")))
+    equal = held.join(least.where("n > 1"), ["v", "fp"]).select(F.col("m").alias("a"), F.col("node").alias("b"))
+    links = checkpointed(hamming_links(least.select("v", "fp")))
+    end = lambda x, to: least.select("v", F.col("fp").alias(x), F.col("m").alias(to))
+    return links.join(end("a", "na"), ["v", "a"]).join(end("b", "nb"), ["v", "b"]).select(F.col("na").alias("a"), F.col("nb").alias("b")).union(equal)
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, count: int = 1) -> DataFrame:
+    """(id, fp, component): a row per row of ``docs`` with its first fingerprint and the smallest id in reach over links.
+
+    Two documents link if they are within two bits in any of their ``count`` fingerprints; more of
+    them find pairs of less similarity. Null and empty texts have fingerprint 0 and are one group with all that come within
     two bits of it. Null ids are never a component's name unless it has no other. Repeated
     rows are copies like any others. An empty table gives an empty one.
     """
-    rows = checkpointed(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")), "_text", shingle, "fp").select("id", "fp"))
+    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
+    rows = with_fingerprints(text, "_text", shingle, count).select("id", F.element_at("_fps", 1).alias("fp"), *(["_fps"] if count > 1 else []))
+    rows = checkpointed(rows)
     classes = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    linked = connected_components(hamming_links(classes.select("fp")))
+    linked = connected_components(_class_links(classes if count == 1 else rows.select("fp", F.col("_fps").alias("fps")).distinct(), count))
     linked = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     names = linked.groupBy("component").agg(F.min("least").alias("name"))
     named = checkpointed(linked.join(names, "component").select("fp", F.col("name").alias("component")))
     return rows.join(named, "fp").select("id", "fp", "component")
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, count: int = 1) -> DataFrame:
     """``docs`` without the documents whose component has a smaller id; rows with a null id stay.
 
     Only ids leave the scoring pass; the texts are joined with the ids that go.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle)
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, count=count)
     gone = checkpointed(found.where(F.col("id") != F.col("component")).select(F.col("id").alias("_gone")).distinct())
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
 

@@ -47,8 +47,10 @@ def texts():
 
 def test_fingerprints(spark):
     data = list(enumerate(texts()))
-    got = {r.doc_id: r.fp & (1 << 64) - 1 for r in simhash.with_fingerprint(spark.createDataFrame(data, SCHEMA), into="fp").collect()}
-    assert got == {i: plain_fingerprint(t) for i, t in data}
+    for count in (1, 3):
+        got = simhash.with_fingerprints(spark.createDataFrame(data, SCHEMA), count=count, into="fps").collect()
+        assert {r.doc_id: r.fps[0] & (1 << 64) - 1 for r in got} == {i: plain_fingerprint(t) for i, t in data}
+        assert all(len(r.fps) == count for r in got)
 
 
 def test_components_of_texts(spark):
@@ -58,6 +60,22 @@ def test_components_of_texts(spark):
     assert len(set(got.values())) < len(got) - 10
 
 
+def test_several_fingerprints_against_all_pairs(spark):
+    data = [(1000 - i, t) for i, t in enumerate(texts())]
+    prints = {d: [x & (1 << 64) - 1 for x in simhash.fingerprints((t or "").encode(), count=4)] for d, t in data}
+    root = {d: d for d in prints}
+    for _ in prints:  # spreads the smallest id until nothing changes
+        before = dict(root)
+        for a in prints:
+            for b in prints:
+                if any((x ^ y).bit_count() <= 2 for x, y in zip(prints[a], prints[b])):
+                    root[a] = min(root[a], root[b])
+        if root == before:
+            break
+    got = {r.id: r.component for r in simhash.near_duplicates(spark.createDataFrame(data, SCHEMA), count=4).collect()}
+    assert got == root
+
+
 def clusters(seed):
     """Fingerprints in dense clusters, chains of two-bit steps, and alone."""
     rng = random.Random(seed)
@@ -76,9 +94,9 @@ def test_links_whether_few_or_many_share_a_block(spark):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     prints = {signed(x): x for x in clusters(1)}
     want = groups(prints)
-    df = spark.createDataFrame([(k,) for k in prints], "fp long")
+    df = spark.createDataFrame([(0, k) for k in prints] + [(1, k ^ 5) for k in prints], "v int, fp long")
     for paired in (1, 8, 10_000):
-        found = components.connected_components(simhash.hamming_links(df, paired=paired)).collect()
+        found = components.connected_components(simhash.hamming_links(df, paired=paired).where("v = 0")).collect()
         got = {k: k for k in prints} | {r.node: r.component for r in found}
         assert got == want
 
