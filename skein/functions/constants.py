@@ -65,3 +65,21 @@ DOCTOR_THRESHOLD, MIN_SHARE, MIN_EMBED_MS = 0.5, 0.1, 1000
 ENROLL_WINDOW_MS, MIN_WINDOW_MS = 10_000, 2_000
 SPEEDUP = 1.3
 MAX_UPLOAD_BYTES, MAX_AUDIO_SECONDS = 25 * 1024 * 1024, 30 * 60
+# --- fixed values: error codes with HTTP status and whether a retry may help ---
+ERRORS = (
+    ("STATE_TRANSITION_INVALID", 409, False),
+    ("APPROVAL_STALE_VERSION", 409, False),
+    ("PUBLISH_NOT_APPROVED", 409, False),
+    ("VALIDATION_UNSUPPORTED_CLAIM", 422, False),
+    ("NOT_FOUND", 404, False),
+    ("AUDIO_FILE_TOO_LARGE", 413, False),
+    ("AUDIO_DURATION_TOO_LONG", 422, False),
+    ("AUDIO_UNSUPPORTED_FORMAT", 422, False),
+    ("AUDIO_STREAM_MISSING", 422, False),
+    ("AUDIO_PROBE_FAILED", 422, False),
+    ("AUDIO_CONVERSION_FAILED", 422, True),
+    ("ASR_NOT_CONFIGURED", 422, False),
+    ("ASR_PROVIDER_FAILED", 502, True),
+    ("LLM_NOT_CONFIGURED", 422, False),
+    ("LLM_PROVIDER_FAILED", 502, True),
+)
