@@ -26,6 +26,8 @@ from skein.functions.shared import bound_batches, checkpointed, table
 ROWS = 4096
 DIM = 32
 NONZERO = 2
+#: Numbers of a document: two pooled vectors and the shapes.
+WIDTH = 2 * DIM + 7
 REACH = 2
 #: Labelled documents the network may learn from.
 SAMPLE = 6_000
@@ -36,8 +38,10 @@ _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 _KEPT_TOKENS = 200_000
 #: Stands between documents.
 GAP = -1
-#: Rows of the table that hold shapes, not words.
-_REPEATED, _UPPER, _DIGITS, _SHORT, _LONG, _SHAPES = 0, 1, 2, 3, 4, 5
+#: Tokens that are added to the table at once.
+_HELD = 200_000
+#: Parts of a token's code.
+_ROW, _UPPER, _DIGITS = ROWS - 1, ROWS, 2 * ROWS
 
 
 class Tokens:
@@ -46,51 +50,41 @@ class Tokens:
     def __init__(self):
         self.known: dict[str, int] = {}
 
-    def _row(self, token: str) -> int:
-        if len(self.known) >= _KEPT_TOKENS:
-            self.known.clear()
-        row = self.known[token] = _SHAPES + zlib.crc32(token.lower().encode("utf-8", "replace")) % (ROWS - _SHAPES)
-        return row
-
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the text's tokens in order, and the count of every shape."""
+    def codes(self, text: str | None) -> np.ndarray:
+        """A code for each token in order: its row, and bits for upper case and digits."""
         tokens = _TOKEN.findall(text) if text else []
-        known, row = self.known, self._row
-        ids = np.fromiter((known[t] if t in known else row(t) for t in tokens), dtype=np.int64, count=len(tokens))
-        shapes = np.zeros(_SHAPES)
-        if tokens:
-            shapes[_REPEATED] = (ids[1:] == ids[:-1]).sum()
-            shapes[_UPPER] = sum(map(str.isupper, tokens))
-            shapes[_DIGITS] = sum(map(str.isdigit, tokens))
-            shapes[_SHORT] = np.unique(ids).size
-            shapes[_LONG] = text.count("\n")
-        return ids, shapes
-
-
-def index_vectors(seed: int = 7) -> np.ndarray:
-    """A ternary vector with few entries for every row."""
+        known = self.known
+        new = set(tokens).difference(known)
+        if len(known) + len(new) > _KEPT_TOKENS:
+            known.clear()
+            new = set(tokens)
+        for t in new:
+            row = zlib.crc32(t.lower().encode("utf-8", "replace")) % ROWS
+            known[t] = row | (_UPPER if t.isupper() else 0) | (_DIGITS if t.isdigit() else 0)
+        return np.fromiter(map(known.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+
+
+def index_entries(seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The few entries of every row's ternary index vector: (places, signs) for each of them."""
     rng = np.random.default_rng(seed)
+    return [(rng.integers(0, DIM, ROWS), rng.choice(np.array([-1.0, 1.0]), ROWS)) for _ in range(NONZERO)]
+
+
+def index_vectors() -> np.ndarray:
     out = np.zeros((ROWS, DIM), dtype=np.float32)
-    for _ in range(NONZERO):
-        out[np.arange(ROWS), rng.integers(0, DIM, ROWS)] += rng.choice(np.array([-1, 1], dtype=np.float32), ROWS)
+    for places, signs in index_entries():
+        out[np.arange(ROWS), places] += signs
     return out
 
 
-def _context_sums(ids: np.ndarray, index: np.ndarray, sums: np.ndarray) -> None:
-    """Adds to every token's row the index vectors of its neighbours: counts of row pairs first, then one product."""
-    pairs = []
+def _context_sums(ids: np.ndarray, entries: list, sums: np.ndarray) -> None:
+    """Adds to every token's row the index vectors of its neighbours."""
     for k in range(1, REACH + 1):
-        a, b = ids[:-k], ids[k:]
-        inside = (a != GAP) & (b != GAP)
-        a, b = a[inside], b[inside]
-        pairs += [a * ROWS + b, b * ROWS + a]
-    both, n = np.unique(np.concatenate(pairs), return_counts=True)
-    if not len(both):
-        return
-    weighted = index[both % ROWS] * n[:, None].astype(np.float32)
-    rows = both // ROWS  # sorted, so the pairs of a row are one run
-    at = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-    sums[rows[at]] += np.add.reduceat(weighted, at, axis=0)
+        inside = (ids[:-k] != GAP) & (ids[k:] != GAP)
+        a, b = ids[:-k][inside], ids[k:][inside]
+        for places, signs in entries:
+            sums += np.bincount(a * DIM + places[b], weights=signs[b], minlength=ROWS * DIM)
+            sums += np.bincount(b * DIM + places[a], weights=signs[a], minlength=ROWS * DIM)
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -101,21 +95,21 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     names = [f"v{i}" for i in range(DIM)]
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, index, out = Tokens(), index_vectors(), np.zeros((ROWS, DIM), dtype=np.float32)
+        tokens, entries, out = Tokens(), index_entries(), np.zeros(ROWS * DIM)
         held, n, gap = [], 0, np.full(REACH, GAP)
         for batch in batches:
             for text in batch["_text"]:
-                ids, _ = tokens.of(text)
-                if len(ids) > REACH:
-                    held += [ids, gap]
-                    n += len(ids)
-                if n > 1_000_000:
-                    _context_sums(np.concatenate(held), index, out)
+                ids = tokens.codes(text) & _ROW
+                held += [ids, gap]
+                n += len(ids)
+                if n > _HELD:
+                    _context_sums(np.concatenate(held), entries, out)
                     held, n = [], 0
         if n:
-            _context_sums(np.concatenate(held), index, out)
+            _context_sums(np.concatenate(held), entries, out)
+        out = out.reshape(ROWS, DIM)
         used = np.flatnonzero(np.abs(out).sum(axis=1))
-        yield pd.DataFrame(out[used].astype(np.float64), columns=names).assign(word=used)
+        yield pd.DataFrame(out[used], columns=names).assign(word=used)
 
     schema = ", ".join(f"{n} double" for n in names) + ", word long"
     parts = docs.select(F.col(text_col).cast("string").alias("_text")).mapInPandas(sums, schema)
@@ -129,14 +123,17 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 def document_vector(text: str | None, tokens: Tokens, vectors: np.ndarray, index: np.ndarray) -> np.ndarray:
     """Mean word and index vector of the tokens, and shares of shapes; zeros for a text without tokens."""
-    ids, shapes = tokens.of(text)
-    if not len(ids):
-        return np.zeros(2 * DIM + _SHAPES + 2, dtype=np.float32)
-    n = np.bincount(ids, minlength=ROWS)
-    used = np.flatnonzero(n)
-    share = n[used].astype(np.float32) / len(ids)
-    top = float(share.max())
-    return np.concatenate([share @ vectors[used], share @ index[used], shapes / len(ids), [top, min(np.log1p(len(ids)) / 10, 1)]]).astype(np.float32)
+    codes = tokens.codes(text)
+    n = len(codes)
+    if not n:
+        return np.zeros(WIDTH, dtype=np.float32)
+    ids = codes & _ROW
+    counts = np.bincount(ids, minlength=ROWS)
+    used = np.flatnonzero(counts)
+    share = counts[used].astype(np.float32) / n
+    repeated = np.count_nonzero(ids[1:] == ids[:-1])
+    shapes = [repeated / n, np.count_nonzero(codes & _UPPER) / n, np.count_nonzero(codes & _DIGITS) / n, len(used) / n, text.count("\n") / n, float(share.max()), min(np.log1p(n) / 10, 1)]
+    return np.concatenate([share @ vectors[used], share @ index[used], shapes]).astype(np.float32)
 
 
 class Network:
@@ -227,7 +224,7 @@ def score_quality(
     text = F.col(text_col).cast("string")
     labelled = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).join(chosen, "_id").select("_id", "_label", pooled("_text").alias("_vector"))
     rows = sorted(labelled.limit(2 * sample).collect(), key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), tuple(r[2])))
-    x, y = np.array([r[2] for r in rows], dtype=np.float64).reshape(len(rows), -1), np.array([r[1] for r in rows])
+    x, y = np.array([r[2] for r in rows], dtype=np.float64).reshape(len(rows), WIDTH), np.array([r[1] for r in rows])
     network = sc.broadcast(Network().fit(x, y))
 
     @F.pandas_udf("double")
