@@ -12,8 +12,9 @@ formed, and groups are pre-aggregated. The pair of a line and the earliest of it
 is verified on the words themselves.
 
 Before that, lines that cannot have a partner are set aside without loss: one edit
-leaves the first or the last half of a line's words as they are, so a line whose halves
-no other line shares has none.
+lies in one part of a line and leaves the words before and behind that part as they are,
+so a line that shares them with no other line, whichever the part, has none. Two parts
+are tried on every line, sixteen on those that remain.
 """
 
 from __future__ import annotations
@@ -21,37 +22,63 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.shared import checkpointed, table
+from skein.functions.shared import stored, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Words of the longer line from which an edit of one word counts as the same line.
 MIN_WORDS = 5
+#: Parts of a line one of which holds the edit: of every line first, then of those that remain.
+COARSE, FINE = 2, 16
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(line, SPACE), lambda w: w != "")
+def _normal(line: Column) -> Column:
+    """The line's words with one space between them."""
+    return F.trim(F.regexp_replace(line, SPACE, " "))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_pos, _id, _words, _n, _digest) of every line that has words. Lines are ordered by id (null last), text and number."""
-    text = F.col(text_col).cast("string")
-    df = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text"), F.posexplode(F.split(text, "\n")).alias("_no", "_line"))
-    pos = F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_text").alias("text"), F.col("_no").alias("no"))
-    df = df.select(pos.alias("_pos"), _words(F.col("_line")).alias("_words")).where(F.size("_words") > 0)
-    return df.select("_pos", "_words", F.size("_words").alias("_n"), F.unhex(F.md5(F.array_join("_words", " ").cast("binary"))).alias("_digest"))
+def _count(normal: Column) -> Column:
+    return (F.octet_length(normal) - F.octet_length(F.replace(normal, F.lit(" "), F.lit(""))) + 1).cast("int")
+
+
+def _digest(normal: Column) -> Column:
+    return F.unhex(F.md5(normal.cast("binary")))
 
 
-def _half_keys() -> Column:
-    """Hashes of the first and the last words that one edit leaves, for a longer line of as many words or of one more."""
+def _part_keys(parts: int) -> Column:
+    """Hashes of a line's words without one part of it, for each part and for a longer line of as many words or of one more.
+
+    One edit lies within one part of the longer line; the words before and behind that part are the same in both lines.
+    """
     n = F.col("_n")
     keys = []
     for m in (n, n + 1):
-        k = F.floor((m - 1) / 2).cast("int")
-        keys.append(F.when(m >= MIN_WORDS, F.xxhash64(F.lit("a"), m, F.array_join(F.slice("_words", F.lit(1), k), " "))))
-        keys.append(F.when(m >= MIN_WORDS, F.xxhash64(F.lit("z"), m, F.array_join(F.slice("_words", n - k + 1, k), " "))))
+        for k in range(parts):
+            before, behind = F.floor(m * k / parts).cast("int"), (m - F.floor(m * (k + 1) / parts)).cast("int")
+            sides = [F.call_function("substring_index", F.col("_normal"), F.lit(" "), x) for x in (before, -behind)]
+            keys.append(F.when(m >= MIN_WORDS, F.xxhash64(m, F.lit(k), *sides)))
     return F.array_compact(F.array(*keys))
 
 
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_hash, no, _digest, _keys) of every line that has words."""
+    text = F.col(text_col).cast("string")
+    df = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("no", "_line"))
+    df = df.select("id", "text_hash", "no", _normal(F.col("_line")).alias("_normal")).where("_normal <> ''")
+    df = df.withColumn("_n", _count(F.col("_normal")))
+    return df.select("id", "text_hash", "no", _digest(F.col("_normal")).alias("_digest"), _part_keys(COARSE).alias("_keys"))
+
+
+def _with_partner(keys: DataFrame) -> DataFrame:
+    """Digests of the lines that share a key with another line, from distinct (_digest, _key)."""
+    shared = keys.groupBy("_key").agg(F.count("*").alias("_m")).where("_m > 1").select("_key")
+    return keys.join(shared, "_key").select("_digest").distinct()
+
+
+def _place() -> Column:
+    """A line's place in the order of all lines."""
+    return F.struct(F.col("id").isNull().alias("last"), "id", "text_hash", "no")
+
+
 def _variants(lines: DataFrame) -> DataFrame:
     """(_key, _kind, _pos, _digest): the whole line and its variants. Kinds: r replaced, w whole, d deleted.
 
@@ -86,16 +113,20 @@ def find_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     last, then of the texts' hashes and of their numbers. A line goes if any line within one edit is earlier, even if that
     one goes as well. Rows equal in id and text are one document. Lines without words are not listed. Null texts have no lines.
     """
-    lines = _lines(docs, id_col, text_col)
-    slim = checkpointed(lines.select("_pos", "_digest", "_n", _half_keys().alias("_half")))
-    first = checkpointed(slim.groupBy("_digest").agg(F.min("_pos").alias("_first"), F.count("*").alias("_rows"), F.any_value("_half").alias("_half")))
-    halves = first.select("_digest", F.explode(F.array_distinct("_half")).alias("_h"))
-    shared = halves.groupBy("_h").agg(F.count("*").alias("_m")).where("_m > 1").select("_h")
-    able = checkpointed(halves.join(shared, "_h").select("_digest").distinct().join(first.select("_digest", "_first"), "_digest"))
-    chosen = able.select(F.col("_digest").alias("_able"), "_first")
-    texts = lines.join(chosen, (F.col("_digest") == F.col("_able")) & F.col("_pos").eqNullSafe(F.col("_first")))
-    texts = checkpointed(texts.select("_pos", "_digest", "_n", "_words").dropDuplicates(["_digest"]))
-    variants = checkpointed(_variants(texts))
+    slim = stored(_lines(docs, id_col, text_col))
+    first = stored(slim.groupBy("_digest").agg(F.min(_place()).alias("_first"), F.count("*").alias("_rows"), F.any_value("_keys").alias("_keys")))
+    able = _with_partner(first.select("_digest", F.explode(F.array_distinct("_keys")).alias("_key"))).join(first.select("_digest", "_first"), "_digest")
+    # the words of those lines: texts meet the line numbers that are asked of them, so whole texts move once
+    asked = able.groupBy("_first.id", "_first.text_hash").agg(F.collect_set("_first.no").alias("_nos"))
+    text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    text = text.join(asked, F.col("_id").eqNullSafe(F.col("id")) & (F.xxhash64("_text") == F.col("text_hash")))
+    text = text.select("id", "text_hash", F.explode("_nos").alias("no"), F.split("_text", "\n").alias("_lines"))
+    words = text.select(_place().alias("_pos"), _normal(F.get("_lines", F.col("no"))).alias("_normal"))
+    words = words.select("_pos", "_normal", _count(F.col("_normal")).alias("_n"), _digest(F.col("_normal")).alias("_digest"))
+    words = stored(words.dropDuplicates(["_digest"]))
+    keys = words.select("_digest", F.explode(F.array_distinct(_part_keys(FINE))).alias("_key"))
+    texts = stored(words.join(_with_partner(keys), "_digest").select("_pos", "_digest", "_n", F.split("_normal", " ").alias("_words")))
+    variants = stored(_variants(texts))
     at = lambda kind: F.min(F.when(F.col("_kind") == kind, F.struct("_pos", "_digest"))).alias(f"_{kind}")
     groups = variants.groupBy("_key").agg(F.count("*").alias("_m"), at("r"), at("w"), at("d")).where((F.col("_m") > 1) & (F.col("_r").isNotNull() | (F.col("_w").isNotNull() & F.col("_d").isNotNull())))
     met = variants.join(groups.drop("_m"), "_key")
@@ -104,10 +135,10 @@ def find_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     words = texts.select("_digest", "_words")
     checked = pairs.join(words, "_digest").join(words.select(F.col("_digest").alias("_other"), F.col("_words").alias("_theirs")), "_other")
     near = checked.where(_within_one(F.col("_words"), F.col("_theirs"))).select("_digest").distinct().withColumn("_near", F.lit(True))
-    marked = first.where("_rows > 1").select("_digest", "_first").join(near, "_digest", "full").where("_near OR _first IS NOT NULL")
-    out = slim.select("_pos", "_digest").join(checkpointed(marked), "_digest", "left")
-    verdict = F.when(F.col("_first").isNotNull() & ~F.col("_pos").eqNullSafe(F.col("_first")), "repeated").when(F.col("_near"), "near").otherwise("keep")
-    return out.select(F.col("_pos.id").alias("id"), F.col("_pos.text").alias("text_hash"), F.col("_pos.no").alias("no"), verdict.alias("verdict"))
+    marked = stored(first.where("_rows > 1").select("_digest", "_first").join(near, "_digest", "full"))
+    out = slim.select("id", "text_hash", "no", "_digest").join(marked, "_digest", "left")
+    verdict = F.when(F.col("_first").isNotNull() & ~_place().eqNullSafe(F.col("_first")), "repeated").when(F.col("_near"), "near").otherwise("keep")
+    return out.select("id", "text_hash", "no", verdict.alias("verdict"))
 
 
 def _by_document(found: DataFrame) -> DataFrame:
