@@ -28,6 +28,9 @@ from skein.llm.components import connected_components
 SHINGLE = 3
 DISTANCE = 2
 BLOCKS = 4
+#: Bits of 64 by which the fingerprints of edited copies may differ on average; as measured, texts whose
+#: five-word shingles have a Jaccard similarity of 0.8 differ in 7.
+SPREAD = 7.75
 #: Fingerprints that may share a block value and still be joined in pairs.
 PAIRED = 64
 _SLICE = 1 << 16
@@ -88,41 +91,51 @@ def _masks(blocks: int, agree: int) -> list[int]:
 
 
 def hamming_links(prints: DataFrame, blocks: int = BLOCKS, paired: int = PAIRED) -> DataFrame:
-    """Links (v, a, b) between distinct fingerprints (v, fp) of one v, of which the components are those of all pairs within two bits."""
+    """Links (a, b) between distinct fingerprints (column fp) of which the components are those of all pairs within two bits."""
     masks = _masks(blocks, blocks - DISTANCE)
-    keys = prints.select("v", "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("g"), F.col("fp").bitwiseAND(F.lit(m)).alias("x")) for i, m in enumerate(masks)])).alias("k"))
-    keys = keys.select("v", "fp", "k.g", "k.x")
-    at = ["v", "g", "x"]
-    shared = checkpointed(keys.groupBy(*at).agg(F.count("*").alias("n")).where("n > 1"))
-    met = checkpointed(keys.join(shared, at))
-    few = met.where(F.col("n") <= paired).select(*at, "fp")
-    pairs = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), at)
-    pairs = pairs.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)).select("v", "a", "b")
+    keys = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("g"), F.col("fp").bitwiseAND(F.lit(m)).alias("x")) for i, m in enumerate(masks)])).alias("k"))
+    keys = keys.select("fp", "k.g", "k.x")
+    shared = checkpointed(keys.groupBy("g", "x").agg(F.count("*").alias("n")).where("n > 1"))
+    met = checkpointed(keys.join(shared, ["g", "x"]))
+    few = met.where(F.col("n") <= paired).select("g", "x", "fp")
+    pairs = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), ["g", "x"])
+    pairs = pairs.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)).select("a", "b")
     flips = [0, *(1 << bit for bit in range(63)), -(1 << 63)]
-    many = met.where(F.col("n") > paired).select("v", "fp").distinct()
-    balls = many.select("v", "fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(x)) for x in flips])).alias("z"))
-    balls = balls.groupBy("v", "z").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    stars = balls.select("v", F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a < b")
-    return pairs.union(stars).distinct()
+    many = met.where(F.col("n") > paired).select("fp").distinct()
+    balls = many.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(x)) for x in flips])).alias("z"))
+    balls = balls.groupBy("z").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    stars = balls.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a < b")
+    return pairs.union(stars)
 
 
-def _class_links(classes: DataFrame, count: int) -> DataFrame:
-    """Links (a, b) between classes (fp: their first fingerprint; fps: its further ones) that are within two bits in any fingerprint."""
-    if count == 1:
-        return hamming_links(classes.select(F.lit(0).alias("v"), "fp")).select("a", "b")
-    held = checkpointed(classes.select(F.col("fp").alias("node"), F.posexplode("fps").alias("v", "fp")).distinct())
-    least = checkpointed(held.groupBy("v", "fp").agg(F.min("node").alias("m"), F.count("*").alias("n")))
-    equal = held.join(least.where("n > 1"), ["v", "fp"]).select(F.col("m").alias("a"), F.col("node").alias("b"))
-    links = checkpointed(hamming_links(least.select("v", "fp")))
-    end = lambda x, to: least.select("v", F.col("fp").alias(x), F.col("m").alias(to))
-    return links.join(end("a", "na"), ["v", "a"]).join(end("b", "nb"), ["v", "b"]).select(F.col("na").alias("a"), F.col("nb").alias("b")).union(equal)
+def similar_links(classes: DataFrame, count: int) -> DataFrame:
+    """Links (a, b) between texts (fp, fps: their first and all of their ``count`` fingerprints) that differ in few bits of all fingerprints together.
+
+    Every pair of two quarters of one fingerprint is a key of 32 bits, and so is each quarter with the next
+    quarter of the next fingerprint. Each text of a key is compared with the key's first one,
+    so the comparisons grow with the keys, however many texts share one. A pair shares a key with a
+    probability that rises with its similarity.
+    """
+    held = lambda v, m: F.get("fps", F.lit(v % count)).bitwiseAND(F.lit(m))
+    quarters = _masks(4, 1)
+    values = [held(v, m) for v in range(count) for m in _masks(4, 2)]
+    values += [held(v, quarters[i]).bitwiseOR(held(v + 1, quarters[(i + 1) % 4])) for v in range(count) for i in range(4)]
+    parts = F.array(*[F.xxhash64(F.lit(n), x) for n, x in enumerate(values)])
+    keys = classes.select(F.col("fp").alias("b"), F.explode(parts).alias("k"))
+    first = keys.groupBy("k").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = keys.join(first, "k").where("a <> b").select("a", "b").distinct()
+    side = lambda x: classes.select(F.col("fp").alias(x), F.col("fps").alias(f"_{x}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
+    bits = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return pairs.where(bits <= SPREAD * count).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, count: int = 1) -> DataFrame:
     """(id, fp, component): a row per row of ``docs`` with its first fingerprint and the smallest id in reach over links.
 
-    Two documents link if they are within two bits in any of their ``count`` fingerprints; more of
-    them find pairs of less similarity. Null and empty texts have fingerprint 0 and are one group with all that come within
+    Two documents link if their first fingerprints are within two bits; every such pair is found. With a ``count`` over
+    1 they also link if all their fingerprints together differ in at most SPREAD bits each on average, which finds
+    edited copies (see similar_links). Null and empty texts have fingerprint 0 and are one group with all that come within
     two bits of it. Null ids are never a component's name unless it has no other. Repeated
     rows are copies like any others. An empty table gives an empty one.
     """
@@ -130,7 +143,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = with_fingerprints(text, "_text", shingle, count).select("id", F.element_at("_fps", 1).alias("fp"), *(["_fps"] if count > 1 else []))
     rows = checkpointed(rows)
     classes = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    linked = connected_components(_class_links(classes if count == 1 else rows.select("fp", F.col("_fps").alias("fps")).distinct(), count))
+    links = hamming_links(classes.select("fp"))
+    if count > 1:
+        links = links.union(similar_links(checkpointed(rows.groupBy("fp").agg(F.min("_fps").alias("fps"))), count))
+    linked = connected_components(links)
     linked = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     names = linked.groupBy("component").agg(F.min("least").alias("name"))
     named = checkpointed(linked.join(names, "component").select("fp", F.col("name").alias("component")))
