@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from skein.functions import constants as K
 
+#: Width of the bins that bring an interval's start and the spells that hold it together.
+BIN_MS = 60_000
+
 
 def elementary_intervals(ref: DataFrame, hyp: DataFrame, collar_ms: int = K.COLLAR_MS, key: str = "conv_id") -> DataFrame:
     """(key, ref, hyp, roles, frames): sets of the speakers active over a number of frames, and of the true roles; frames within the collar of a true boundary are left out.
@@ -43,9 +46,11 @@ def elementary_intervals(ref: DataFrame, hyp: DataFrame, collar_ms: int = K.COLL
     change = change.groupBy(key, "side", "speaker", "role", F.col("_e.at").alias("at")).agg(F.sum("_e.d").alias("d"))
     running = Window.partitionBy(key, "side", "speaker", "role").orderBy("at")
     state = change.withColumn("n", F.sum("d").over(running.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("until", F.lead("at").over(running))
-    spells = state.where("n > 0").select(key, "side", "speaker", "role", F.col("at").alias("start_ms"), F.col("until").alias("end_ms")).alias("s")
-    on = (F.col(f"c.{key}") == F.col(f"s.{key}")) & (F.col("s.start_ms") <= F.col("c.at")) & (F.col("s.end_ms") > F.col("c.at"))
-    held = cuts.alias("c").join(spells, on)
+    spells = state.where("n > 0").select(key, "side", "speaker", "role", F.col("at").alias("start_ms"), F.col("until").alias("end_ms"))
+    # a cut meets the spells that hold it in its own time bin
+    spells = spells.withColumn("_bin", F.explode(F.expr(f"sequence(start_ms div {BIN_MS}, (end_ms - 1) div {BIN_MS})"))).alias("s")
+    on = (F.col(f"c.{key}") == F.col(f"s.{key}")) & (F.col("c._bin") == F.col("s._bin")) & (F.col("s.start_ms") <= F.col("c.at")) & (F.col("s.end_ms") > F.col("c.at"))
+    held = cuts.withColumn("_bin", F.expr(f"at div {BIN_MS}")).alias("c").join(spells, on)
     side = lambda x: F.sort_array(F.collect_set(F.when(F.col("s.side") == x, F.col("s.speaker")))).alias({"r": "ref", "h": "hyp"}[x])
     out = held.groupBy(F.col(f"c.{key}").alias(key), "c.at", "c.frames").agg(side("r"), side("h"), F.sort_array(F.collect_set("s.role")).alias("roles"), F.bool_or(F.col("s.side") == "c").alias("_near"))
     return out.where("NOT _near").drop("_near").withColumnRenamed("at", "at_ms")
