@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from skein.functions import constants as K
 from skein.functions import text as T
 from skein.functions.shared import table
 from skein.operators import fuzzy, rules, validate
