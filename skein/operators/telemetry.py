@@ -37,3 +37,11 @@ def counter_deltas(samples: DataFrame, by: str, order: list[str], counter: str)
 def utilization(samples: DataFrame, by: str, value: str) -> DataFrame:
     """Average and greatest value, to one digit."""
     return samples.groupBy(by).agg(F.round(F.avg(value), 1).alias("avg_value"), F.round(F.max(value), 1).alias("max_value"), F.count(value).alias("n_samples"))
+
+
+def diagnostics(calls: DataFrame, by: str) -> DataFrame:
+    """Per run: seconds of input, calls, and both again for the calls in the one-language mode."""
+    only = F.col("mode") == "ko_only"
+    return calls.groupBy(by).agg(
+        F.sum("input_seconds").alias("input_seconds"), F.count("*").alias("n_calls"), F.count_if(only).alias("n_ko_only"), F.coalesce(F.sum(F.when(only, F.col("input_seconds"))), F.lit(0)).alias("ko_only_seconds")
+    )

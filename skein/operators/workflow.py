@@ -99,3 +99,26 @@ def probe_duration(format_seconds: Column, stream_seconds: Column, ticks: Column
     """The first positive of the container's duration, the stream's, and ticks by time base."""
     positive = lambda x: F.when(x > 0, x)
     return F.coalesce(positive(format_seconds), positive(stream_seconds), positive(F.try_divide(ticks * num, den)))
+
+
+def difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows that one side has more often than the other, with ``side``; empty if both hold the same bag of rows."""
+    columns = left.columns
+    right = right.select(*columns)
+    return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+
+
+def manifest_cases(manifest: DataFrame, enrolled: DataFrame, by: str = "doctor") -> DataFrame:
+    """Cases of a manifest with ``state``: RUN where the doctor is enrolled, SKIPPED otherwise."""
+    known = enrolled.select(by).distinct().withColumn("_known", F.lit(True))
+    return manifest.join(known, by, "left").withColumn("state", F.when(F.col("_known"), "RUN").otherwise("SKIPPED")).drop("_known")
+
+
+def shift_turns(turns: DataFrame, offset_ms: int, duration_ms: Column) -> DataFrame:
+    """Turns of a clip that is mixed in from ``offset_ms`` on: shifted, cut at the end of the recording, dropped beyond it."""
+    start, end = F.col("start_ms") + offset_ms, F.least(F.col("end_ms") + offset_ms, duration_ms)
+    return turns.where(start < duration_ms).withColumns({"start_ms": start, "end_ms": end})
+
+
+def finding_text(raw: Column, trigger: Column) -> Column:
+    return F.coalesce(F.nullif(raw, F.lit("")), trigger)
