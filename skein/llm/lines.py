@@ -55,8 +55,8 @@ def _part_keys(parts: int) -> Column:
         for k in range(parts):
             before, behind = F.floor(m * k / parts).cast("int"), (m - F.floor(m * (k + 1) / parts)).cast("int")
             sides = [F.call_function("substring_index", F.col("_normal"), F.lit(" "), x) for x in (before, -behind)]
-            keys.append(F.when(m >= MIN_WORDS, F.xxhash64(m, F.lit(k), *sides)))
-    return F.array_compact(F.array(*keys))
+            keys.append(F.xxhash64(m, F.lit(k), *sides))
+    return F.when(n >= MIN_WORDS, F.array(*keys)).when(n + 1 >= MIN_WORDS, F.array(*keys[parts:])).otherwise(F.array().cast("array<bigint>"))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -68,10 +68,9 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select("id", "text_hash", "no", _digest(F.col("_normal")).alias("_digest"), _part_keys(COARSE).alias("_keys"))
 
 
-def _with_partner(keys: DataFrame) -> DataFrame:
-    """Digests of the lines that share a key with another line, from distinct (_digest, _key)."""
-    shared = keys.groupBy("_key").agg(F.count("*").alias("_m")).where("_m > 1").select("_key")
-    return keys.join(shared, "_key").select("_digest").distinct()
+def _shared(keys: DataFrame) -> DataFrame:
+    """The rows (_digest, _key, ...) whose key another line has too; a line has a key once."""
+    return keys.join(keys.groupBy("_key").agg(F.count("*").alias("_m")).where("_m > 1").select("_key"), "_key")
 
 
 def _place() -> Column:
@@ -80,22 +79,24 @@ def _place() -> Column:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(_key, _kind, _pos, _digest): the whole line and its variants. Kinds: r replaced, w whole, d deleted.
+    """(_key, _kind, _pos, _digest): the variants of a line (_words, _n) with a word of one of its shared parts deleted, and the line itself. Kinds: r replaced, w whole, d deleted.
 
     A sequence of words is hashed as the exclusive or of the hashes of (word, position), so
     a deletion needs the running values only.
     """
     running = lambda xs: F.aggregate(xs, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1).bitwiseXOR(x))))
-    df = lines.withColumn("_here", F.transform("_words", lambda w, i: F.xxhash64(w, i)))
-    df = df.withColumn("_before", F.transform("_words", lambda w, i: F.xxhash64(w, i - 1)))
-    df = df.withColumn("_run", running(F.col("_here"))).withColumn("_run1", running(F.col("_before"))).drop("_words")
-    n, whole = F.col("_n"), F.element_at("_run", -1)
+    n = F.col("_n")
+    # the first FINE parts are those of a longer line of as many words; a line too short for them has the others only
+    own = F.when(n >= MIN_WORDS, F.filter("_parts", lambda k: k < FINE)).otherwise(F.array().cast("array<int>"))
+    at = F.flatten(F.transform(own, lambda k: F.filter(F.sequence(F.floor(n * k / FINE), F.floor(n * (k + 1) / FINE)), lambda i: i < F.floor(n * (k + 1) / FINE))))
+    df = lines.withColumn("_at", F.transform(at, lambda i: i.cast("int")))
+    df = df.withColumn("_here", F.transform("_words", lambda w, i: F.xxhash64(w, i))).withColumn("_before", F.transform("_words", lambda w, i: F.xxhash64(w, i - 1)))
+    df = df.withColumn("_run", running(F.col("_here"))).withColumn("_run1", running(F.col("_before"))).drop("_words", "_parts")
+    whole = F.element_at("_run", -1)
     key = lambda kind, name, *of: F.struct(F.xxhash64(F.lit(name), *of).alias("key"), F.lit(kind).alias("kind"))
-    replaced = F.transform("_here", lambda x, i: key("r", "r", n, i, whole.bitwiseXOR(x)))
-    deleted = F.transform("_here", lambda x, i: key("d", "d", n - 1, F.get("_run", i).bitwiseXOR(F.element_at("_run1", -1)).bitwiseXOR(F.get("_run1", i + 1))))
-    none = F.array().cast("array<struct<key:bigint,kind:string>>")
-    all_keys = F.when(n >= MIN_WORDS, F.concat(replaced, deleted)).otherwise(none)
-    df = df.select("_pos", "_digest", F.explode(F.array_distinct(F.concat(F.array(key("w", "d", n, whole)), all_keys))).alias("_k"))
+    replaced = F.transform("_at", lambda i: key("r", "r", n, i, whole.bitwiseXOR(F.get("_here", i))))
+    deleted = F.transform("_at", lambda i: key("d", "d", n - 1, F.get("_run", i).bitwiseXOR(F.element_at("_run1", -1)).bitwiseXOR(F.get("_run1", i + 1))))
+    df = df.select("_pos", "_digest", F.explode(F.concat(F.array(key("w", "d", n, whole)), replaced, deleted)).alias("_k"))
     return df.select("_pos", "_digest", F.col("_k.key").alias("_key"), F.col("_k.kind").alias("_kind"))
 
 
@@ -115,7 +116,7 @@ def find_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     """
     slim = stored(_lines(docs, id_col, text_col))
     first = stored(slim.groupBy("_digest").agg(F.min(_place()).alias("_first"), F.count("*").alias("_rows"), F.any_value("_keys").alias("_keys")))
-    able = _with_partner(first.select("_digest", F.explode(F.array_distinct("_keys")).alias("_key"))).join(first.select("_digest", "_first"), "_digest")
+    able = _shared(first.select("_digest", F.explode("_keys").alias("_key"))).select("_digest").distinct().join(first.select("_digest", "_first"), "_digest")
     # the words of those lines: texts meet the line numbers that are asked of them, so whole texts move once
     asked = able.groupBy("_first.id", "_first.text_hash").agg(F.collect_set("_first.no").alias("_nos"))
     text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
@@ -124,8 +125,8 @@ def find_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     words = text.select(_place().alias("_pos"), _normal(F.get("_lines", F.col("no"))).alias("_normal"))
     words = words.select("_pos", "_normal", _count(F.col("_normal")).alias("_n"), _digest(F.col("_normal")).alias("_digest"))
     words = stored(words.dropDuplicates(["_digest"]))
-    keys = words.select("_digest", F.explode(F.array_distinct(_part_keys(FINE))).alias("_key"))
-    texts = stored(words.join(_with_partner(keys), "_digest").select("_pos", "_digest", "_n", F.split("_normal", " ").alias("_words")))
+    parts = _shared(words.select("_digest", F.posexplode(_part_keys(FINE)).alias("_part", "_key"))).groupBy("_digest").agg(F.sort_array(F.collect_set("_part")).alias("_parts"))
+    texts = stored(words.join(parts, "_digest").select("_pos", "_digest", "_n", "_parts", F.split("_normal", " ").alias("_words")))
     variants = stored(_variants(texts))
     at = lambda kind: F.min(F.when(F.col("_kind") == kind, F.struct("_pos", "_digest"))).alias(f"_{kind}")
     groups = variants.groupBy("_key").agg(F.count("*").alias("_m"), at("r"), at("w"), at("d")).where((F.col("_m") > 1) & (F.col("_r").isNotNull() | (F.col("_w").isNotNull() & F.col("_d").isNotNull())))
