@@ -146,10 +146,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = hamming_links(classes.select("fp"))
     if count > 1:
         links = links.union(similar_links(checkpointed(rows.groupBy("fp").agg(F.min("_fps").alias("fps"))), count))
-    linked = connected_components(links)
-    linked = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    names = linked.groupBy("component").agg(F.min("least").alias("name"))
-    named = checkpointed(linked.join(names, "component").select("fp", F.col("name").alias("component")))
+    # only linked classes need a component's name; all others are their own
+    linked = checkpointed(classes.join(connected_components(links).withColumnRenamed("node", "fp"), "fp"))
+    names = checkpointed(linked.groupBy("component").agg(F.min("least").alias("name")))
+    named = linked.join(names, "component").select("fp", "name", F.lit(True).alias("_linked"))
+    name = F.when(F.col("_linked"), F.col("name")).otherwise(F.col("least"))
+    named = checkpointed(classes.join(named, "fp", "left").select("fp", name.alias("component")))
     return rows.join(named, "fp").select("id", "fp", "component")
 
 
