@@ -251,10 +251,10 @@ def remove_spans(text: str | None, spans) -> str | None:
     return b"".join([*out, data[last:]]).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, max_coverage: float = 0.5, min_span: int = WINDOW, text_col: str = "text", **kw) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, max_coverage: float = 0.5, min_span: int = 1, text_col: str = "text", **kw) -> DataFrame:
     """``docs`` with the hit spans cut out of the text; documents hit over ``max_coverage`` of their words go.
 
-    Spans shorter than ``min_span`` words stay. An n_chars column is set to the new length.
+    Spans shorter than ``min_span`` words stay; by default none do. An n_chars column is set to the new length.
     """
     scanned = find_contamination(docs, benchmark, text_col=text_col, **kw).where(F.col("n_hit") <= max_coverage * F.col("n_words"))
 
