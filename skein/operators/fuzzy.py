@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import constants as K
 from skein.functions.shared import broadcast_if_small, checkpointed
-from skein.functions.text import similarity, tokens
+from skein.functions.text import tokens
 
 
 def token_windows(text: Column, sizes: tuple[int, ...] = K.WINDOWS) -> Column:
@@ -41,9 +41,13 @@ def fuzzy_candidates(texts: DataFrame, dictionary: DataFrame, *, key: str = "doc
     spans = rows.select("span").distinct().withColumn("_len", F.length(F.replace("span", F.lit(" "), F.lit(""))))
     size = F.length(F.replace("name", F.lit(" "), F.lit("")))
     reach = F.floor(size * (1 - min_similarity) + 1e-9).cast("int")
-    near = names.where(size > 0).withColumn("_len", F.explode(F.sequence(F.greatest(F.lit(0), size - reach), size + reach)))
-    sim = similarity(F.col("name"), F.col("span"))
-    scored = spans.join(broadcast_if_small(near), "_len").withColumn("_sim", sim).where((F.col("_sim") >= min_similarity) & (F.col("_sim") > 0))
+    near = names.where(size > 0).withColumns({"_size": size, "_reach": reach, "_bare": F.replace("name", F.lit(" "), F.lit(""))})
+    near = near.withColumn("_len", F.explode(F.sequence(F.greatest(F.lit(0), F.col("_size") - F.col("_reach")), F.col("_size") + F.col("_reach"))))
+    # few bytes but much work a span: a given number of partitions is not merged for being small
+    spans = spans.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "span")
+    # the bounded edit distance stops early and is -1 beyond the bound
+    met = spans.join(broadcast_if_small(near), "_len").withColumn("_d", F.call_function("levenshtein", "_bare", "span", "_reach")).where("_d >= 0")
+    scored = met.withColumn("_sim", 1 - F.col("_d") / F.col("_size")).where((F.col("_sim") >= min_similarity) & (F.col("_sim") > 0))
     best = checkpointed(scored.groupBy("span").agg(F.max(F.struct("_sim", (-F.col("ord")).alias("_o"), "name")).alias("_b")).select("span", F.col("_b.name").alias("name"), F.col("_b._sim").alias("similarity")))
     found = rows.join(best, "span")
     touched = found.select(key, "start", "stop", F.explode(F.sequence("start", F.col("stop") - 1)).alias("_t")).join(exact, [key, "_t"], "left_semi").select(key, "start", "stop").distinct()
