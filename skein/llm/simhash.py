@@ -108,26 +108,66 @@ def hamming_links(prints: DataFrame, blocks: int = BLOCKS, paired: int = PAIRED)
     return pairs.union(stars)
 
 
-def similar_links(classes: DataFrame, count: int) -> DataFrame:
+def _quarters(count: int) -> list[tuple[int, int, int]]:
+    """(fingerprint, quarter of it, its bits) of every quarter of ``count`` fingerprints."""
+    return [(v, i, m) for v in range(count) for i, m in enumerate(_masks(4, 1))]
+
+
+def _key_quarters(count: int) -> list[tuple[int, int]]:
+    """The two quarters of each key: every two of one fingerprint, and each with the next quarter of the next fingerprint."""
+    within = [(4 * v + i, 4 * v + j) for v in range(count) for i, j in combinations(range(4), 2)]
+    return within + [(4 * v + i, 4 * ((v + 1) % count) + (i + 1) % 4) for v in range(count) for i in range(4)]
+
+
+def similar_links(classes: DataFrame, count: int, known: DataFrame, paired: int = PAIRED) -> DataFrame:
     """Links (a, b) between texts (fp, fps: their first and all of their ``count`` fingerprints) that differ in few bits of all fingerprints together.
 
     Every pair of two quarters of one fingerprint is a key of 32 bits, and so is each quarter with the next
-    quarter of the next fingerprint. Each text of a key is compared with the key's first one,
-    so the comparisons grow with the keys, however many texts share one. A pair shares a key with a
-    probability that rises with its similarity.
+    quarter of the next fingerprint. Distinct texts of a key are compared, in two steps. First each meets the key's first
+    one. Then texts that the links so far, ``known`` ones (a, b) included, have brought into one component need no more
+    comparisons with each other: of each key, the texts outside of its largest component are compared with all others.
+    A key with more than ``paired`` of them is split by every further quarter into smaller keys, and these again. No text
+    of a key is left out; only pairs of such a crowded key that agree in none of its further quarters do not meet there.
+    A pair shares a key with a probability that rises with its similarity.
     """
-    held = lambda v, m: F.get("fps", F.lit(v % count)).bitwiseAND(F.lit(m))
-    quarters = _masks(4, 1)
-    values = [held(v, m) for v in range(count) for m in _masks(4, 2)]
-    values += [held(v, quarters[i]).bitwiseOR(held(v + 1, quarters[(i + 1) % 4])) for v in range(count) for i in range(4)]
-    parts = F.array(*[F.xxhash64(F.lit(n), x) for n, x in enumerate(values)])
-    keys = classes.select(F.col("fp").alias("b"), F.explode(parts).alias("k"))
-    first = keys.groupBy("k").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = keys.join(first, "k").where("a <> b").select("a", "b").distinct()
-    side = lambda x: classes.select(F.col("fp").alias(x), F.col("fps").alias(f"_{x}"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
-    bits = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return pairs.where(bits <= SPREAD * count).select("a", "b")
+    vectors = checkpointed(classes.select("fp", "fps", F.xxhash64("fps").alias("v")).distinct())
+    quarter = [F.get("fps", F.lit(v)).bitwiseAND(F.lit(m)) for v, _, m in _quarters(count)]
+    own = _key_quarters(count)
+    parts = F.array(*[F.xxhash64(F.lit(n), quarter[i], quarter[j]) for n, (i, j) in enumerate(own)])
+    side = lambda x: vectors.select(F.col("v").alias(x), F.col("fp").alias(f"{x}_fp"), F.col("fps").alias(f"{x}_fps"))
+    bits = F.aggregate(F.zip_with("a_fps", "b_fps", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        met = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where((F.col("a_fp") != F.col("b_fp")) & (bits <= SPREAD * count))
+        return met.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
+
+    def shared(keys: DataFrame) -> DataFrame:
+        first = keys.groupBy("k").agg(F.min("v").alias("first"), F.count("*").alias("n")).where("n > 1")
+        return checkpointed(keys.join(first, "k"))
+
+    # g: number of the key; last: the last quarter that split it
+    rows = shared(vectors.select("v", F.posexplode(parts).alias("g", "k")).withColumn("last", F.lit(-1)))
+    links = known
+    while True:
+        links = checkpointed(links.union(near(rows.where("v <> first").select(F.col("first").alias("a"), F.col("v").alias("b")))))
+        named = connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("c"))
+        named = vectors.join(named, "fp", "left").select("v", F.coalesce("c", "fp").alias("c"))
+        rows = rows.where("n > 2").select("k", "v", "g", "last").join(named, "v")
+        sizes = rows.groupBy("k", "c").agg(F.count("*").alias("s")).groupBy("k").agg(F.sum("s").alias("n"), F.max(F.struct("s", "c")).alias("top"))
+        sizes = sizes.select("k", F.col("top.c").alias("top"), (F.col("n") - F.col("top.s")).alias("rest")).where("rest > 0")
+        rows = checkpointed(rows.join(sizes, "k"))
+        crowded = (F.col("rest") > paired) & (F.col("last") < len(quarter) - 1)
+        few = rows.where(~crowded)
+        rest = few.where("c <> top").select("k", F.col("v").alias("a"), F.col("c").alias("ac"))
+        pairs = rest.join(few.select("k", F.col("v").alias("b"), F.col("c").alias("bc"), "top"), "k").where("ac <> bc AND (bc = top OR a < b)")
+        links = links.union(near(pairs.select("a", "b")))
+        many = rows.where(crowded).select("k", "v", "g", "last")
+        if many.isEmpty():
+            return links
+        held = F.array(*[F.array(F.lit(i), F.lit(j)) for i, j in own])
+        split = many.join(vectors.select("v", "fps"), "v").select("v", "g", "last", "k", F.get(held, F.col("g")).alias("own"), F.posexplode(F.array(*quarter)).alias("q", "x"))
+        split = split.where((F.col("q") > F.col("last")) & ~F.array_contains("own", F.col("q")))
+        rows = shared(split.select("v", "g", F.xxhash64("k", "q", "x").alias("k"), F.col("q").alias("last")))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, count: int = 1) -> DataFrame:
@@ -145,7 +185,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("least")))
     links = hamming_links(classes.select("fp"))
     if count > 1:
-        links = links.union(similar_links(checkpointed(rows.groupBy("fp").agg(F.min("_fps").alias("fps"))), count))
+        links = similar_links(rows.select("fp", F.col("_fps").alias("fps")), count, links)
     # only linked classes need a component's name; all others are their own
     linked = checkpointed(classes.join(connected_components(links).withColumnRenamed("node", "fp"), "fp"))
     names = checkpointed(linked.groupBy("component").agg(F.min("least").alias("name")))

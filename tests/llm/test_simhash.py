@@ -2,6 +2,7 @@ import random
 import re
 
 import xxhash
+from pyspark.sql import functions as F
 
 from skein.llm import components, simhash
 
@@ -102,6 +103,41 @@ def clusters(seed):
     return sorted(out | {rng.getrandbits(64) for _ in range(200)} | {0, (1 << 64) - 1, 1 << 63})
 
 
+def flipped(fps, bits):
+    """Fingerprints with the given bits of all of them changed."""
+    out = [x & (1 << 64) - 1 for x in fps]
+    for bit in bits:
+        out[bit // 64] ^= 1 << bit % 64
+    return [x - (1 << 64) if x >> 63 else x for x in out]
+
+
+def names(spark, monkeypatch, vectors):
+    """Component, by position, of texts with the given fingerprints."""
+    held = lambda docs, text_col, shingle, count: docs.withColumn("_fps", F.from_json(text_col, "array<long>"))
+    monkeypatch.setattr(simhash, "with_fingerprints", held)
+    data = [(i, str(v)) for i, v in enumerate(vectors)]
+    return {r.id: r.component for r in simhash.near_duplicates(spark.createDataFrame(data, SCHEMA), count=8).collect()}
+
+
+def test_pairs_that_are_not_near_the_first_of_their_key(spark, monkeypatch):
+    rng = random.Random(11)
+    base = flipped([0] * 8, [b for b in range(512) if rng.random() < 0.5])
+    for n in (20, 40):  # fewer and more texts than a key may hold without being split
+        # all share the first half of the first fingerprint; a pair shares one quarter of the third too, and differs by 58 bits
+        far = [flipped(base, rng.sample(range(32, 512), 200)) for _ in range(n)]
+        near = [flipped(v, [16 * q + b for q in range(2, 32) if q != 8 for b in rng.sample(range(16), 2)]) for v in far]
+        got = names(spark, monkeypatch, far + near)
+        assert got == {i: i % n for i in range(2 * n)}
+
+
+def test_every_text_of_a_first_fingerprint_is_a_candidate(spark, monkeypatch):
+    rng = random.Random(12)
+    one = flipped([0] * 8, [b for b in range(512) if rng.random() < 0.5])
+    same = [one[0], *flipped(one, rng.sample(range(64, 512), 200))[1:]]
+    near = [flipped(v, rng.sample(range(64), 8) + rng.sample(range(64, 512), 20)) for v in (one, same)]
+    assert names(spark, monkeypatch, [one, same, *near]) == {i: 0 for i in range(4)}
+
+
 def test_links_whether_few_or_many_share_a_block(spark):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     prints = {signed(x): x for x in clusters(1)}
