@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from skein.functions.shared import broadcast_if_small, checkpointed, table
 
 _MARK = "\x01"
-_ASSIGNED = r"((?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?)([^\s\"'<>\x01]{8,256})"
+_ASSIGNED = r"((?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?)([^\s\"'<>\x01]{8,})"
 _RUN = r"(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_=-]{16,})"
 CANDIDATE = f"{_ASSIGNED}|{_RUN}"
 BEFORE, AFTER = 64, 24

@@ -28,6 +28,15 @@ def test_positions_and_verdicts(spark):
     assert [r.secret for r in got][:2] == [True, False]
 
 
+def test_long_assigned_values_are_whole(spark):
+    token = KEY * 10 + ".!" + KEY
+    data = [(1, f'say token = "{token}" here'), (2, f"secret: {token}\nnext")]
+    got = {r.id: (r.start, r.candidate, r.secret) for r in found(spark, data).collect()}
+    assert got == {1: (13, token, True), 2: (8, token, True)}
+    out = secrets.redact(spark.createDataFrame(data, SCHEMA), secrets.labelled_findings(spark)).orderBy("doc_id").collect()
+    assert [r.text for r in out] == ['say token = "[secret]" here', "secret: [secret]\nnext"]
+
+
 def test_edges(spark):
     data = [(1, None), (2, ""), (None, f'token = "{KEY}"'), (3, f'token = "{KEY}"'), (3, f'token = "{KEY}"'), (4, "word " * 30_000 + f'password = "{KEY}"'), (5, "a\x01b " + KEY)]
     got = found(spark, data).collect()
