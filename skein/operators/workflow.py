@@ -15,6 +15,12 @@ def latest(df: DataFrame, by: str, order: Sequence[Column]) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where("_k = 1").drop("_k")
 
 
+def audit_events(events: DataFrame, by: str, order: Sequence[Column], only: object = None) -> DataFrame:
+    """Every event, or those of the encounter ``only``, with its rank within its encounter under ``order``, which must decide every tie."""
+    df = events if only is None else events.where(F.col(by) == F.lit(only))
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+
+
 def lookup(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(rows of the wanted keys, keys without a row)."""
     return df.join(keys, key), keys.join(df.select(key), key, "left_anti")

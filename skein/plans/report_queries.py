@@ -61,11 +61,20 @@ FINDING_TEXTS = "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 AND text <> '' THE
 
 
 def audit_log(spark, sf_dir):
-    """Audit events of an optional encounter, newest first within it."""
+    """The newest event of each of the first users, as its SQL twin has it; audit_events has all events of all users."""
     e = table(spark, sf_dir, "events").where("user_id < 20")
     return workflow.latest(e, "user_id", [F.col("ts").desc(), F.col("event_id").desc()]).select("user_id", "event_id", "event_type")
 
 
 AUDIT_LOG = "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE user_id < 20) WHERE k = 1"
 
-QUERIES = {name: (globals()[name], globals()[name.upper()]) for name in ("asr_diagnostics", "compare_runs", "manifest_cases", "shifted_turns", "recording_extent", "finding_texts", "audit_log")}
+
+def audit_events(spark, sf_dir):
+    """All audit events with their rank within the user, newest first."""
+    e = table(spark, sf_dir, "events")
+    return workflow.audit_events(e, "user_id", [F.col("ts").desc(), F.col("event_id").desc()]).select("user_id", "event_id", "event_type", "rank")
+
+
+AUDIT_EVENTS = "SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events"
+
+QUERIES = {name: (globals()[name], globals()[name.upper()]) for name in ("asr_diagnostics", "compare_runs", "manifest_cases", "shifted_turns", "recording_extent", "finding_texts", "audit_log", "audit_events")}

@@ -61,3 +61,18 @@ def test_streaming_transitions_and_latency(spark, tmp_path):
     stages = spark.sql("SELECT timestamp'2024-01-01 00:01:00' AS created_at, 'asr' AS stage, 5.0D AS duration_ms UNION ALL SELECT timestamp'2024-01-01 00:02:00', 'asr', 7.0D")
     r = telemetry.windowed_latency(stages).first()
     assert (r.n, r.total_ms, r.min_ms, r.max_ms) == (2, 12.0, 5.0, 7.0)
+
+
+def test_all_audit_events_are_ranked(spark):
+    from pyspark.sql import functions as F
+
+    from skein.operators import workflow
+    from skein.plans.registry import QUERIES
+    from skein.functions.shared import table
+
+    sf = "/root/testdata/sf0.001"
+    assert QUERIES["audit_events"](spark, sf).count() == table(spark, sf, "events").count()
+    e = spark.createDataFrame([(30, 1, 5), (30, 2, 7), (None, 3, 1), (4, 4, 9)], "user long, id long, ts long")
+    order = [F.col("ts").desc(), F.col("id").desc()]
+    assert {(r.user, r.id): r.rank for r in workflow.audit_events(e, "user", order).collect()} == {(30, 1): 2, (30, 2): 1, (None, 3): 1, (4, 4): 1}
+    assert [(r.id, r.rank) for r in workflow.audit_events(e, "user", order, only=30).orderBy("rank").collect()] == [(2, 1), (1, 2)]
