@@ -86,6 +86,19 @@ BEST_OVERLAP_ALIGN = f"""WITH {SEG_SQL}, p AS (
 SELECT conv_id, seg, turn, speaker_index, o::BIGINT AS overlap_ms FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, seg ORDER BY o DESC, CASE WHEN o > 0 THEN 0 ELSE d END, turn) AS k FROM p) WHERE k = 1"""
 
 
+def best_overlap_align_all(spark, sf_dir):
+    """All hypothesis segments against all turns; best_overlap_align leaves some out on both sides."""
+    turns = timed_segments(spark, sf_dir)
+    return align.best_overlap(hypothesis_segments(turns).withColumnRenamed("turn", "seg"), turns)
+
+
+BEST_OVERLAP_ALIGN_ALL = f"""WITH {SEG_SQL}, p AS (
+  SELECT h.conv_id, h.turn AS seg, s.turn, s.speaker_index, greatest(0, least(h.end_ms, s.end_ms) - greatest(h.start_ms, s.start_ms)) AS o, abs(h.start_ms - s.start_ms) AS d
+  FROM hyp h JOIN seg s ON h.conv_id = s.conv_id
+)
+SELECT conv_id, seg, turn, speaker_index, o::BIGINT AS overlap_ms FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, seg ORDER BY o DESC, CASE WHEN o > 0 THEN 0 ELSE d END, turn) AS k FROM p) WHERE k = 1"""
+
+
 def gt_text_match(spark, sf_dir):
     truth = timed_segments(spark, sf_dir)
     return align.text_by_overlap(truth, hypothesis_segments(truth))
@@ -153,6 +166,7 @@ QUERIES = {
     "transcript_build": (transcript_build, TRANSCRIPT_BUILD),
     "transcript_segments": (transcript_segments, TRANSCRIPT_SEGMENTS),
     "best_overlap_align": (best_overlap_align, BEST_OVERLAP_ALIGN),
+    "best_overlap_align_all": (best_overlap_align_all, BEST_OVERLAP_ALIGN_ALL),
     "gt_text_match": (gt_text_match, GT_TEXT_MATCH),
     "speaker_mapping_accuracy": (speaker_mapping_accuracy, SPEAKER_MAPPING_ACCURACY),
     "first_seen_speaker": (first_seen_speaker, FIRST_SEEN_SPEAKER),

@@ -65,3 +65,12 @@ def test_nearest_tie_takes_the_first_turn(spark):
 def test_overlap_pairs_across_bins_come_once(spark):
     a = turns(spark, [(0, 0, 200_000, "x")])
     assert align.overlapping(a, a).count() == 1
+
+
+def test_every_hypothesis_segment_is_aligned(spark):
+    from skein.plans.registry import QUERIES
+    from skein.sources.tables import timed_segments
+
+    sf = "/root/testdata/sf0.001"
+    got = {(r.conv_id, r.seg) for r in QUERIES["best_overlap_align_all"](spark, sf).collect()}
+    assert got == {(r.conv_id, r.turn) for r in timed_segments(spark, sf).collect()}
