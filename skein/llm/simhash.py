@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.shared import bound_batches, checkpointed, table
@@ -179,8 +179,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     two bits of it. Null ids are never a component's name unless it has no other. Repeated
     rows are copies like any others. An empty table gives an empty one.
     """
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
-    rows = with_fingerprints(text, "_text", shingle, count).select("id", F.element_at("_fps", 1).alias("fp"), *(["_fps"] if count > 1 else []))
+    return _grouped(docs, id_col, text_col, shingle, count).select("id", "fp", "component")
+
+
+def _digest(text_col: str) -> Column:
+    return F.coalesce(F.unhex(F.sha2(F.col(text_col).cast("string").cast("binary"), 256)), F.lit(b""))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, count: int, digest: bool = False) -> DataFrame:
+    """near_duplicates with the group, which unlike the component's name no other group has, and if wanted a digest of the text."""
+    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), *([_digest(text_col).alias("digest")] if digest else []))
+    kept = ["id", "digest"] if digest else ["id"]
+    rows = with_fingerprints(text, "_text", shingle, count).select(*kept, F.element_at("_fps", 1).alias("fp"), *(["_fps"] if count > 1 else []))
     rows = checkpointed(rows)
     classes = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("least")))
     links = hamming_links(classes.select("fp"))
@@ -189,20 +199,30 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # only linked classes need a component's name; all others are their own
     linked = checkpointed(classes.join(connected_components(links).withColumnRenamed("node", "fp"), "fp"))
     names = checkpointed(linked.groupBy("component").agg(F.min("least").alias("name")))
-    named = linked.join(names, "component").select("fp", "name", F.lit(True).alias("_linked"))
-    name = F.when(F.col("_linked"), F.col("name")).otherwise(F.col("least"))
-    named = checkpointed(classes.join(named, "fp", "left").select("fp", name.alias("component")))
-    return rows.join(named, "fp").select("id", "fp", "component")
+    named = linked.join(names, "component").select("fp", "name", F.col("component").alias("_group"))
+    name = F.when(F.col("_group").isNotNull(), F.col("name")).otherwise(F.col("least"))
+    named = checkpointed(classes.join(named, "fp", "left").select("fp", name.alias("component"), F.coalesce("_group", "fp").alias("group")))
+    return rows.join(named, "fp").select(*kept, "fp", "component", "group")
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, count: int = 1) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller id; rows with a null id stay.
+    """``docs`` with one row of each group of near duplicates: of the smallest id, then the smallest SHA-256 of the text, then the smallest JSON form of the row. Rows with a null id stay.
 
-    Only ids leave the scoring pass; the texts are joined with the ids that go.
+    Only ids and digests leave the scoring pass; the texts are joined with those that go.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, count=count)
-    gone = checkpointed(found.where(F.col("id") != F.col("component")).select(F.col("id").alias("_gone")).distinct())
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    found = checkpointed(_grouped(docs, id_col, text_col, shingle, count, digest=True).where("id IS NOT NULL").groupBy("group", "id", "digest").agg(F.count("*").alias("n")))
+    first = found.groupBy("group").agg(F.min(F.struct("id", "digest")).alias("first"))
+    found = found.join(first, "group").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), (F.struct("id", "digest") == F.col("first")).alias("_stays"), "n")
+    found = checkpointed(found.where("n > 1 OR NOT _stays"))
+    on = (docs[id_col] == F.col("_id")) & (_digest(text_col) == F.col("_digest"))
+    once = docs.join(found, on, "left_anti")
+    repeats = checkpointed(found.where("_stays").select("_id", "_digest"))
+    if repeats.isEmpty():
+        return once
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = docs.join(repeats, on, "left_semi").withColumn("_digest", _digest(text_col))
+    again = again.groupBy(id_col, "_digest").agg(F.min_by(row, F.to_json(row)).alias("_row"))
+    return once.unionByName(again.select("_row.*"))
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

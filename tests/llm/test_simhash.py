@@ -167,3 +167,9 @@ def test_one_of_each_group_stays(spark):
     data = [(3, "same text here", "b"), (2, "same text here", "a"), (9, "Same TEXT here", "c"), (4, "quite another matter", "d"), (None, "same text here", "e")]
     out = simhash.drop_near_duplicates(spark.createDataFrame(data, "doc_id long, text string, component string"))
     assert sorted((str(r.doc_id), r.component) for r in out.collect()) == [("2", "a"), ("4", "d"), ("None", "e")]
+
+
+def test_repeated_ids_lose_no_text_and_leave_one_row(spark):
+    data = [(1, "same text here", "a"), (5, "same text here", "b"), (5, "quite another matter", "c"), (7, "a third thing altogether", "e"), (7, "a third thing altogether", "d"), (7, None, "f")]
+    out = simhash.drop_near_duplicates(spark.createDataFrame(data, "doc_id long, text string, tag string"))
+    assert sorted((r.doc_id, r.tag) for r in out.collect()) == [(1, "a"), (5, "c"), (7, "d"), (7, "f")]
