@@ -1,15 +1,23 @@
 """Main text of web pages: consensus host paths.
 
-A page is read into a tree of its blocks; inline tags leave no trace. Subtrees of
-navigation, notices, adverts, forms, comments and the like are left out. Every page
-scores its containers and names one; the generalised path to it, tags with their
-classes and numbers blotted out, is its vote. Spark adds up the votes of a host. Each page
-is then read again with its host's winning path; where that path leads to no text,
-the page's own container counts.
+A page is read into a tree of its blocks; inline tags leave no trace. Every page scores its
+containers by their text outside of links and names the best one; the generalised path to
+it, tags with their classes and numbers blotted out, is its vote. Spark adds up the votes of a
+host: a path wins by the number of different texts that it leads to, so what repeats from
+page to page counts once. Each page is then read again with its host's winning path; where that
+path leads to no text, the page's own container counts.
+
+Navigation, notices, adverts, forms, comments and the like do not count as text. A name of a class or
+an id only lowers a score: a wrapper that holds the page's article, or most of its text where
+little else is left, is never set aside for its name.
+
+Reading takes time and memory in proportion to the page: open elements are found by tag,
+scopes are carried along, and paths are built for the chosen container only.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
 from collections.abc import Iterator
@@ -21,168 +29,327 @@ from pyspark.sql import functions as F
 from skein.functions.shared import bound_batches, broadcast_if_small, checkpointed, table
 from skein.llm.urls import url_host
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: A quote opens a string only behind an equals sign; elsewhere it is part of a name.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+)(?:>|\Z)")
+_OTHER = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:[!?]|/(?=[^a-zA-Z]))[^>]*(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/>][^\s=/>]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 # Tag names of HTML.
-_RAW = frozenset("script style noscript template textarea title svg math iframe object canvas audio video xmp noembed noframes select".split())
+_RAW = frozenset("script style title textarea iframe xmp noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var nobr".split())
-_BOILERPLATE = frozenset("nav header footer aside form button dialog menu head fieldset legend datalist output".split())
+_UNSEEN = frozenset("head noscript template select svg math object canvas audio video".split())
+_APART = frozenset("nav footer aside button dialog menu legend datalist output".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-_SAME_LEVEL = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _LEAF = frozenset("p li dt dd td th h1 h2 h3 h4 h5 h6 pre blockquote caption figcaption summary address".split())
-#: Words of class names, ids and roles that mark a subtree as no part of the article.
+_CELLS = frozenset("td th caption".split())
+_TABLE = frozenset("table thead tbody tfoot tr td th caption".split())
+#: Elements that end an open one of their kind, and the elements that shelter that one.
+_KINDS = {"p": "p", "li": "li", "dt": "dt", "dd": "dt", "tr": "tr", "td": "td", "th": "td", "option": "option"}
+_SHELTERS = {
+    "p": frozenset("div article section main td th li blockquote table button caption body".split()), "li": frozenset("ul ol menu".split()), "dt": frozenset(["dl"]),
+    "tr": frozenset(["table"]), "td": frozenset("tr table".split()), "option": frozenset(["select"]),
+}
+#: What an element stands for: text, a part that is set aside unless the text is in it, readers' comments, a head line, or what is never text.
+TEXT, SOFT, COMMENT, HEADER, HARD = range(5)
+#: Words of class names, ids and roles that mark an element as no part of the article.
 _MARKS = frozenset(
-    "ad ads adv advert advertisement advertising adsense banner breadcrumb breadcrumbs comment comments cookie cookies consent contentinfo complementary "
-    "dialog disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo "
-    "promotion promoted related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget alert".split()
+    "ad ads adv advert advertisement advertising adsense banner breadcrumb breadcrumbs cookie cookies consent contentinfo complementary "
+    "dialog footer gdpr login menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo "
+    "promotion promoted related search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget alert".split()
 )
-_MARK_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
+_COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+_HEADERS = frozenset("header masthead".split())
+#: Of these, what may mark an article element, by a name's first word, and an inline element.
+_TEASERS = frozenset("ad advert advertisement promo promoted related sponsored".split())
+_WITHIN_TEXT = frozenset("ad ads adv advert advertisement adsense promo share sharing skip social sponsor sponsored".split())
+#: First words of names that tell what a page has, not what the element is.
+_ABOUT = frozenset("has have no not non with without is can hide show enable disable".split())
+_WORDS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: A container is entered while one child holds this share of its text.
 _SHARE = 0.7
+#: An article element counts from this share of the text that no mark sets aside.
+_LEAST_ARTICLE = 0.2
 
 
 class Node:
-    __slots__ = ("tag", "path", "children", "left_out", "size")
+    __slots__ = ("tag", "label", "parent", "children", "mark", "all", "plain", "heading", "size", "score", "links", "left_out", "scope", "nested")
 
-    def __init__(self, tag: str, path: str, left_out: bool):
-        self.tag, self.path, self.left_out = tag, path, left_out
+    def __init__(self, tag: str, label: str, parent: Node | None, mark: int, scope: dict):
+        self.tag, self.label, self.parent, self.mark, self.scope = tag, label, parent, mark, scope
         self.children: list = []  # nodes and texts
-        self.size = 0
+        self.all = self.plain = self.size = self.score = self.links = self.nested = 0
+        self.heading = self.left_out = False
 
 
 def _attributes(source: str) -> dict[str, str]:
-    return {k.lower(): _html.unescape(v.strip("\"'")) if v else "" for k, v in _ATTRIBUTE.findall(source)}
+    out: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(source):
+        out.setdefault(name.lower(), _html.unescape(value.strip("\"'")) if value else "")
+    return out
 
 
-def _marked(attributes: dict[str, str]) -> bool:
-    names = " ".join(_CAMEL.sub(" ", attributes.get(k, "")) for k in ("class", "id", "role")).lower()
-    if names.strip() and not _MARKS.isdisjoint(_MARK_SPLIT.split(names)):
-        return True
-    return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(attributes.get("style", "")))
+def _mark(tag: str, attributes: dict[str, str]) -> int:
+    if tag in _UNSEEN or tag in _APART:
+        return HARD
+    if attributes and ("hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(attributes.get("style", ""))):
+        return SOFT
+    own = SOFT if tag in ("form", "fieldset") else HEADER if tag == "header" else TEXT
+    if not attributes or tag in ("html", "body", "main") or tag in _HEADINGS:
+        return own
+    found: set[str] = set()
+    for name in " ".join(_CAMEL.sub("-", attributes.get(k, "")) for k in ("class", "id", "role")).lower().split():
+        words = [w for w in _WORDS.split(name) if w]
+        if words and words[0] not in _ABOUT:
+            found.update(words[:1] if tag == "article" else words)
+    if not found:
+        return own
+    if tag in _INLINE:
+        return TEXT if found.isdisjoint(_WITHIN_TEXT) else SOFT
+    if not found.isdisjoint(_COMMENTS):
+        return COMMENT
+    if not found.isdisjoint(_TEASERS if tag == "article" else _MARKS):
+        return SOFT
+    return own if own or tag == "article" or found.isdisjoint(_HEADERS) else HEADER
+
+
+class _Reader:
+    """Reads tokens into a tree; every step takes the same time however deep or long the page is."""
+
+    def __init__(self):
+        self.root = Node("", "", None, TEXT, {})
+        self.stack = [self.root]
+        self.open: dict[str, list[int]] = {}  # by tag: places on the stack
+        self.inline: list[int] = []  # places of inline elements that are on the stack
+        self.in_link = False
+
+    def text(self, text: str) -> None:
+        text = _html.unescape(text) if "&" in text else text
+        top = self.stack[-1]
+        top.children.append(text)
+        if self.in_link:
+            top.links += _weight(text)
+
+    def push(self, tag: str, attributes: dict[str, str], mark: int, inline: bool = False) -> None:
+        parent = self.stack[-1]
+        scope, at = parent.scope, len(self.stack)
+        changed = {k: -1 for k, shelters in _SHELTERS.items() if tag in shelters and scope.get(k, -1) >= 0}
+        if tag in _KINDS:
+            changed[_KINDS[tag]] = at
+        if tag in _CELLS:
+            changed["cell"] = at
+        label = tag
+        if names := attributes.get("class"):
+            label = ".".join([tag, *sorted(re.sub(r"\d+", "#", c).replace("/", "#") for c in names.split())])
+        node = Node(tag, label, parent, mark, {**scope, **changed} if changed else scope)
+        parent.children.append(node)
+        self.stack.append(node)
+        self.open.setdefault(tag, []).append(at)
+        if inline:
+            self.inline.append(at)
+
+    def cut(self, at: int) -> None:
+        """Ends the elements from place ``at`` on."""
+        for node in reversed(self.stack[at:]):
+            self.open[node.tag].pop()
+        del self.stack[at:]
+        while self.inline and self.inline[-1] >= at:
+            self.inline.pop()
+
+    def start(self, tag: str, source: str) -> None:
+        top = self.stack[-1]
+        if tag in _VOID:
+            if tag == "br":
+                top.children.append(" ")
+            elif tag == "hr":
+                self.start_block("hr", {})
+                self.cut(len(self.stack) - 1)
+            return
+        attributes = _attributes(source) if source.strip(" /\n\t") else {}
+        if tag not in _INLINE:
+            self.start_block(tag, attributes)
+            return
+        if tag == "a":
+            self.in_link = True
+        if attributes and (mark := _mark(tag, attributes)):
+            self.push(tag, attributes, mark, inline=True)
+        elif self.inline and self.stack[self.inline[-1]].tag == tag:
+            self.stack[self.inline[-1]].nested += 1
+
+    def start_block(self, tag: str, attributes: dict[str, str]) -> None:
+        self.in_link = False
+        if tag in _CLOSES_P and (at := self.stack[-1].scope.get("p", -1)) >= 0:
+            self.cut(at)
+        if tag in _KINDS and tag != "p" and (at := self.stack[-1].scope.get(_KINDS[tag], -1)) >= 0:
+            self.cut(at)
+        if tag == "tr" and (at := self.stack[-1].scope.get("td", -1)) >= 0:
+            self.cut(at)
+        if self.stack[-1].tag == "head" and tag in _CLOSES_P or tag == "body" and self.open.get("head"):
+            self.cut(self.open["head"][-1])  # a head without an end ends where the content begins
+        if tag in ("html", "body") and self.open.get(tag):
+            return  # a second one adds nothing
+        self.push(tag, attributes, _mark(tag, attributes))
+
+    def end(self, tag: str) -> None:
+        if tag in _INLINE:
+            if tag == "a":
+                self.in_link = False
+            if self.inline and self.stack[self.inline[-1]].tag == tag:
+                if self.stack[self.inline[-1]].nested:
+                    self.stack[self.inline[-1]].nested -= 1
+                else:
+                    self.cut(self.inline[-1])
+            return
+        self.in_link = False
+        places = self.open.get(tag)
+        if not places:
+            if tag in ("br", "p"):
+                self.stack[-1].children.append("\n")
+            return
+        if tag in _TABLE or places[-1] > self.stack[-1].scope.get("cell", -1):
+            self.cut(places[-1])
+
+
+def _weight(text: str) -> int:
+    """Characters that are not white space."""
+    return len("".join(text.split()))
 
 
 def read_page(source: str | None) -> Node:
-    """The tree of a page's blocks. Unclosed, crossed and cut-off tags are put up with."""
-    root = Node("", "", False)
-    stack, data, at = [root], source or "", 0
-
+    """The tree of a page's blocks with what counts as text. Unclosed, crossed and cut-off tags are put up with."""
+    reader, data, at = _Reader(), source or "", 0
     while at < len(data):
-        m = _TOKEN.search(data, at)
-        text = data[at : m.start()] if m else data[at:]
-        if text and not stack[-1].left_out:
-            stack[-1].children.append(_html.unescape(text) if "&" in text else text)
-        if not m:
+        begin = data.find("<", at)
+        while begin >= 0:
+            m = _TAG.match(data, begin) or _OTHER.match(data, begin)
+            if m:
+                break
+            begin = data.find("<", begin + 1)
+        stop = begin if begin >= 0 else len(data)
+        if stop > at:
+            reader.text(data[at:stop])
+        if begin < 0:
             break
         at = m.end()
-        if m[2] is None:
+        if m.re is _OTHER:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in _INLINE:
-                continue
-            if tag in ("br", "p") and not any(x.tag == tag for x in stack):
-                stack[-1].children.append("\n")
-                continue
-            for n in range(len(stack) - 1, 0, -1):
-                if stack[n].tag == tag:
-                    del stack[n:]
-                    break
-            continue
-        if tag in _RAW:
-            if m[3].rstrip().endswith("/") and tag in ("svg", "math", "iframe"):
-                continue
-            end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(data, at)
+            reader.end(tag)
+        elif tag in _RAW:
+            end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(data, at)
             at = end.end() if end else len(data)
-            stack[-1].children.append("" if tag in ("svg", "math", "select") else " ")
-            continue
-        if tag in _VOID:
-            if tag == "hr":
-                stack[-1].children.append(Node("hr", "", True))
-            elif tag in ("br", "wbr"):
-                stack[-1].children.append(" " if tag == "br" else "")
-            continue
-        if tag in _INLINE:
-            if stack[-1].left_out or not ("class" in m[3] or "id" in m[3] or "style" in m[3] or "role" in m[3]):
-                continue
-            if not _marked(_attributes(m[3])):
-                continue
-            # an inline element that is marked goes with all it holds, up to its end tag
-            depth, pos = 1, at
-            for x in re.compile(rf"<(/?){tag}\b[^>]*>", re.I).finditer(data, at):
-                depth += -1 if x[1] else 1
-                pos = x.end()
-                if not depth:
-                    break
-            if not depth:
-                at = pos
-            continue
-        if tag in _CLOSES_P:
-            for n in range(len(stack) - 1, 0, -1):
-                if stack[n].tag == "p":
-                    del stack[n:]
-                    break
-                if stack[n].tag in ("div", "article", "section", "main", "td", "th", "li", "blockquote", "table", "button"):
-                    break
-        if tag in _SAME_LEVEL:
-            own, bounds = _SAME_LEVEL[tag]
-            for n in range(len(stack) - 1, 0, -1):
-                if stack[n].tag in bounds:
-                    break
-                if stack[n].tag in own.split():
-                    del stack[n:]
-                    break
-        if tag in ("html", "body"):
-            for n in range(len(stack) - 1, 0, -1):
-                if stack[n].tag in ("head", tag):
-                    del stack[n:]
-                    break
-        elif tag in _CLOSES_P and stack[-1].tag == "head":
-            stack.pop()  # a head without an end ends where the content begins
-        attributes = _attributes(m[3]) if m[3].strip(" /\n\t") else {}
-        classes = sorted(re.sub(r"\d+", "#", c) for c in attributes.get("class", "").split())
-        left_out = stack[-1].left_out or tag in _BOILERPLATE or (tag not in ("html", "body") and bool(attributes) and _marked(attributes))
-        node = Node(tag, stack[-1].path + "/" + ".".join([tag, *classes]), left_out)
-        stack[-1].children.append(node)
-        stack.append(node)
-    _measure(root)
-    return root
-
-
-def _measure(root: Node) -> None:
-    """Sets the number of characters that are not white space, below each node."""
+            reader.stack[-1].children.append(" ")
+        else:
+            reader.start(tag, m[3])
+    _judge(reader.root)
+    return reader.root
+
+
+def _below(root: Node, enter=lambda n: True) -> list[Node]:
+    """The node and those below it, parents first; ``enter`` says whether to go below one."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
-        if not node.left_out:
-            order.append(node)
-            todo += [c for c in node.children if isinstance(c, Node)]
+        order.append(node)
+        if enter(node):
+            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+    return order
+
+
+def _judge(root: Node) -> None:
+    """Decides which marked elements are left out, and sums up the text of what remains."""
+    order = _below(root)
     for node in reversed(order):
-        node.size = sum(c.size if isinstance(c, Node) else len("".join(c.split())) for c in node.children)
+        for c in node.children:
+            if isinstance(c, Node):
+                node.all += c.all
+                node.plain += 0 if c.mark else c.plain
+                node.heading |= c.heading or (c.tag in _HEADINGS and c.all > 0)
+            else:
+                n = _weight(c)
+                node.all += n
+                node.plain += n
+    article = _article(root)
+    kept = article
+    if article is None:
+        # where little is left, the marked element that holds most of the text is no mere part of the page
+        for node in _below(root, lambda n: n.mark != HARD):
+            left = root.plain if node.mark == COMMENT else root.plain // 4
+            if node.mark and node.mark != HARD and 2 * node.plain >= root.all and left < node.plain and (kept is None or node.plain > kept.plain):
+                if node.mark != COMMENT or not root.plain:
+                    kept = node
+    holders = set()
+    while kept is not None:
+        holders.add(id(kept))
+        kept = kept.parent
+    for node in order:
+        parent = node.parent
+        if parent is not None and parent.left_out:
+            node.left_out = True
+        elif node.mark and id(node) not in holders:
+            node.left_out = not (node.mark == HEADER and node.heading and _in_article(node))
+    for node in reversed(order):
+        if not node.left_out:
+            own = sum(_weight(c) for c in node.children if isinstance(c, str))
+            below = [c for c in node.children if isinstance(c, Node) and not c.left_out]
+            node.size = own + sum(c.size for c in below)
+            node.score = own - node.links + sum(c.score for c in below)
 
 
-def best_container(root: Node) -> Node:
-    """An article or main element that holds most of the page's such elements' text, else the innermost container with most of the text."""
+def _in_article(node: Node) -> bool:
+    """Whether the element that a head line belongs to is an article or the main part."""
+    while (node := node.parent) is not None and node.tag not in ("body", "section", "nav", "aside"):
+        if node.tag in ("article", "main"):
+            return True
+    return False
+
+
+def _article(root: Node) -> Node | None:
+    """The article or main element with the most text, if that is more than a teaser."""
     best = None
-    todo = [root]
-    while todo:  # the largest article, or main, counts before any share of the text
-        x = todo.pop()
-        if x.left_out:
-            continue
-        if x.tag in ("article", "main") and x.size and (best is None or x.size > best.size):
-            best = x
-        todo += [c for c in x.children if isinstance(c, Node)]
-    node = best or root
+    for node in _below(root, lambda n: n.mark not in (HARD, COMMENT)):
+        if node.tag in ("article", "main") and not node.mark and node.plain and (best is None or node.plain > best.plain):
+            best = node
+    return best if best is not None and best.plain >= _LEAST_ARTICLE * root.plain else None
+
+
+def best_container(root: Node) -> Node:
+    """The page's article or main element, else the innermost container with most of the text outside of links."""
+    article = _article(root)
+    node = article or root
     while True:
         held = [c for c in node.children if isinstance(c, Node) and not c.left_out and c.tag not in _LEAF]
-        inner = max(held, key=lambda c: c.size, default=None)
-        if inner is None or not inner.size or inner.size < _SHARE * node.size or (best is not None and inner.tag not in ("article", "main")):
+        inner = max(held, key=lambda c: (c.score, c.size), default=None)
+        if inner is None or not inner.size or (article is not None and inner.tag not in ("article", "main")):
+            return node
+        if inner.score < _SHARE * node.score or inner.size < _SHARE * node.size:
             return node
         node = inner
 
 
+def path_of(node: Node) -> str:
+    labels = []
+    while node.parent is not None:
+        labels.append(node.label)
+        node = node.parent
+    return "".join(f"/{x}" for x in reversed(labels))
+
+
+def on_path(root: Node, path: str) -> list[Node]:
+    """The elements that a path leads to; of several articles the one with the most text."""
+    found = [root]
+    for label in path.split("/")[1:]:
+        found = [c for n in found for c in n.children if isinstance(c, Node) and c.label == label and c.size]
+        if not found:
+            return []
+    if found[0].tag in ("article", "main", ""):
+        return [max(found, key=lambda n: n.size)]
+    return found
+
+
 def block_texts(node: Node) -> list[str]:
     """The texts of the node's blocks in page order; white space becomes one space, empty blocks go."""
     out: list[str] = []
@@ -200,8 +367,12 @@ def block_texts(node: Node) -> list[str]:
             flush()
         elif isinstance(x, str):
             run.append(x)
+        elif x.tag in _INLINE:
+            if not x.left_out:
+                todo += reversed(x.children)
         elif x.left_out:
-            flush()
+            if x.tag not in ("svg", "math", "select"):  # these stand within a line
+                flush()
         else:
             flush()
             todo += [None, *reversed(x.children)]
@@ -209,24 +380,18 @@ def block_texts(node: Node) -> list[str]:
     return out
 
 
-def vote(source: str | None) -> tuple[str, int]:
-    """The path that a page votes for, and the size of its container's text."""
+def vote(source: str | None) -> tuple[str, int, int]:
+    """The path that a page votes for, the size of its container's text, and a digest of that text."""
     best = best_container(read_page(source))
-    return best.path, best.size
+    text = "\n".join(block_texts(best)) if best.size else ""
+    digest = hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest()
+    return path_of(best), best.size, int.from_bytes(digest, "big", signed=True)
 
 
 def extract(source: str | None, path: str | None) -> str:
     """The text of the elements on the path, or of the page's own container where they hold none."""
     root = read_page(source)
-    found, todo = [], [root]
-    while todo:
-        x = todo.pop()
-        if x.left_out or not x.size:
-            continue
-        if path and x.path == path:
-            found.append(x)
-        else:
-            todo += reversed([c for c in x.children if isinstance(c, Node)])
+    found = on_path(root, path) if path else []
     return "\n".join(t for x in (found or [best_container(root)]) for t in block_texts(x))
 
 
@@ -234,15 +399,16 @@ def extract_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "htm
     """``pages`` with text and n_chars.
 
     A null or empty html has an empty text. Pages without a host vote together. Every page with text has one vote. A host's winner
-    is the path with the most votes, then the one with the most text, then the first by name. Input columns named like a result column give way to it. An empty
-    table gives an empty one.
+    is the path that leads to the most different texts, then the one of the most pages, then the one with the most text, then the first
+    by name. Repeated rows vote as often and all get the same text. Very long and very deep pages take time in proportion to
+    their length. Input columns named like a result column give way to it. An empty table gives an empty one.
     """
     bound_batches(pages.sparkSession)
 
-    @F.pandas_udf("path string, weight long")
+    @F.pandas_udf("path string, weight long, digest long")
     def votes(sources: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in sources:
-            yield pd.DataFrame([vote(x) for x in batch], columns=["path", "weight"])
+            yield pd.DataFrame([vote(x) for x in batch], columns=["path", "weight", "digest"])
 
     @F.pandas_udf("string")
     def texts(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -252,8 +418,11 @@ def extract_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "htm
     kept = [c for c in pages.columns if c not in ("text", "n_chars")]
     rows = pages.select(*[F.col(c).alias(f"_in_{c}") for c in kept], url_host(F.col(url_col)).alias("_host"), F.col(html_col).alias("_html"))
     cast = rows.select("_host", votes("_html").alias("_v")).where("_v.weight > 0")
-    sums = cast.groupBy("_host", F.col("_v.path").alias("path")).agg(F.count("*").alias("pages"), F.sum("_v.weight").alias("weight"))
-    winners = checkpointed(sums.groupBy("_host").agg(F.min(F.struct((-F.col("pages")).alias("p"), (-F.col("weight")).alias("w"), "path")).alias("_w")).select("_host", F.col("_w.path").alias("_path")))
+    # a hot host is split by text before its paths are counted
+    sums = cast.groupBy("_host", F.col("_v.path").alias("path"), F.col("_v.digest").alias("digest")).agg(F.count("*").alias("pages"), F.sum("_v.weight").alias("weight"))
+    sums = sums.groupBy("_host", "path").agg(F.count("*").alias("different"), F.sum("pages").alias("pages"), F.sum("weight").alias("weight"))
+    rank = F.struct((-F.col("different")).alias("d"), (-F.col("pages")).alias("p"), (-F.col("weight")).alias("w"), "path")
+    winners = checkpointed(sums.groupBy("_host").agg(F.min(rank).alias("_w")).select("_host", F.col("_w.path").alias("_path")))
     out = rows.join(broadcast_if_small(winners), "_host", "left").withColumn("text", texts("_html", "_path"))
     return out.select(*[F.col(f"_in_{c}").alias(c) for c in kept], "text", F.length("text").cast("long").alias("n_chars"))
 

@@ -58,3 +58,82 @@ def test_empty_and_repeated(spark):
     assert h.extract_text(spark.createDataFrame([], schema)).count() == 0
     rows = h.extract_text(spark.createDataFrame([(1, "http://a/", None)] * 3, schema)).collect()
     assert [(r.text, r.n_chars) for r in rows] == [("", 0)] * 3
+
+
+@pytest.mark.parametrize(
+    "source,want",
+    [
+        ("<div class='wrapper has-sidebar'><article><h1>T</h1><p>Body of it.</p></article><div class='sidebar'>side</div></div>", "T\nBody of it."),
+        ("<div class='site no-sidebar'><main><p>Body of it.</p></main></div>", "Body of it."),
+        ("<main class='search-results'><p>Found this.</p></main>", "Found this."),
+        ("<p it's>alpha</p><p>beta</p>", "alpha\nbeta"),
+        ("<p don't>one isn't two</p><p>three</p>", "one isn't two\nthree"),
+        ("<body><header>Site</header><article><header><h1>Title</h1></header><p>text</p><footer>by</footer></article>", "Title\ntext"),
+        ("<article><p>the long one of the two</p></article><article><p>short</p></article>", "the long one of the two"),
+        ("<body><form id='aspnetForm'><div class='page-header'><h1>Site</h1></div><div><p>" + "text " * 40 + "</p></div></form>", ("text " * 40).strip()),
+        ("<div class='content'><p>short article text</p></div><div class='comments'><p>" + "a comment " * 50 + "</p></div>", "short article text"),
+        ("<article><h1 class='page-header'>Head</h1><p>a <em class='alert'>kept</em> word <span class='ad-label'>ad <span>x</span> y</span> b</p></article>", "Head\na kept word b"),
+        ("<table><tr><td>a</div>b</td><td>c</td></tr></table>", "ab\nc"),
+        ("<p a=\"x>y\" b='z'>t</p><p c = \">\">u</p><p d=\"open>v", "t\nu\nv"),
+        ("a<!-->b<!--x-->c</ d>e<![CDATA[f]]>g", "abceg"),
+        ("<p>one<svg><title>t</title><text>no</text></svg>two", "onetwo"),
+        ("<ul><li>a<ul><li>b</ul><li>c</ul>", "a\nb\nc"),
+    ],
+)
+def test_one_page_against_the_article(source, want):
+    assert h.extract(source, h.vote(source)[0]) == want
+
+
+def test_deep_and_open_tags_take_linear_time():
+    import time
+
+    cases = ["<div>" * 50_000 + "deep", "<b>" * 50_000 + "x" + "</i>" * 50_000, "<span class='ad'>" * 50_000 + "x", "<p><button>" + "<h1>" * 50_000 + "x", "<div class='menu'>" * 50_000 + "x", "<a b='" * 50_000, "<" * 200_000, "<p a=" * 50_000, "<li>" * 50_000 + "x"]
+    for source in cases:
+        began = time.process_time()
+        h.extract(source, h.vote(source)[0])
+        assert time.process_time() - began < 10, source[:20]
+
+
+class Tree:
+    """Random blocks with their texts, written as html and as what a plain reader would list."""
+
+    def __init__(self, rng):
+        self.rng, self.n, self.texts = rng, 0, [[]]
+
+    def cut(self):
+        self.texts.append([])
+
+    def block(self, depth):
+        rng, tag = self.rng, self.rng.choice(["div", "section", "p", "h2", "blockquote"] if depth else ["p", "h2"])
+        attributes = rng.choice(["", " it's", " class='c1 x'", ' title="a>b"', " data-x=1"])
+        self.cut()
+        out = f"<{tag}{attributes}>"
+        for _ in range(rng.randrange(0, 4)):
+            if depth and tag in ("div", "section", "blockquote") and rng.random() < 0.5:
+                out += self.block(depth - 1)
+            else:
+                self.n += 1
+                word = rng.choice(["w", "it's", "a=b", '"q"', "x & y"]) + str(self.n)
+                self.texts[-1].append(word)
+                shown = html.escape(word, quote=rng.random() < 0.5)
+                out += rng.choice([" {}\n", "\t<b> {} </b>", " <i class=n>{}</i> ", "<!-- <p> --> {}", "<br>{}<br>"]).format(shown)
+        self.cut()
+        return out + f"</{tag}>"
+
+
+def test_random_trees_against_a_plain_reader():
+    import random
+
+    for seed in range(300):
+        tree = Tree(random.Random(seed))
+        source = "<html><body><article>" + "".join(tree.block(3) for _ in range(4)) + "</article></body></html>"
+        want = [" ".join(" ".join(t).split()) for t in tree.texts if t]
+        got = h.extract(source, h.vote(source)[0]).split("\n") if want else []
+        assert [g.replace(" ", "") for g in got] == [w.replace(" ", "") for w in want]
+
+
+def test_different_texts_outvote_a_repeated_one(spark):
+    one = "<div class='story'><p>{}</p></div><div class='box'><p>" + "the same box on every page " * 4 + "</p></div>"
+    data = [(i, f"http://h.org/{i}", one.format(f"story {i} " * 60)) for i in range(3)] + [(10 + i, f"http://h.org/{i}", one.format("tiny")) for i in range(5)]
+    got = {r.page_id: r.text for r in h.extract_text(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert got[10] == "tiny" and got[0] == ("story 0 " * 60).strip()
