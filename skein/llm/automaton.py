@@ -8,12 +8,15 @@ items hold that window. Documents without the opening words of any window cannot
 one; a vectorised test on those words spares them the walk.
 
 Items are cut into groups of bounded size, one automaton and one pass for each, so
-neither the driver nor a task ever holds more than one group.
+neither the driver nor a task ever holds more than one group. A worker process builds
+a group's automaton once and keeps it for its later tasks.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+from array import array
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -41,69 +44,104 @@ def words_of(data: bytes | None) -> list[bytes]:
 
 
 class Automaton:
-    """Suffix automaton of several word sequences, with the items of every state."""
+    """Suffix automaton of several word sequences, in flat arrays, with the items of every window.
+
+    Most states have one edge, which stands in two arrays; further edges stand in dictionaries of their own.
+    """
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
         self.window, self.ids = window, []
         self.vocabulary: dict[bytes, int] = {}
-        self.length, self.link, self.next = [0], [-1], [{}]
-        self.short: dict[int, list[tuple[int, int]]] = {}  # by state: (words, item) of items under a window
-        tokens = []
+        self.length, self.link = array("i", [0]), array("i", [-1])
+        self.word, self.to = array("i", [-1]), array("i", [-1])  # by state: its first edge
+        self.more: dict[int, dict[int, int]] = {}  # by state: its further edges
+        tokens, short = [], {}
         for item_id, text in items:
             if words := [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]:
                 self.ids.append(item_id)
-                tokens.append(words)
+                tokens.append(array("i", words))
                 last = 0
                 for w in words:
                     last = self._extend(last, w)
-        self.items: list[set[int]] = [set() for _ in self.length]
-        for k, words in enumerate(tokens):  # a later extension may have cloned a state, so the items are walked again
+        self._find_ancestors()
+        self.items: dict[int, set[int]] = {}  # by state of a window: the items that hold it
+        for k, words in enumerate(tokens):
             state = 0
-            for w in words:
-                state = self.next[state][w]
-                s = state
-                while s > 0 and k not in self.items[s]:
-                    self.items[s].add(k)
-                    s = self.link[s]
+            for n, w in enumerate(words, 1):
+                state = self.follow(state, w)
+                if n >= window:
+                    self.items.setdefault(self.anchor[state], set()).add(k)
             if len(words) < window:
-                self.short.setdefault(state, []).append((len(words), k))
+                short.setdefault(state, {}).setdefault(len(words), []).append(k)
+        self.short = {state: sorted(marks.items()) for state, marks in short.items()}  # by state: (words, items) of items under a window
+        self._find_marked()
         self.openings = np.unique(np.concatenate([self._grams(np.array(t, dtype=np.int64)) for t in tokens] or [np.empty(0, np.uint64)]))
 
+    def follow(self, state: int, w: int) -> int:
+        """The state that a word leads to, or -1."""
+        if self.word[state] == w:
+            return self.to[state]
+        edges = self.more.get(state)
+        return edges.get(w, -1) if edges else -1
+
+    def _lead(self, state: int, w: int, target: int) -> None:
+        if self.word[state] in (w, -1):
+            self.word[state], self.to[state] = w, target
+        else:
+            self.more.setdefault(state, {})[w] = target
+
     def _extend(self, last: int, w: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        if w in nxt[last]:
-            q = nxt[last][w]
-            if length[last] + 1 == length[q]:
-                return q
-            return self._clone(last, q, w)
-        cur = self._state(length[last] + 1, {})
+        link, length = self.link, self.length
+        q = self.follow(last, w)
+        if q >= 0:
+            return q if length[last] + 1 == length[q] else self._clone(last, q, w)
+        cur = self._state(length[last] + 1)
         p = last
-        while p >= 0 and w not in nxt[p]:
-            nxt[p][w] = cur
+        while p >= 0 and (q := self.follow(p, w)) < 0:
+            self._lead(p, w, cur)
             p = link[p]
-        if p < 0:
-            link[cur] = 0
-        elif length[p] + 1 == length[q := nxt[p][w]]:
-            link[cur] = q
-        else:
-            link[cur] = self._clone(p, q, w)
+        if p >= 0:
+            link[cur] = q if length[p] + 1 == length[q] else self._clone(p, q, w)
         return cur
 
-    def _state(self, length: int, edges: dict) -> int:
+    def _state(self, length: int) -> int:
         self.length.append(length)
         self.link.append(0)
-        self.next.append(edges)
+        self.word.append(-1)
+        self.to.append(-1)
         return len(self.length) - 1
 
     def _clone(self, p: int, q: int, w: int) -> int:
-        c = self._state(self.length[p] + 1, dict(self.next[q]))
+        c = self._state(self.length[p] + 1)
+        self.word[c], self.to[c] = self.word[q], self.to[q]
+        if q in self.more:
+            self.more[c] = dict(self.more[q])
         self.link[c] = self.link[q]
         self.link[q] = c
-        while p >= 0 and self.next[p].get(w) == q:
-            self.next[p][w] = c
+        while p >= 0 and self.follow(p, w) == q:
+            self._lead(p, w, c)
             p = self.link[p]
         return c
 
+    def _by_length(self) -> list[int]:
+        """States, each behind the one that its suffix link leads to."""
+        return np.argsort(np.frombuffer(self.length, dtype=np.int32), kind="stable").tolist()
+
+    def _find_ancestors(self) -> None:
+        """anchor: for a state of at least a window's length, the one that holds the window which its words end with."""
+        length, link, window = self.length, self.link, self.window
+        self.anchor = anchor = array("i", [0]) * len(length)
+        for s in self._by_length():
+            if length[s] >= window:
+                anchor[s] = anchor[link[s]] if length[link[s]] >= window else s
+
+    def _find_marked(self) -> None:
+        """marked: for every state the nearest one on its chain of suffix links, itself included, at which a short item ends; 0 for none."""
+        self.marked = marked = array("i", [0]) * len(self.length)
+        if self.short:
+            for s in self._by_length()[1:]:
+                marked[s] = s if s in self.short else marked[self.link[s]]
+
     def _grams(self, ids: np.ndarray) -> np.ndarray:
         """Hashes of all runs of OPENING known words, or of the whole sequence where it is shorter."""
         n = min(OPENING, len(ids))
@@ -118,7 +156,7 @@ class Automaton:
 
     def may_hold(self, ids: np.ndarray) -> bool:
         """Whether the opening of a window is among the words (identifiers, -1 for unknown words)."""
-        if self.short and min(n for marks in self.short.values() for n, _ in marks) < OPENING:
+        if self.short and min(marks[0][0] for marks in self.short.values()) < OPENING:
             return bool((ids >= 0).any())
         if len(ids) < OPENING or not len(grams := self._grams(ids)):
             return False
@@ -126,49 +164,58 @@ class Automaton:
         return bool((self.openings[near] == grams).any())
 
     def walk(self, ids: list[int]) -> Iterator[tuple[int, int, int]]:
-        """(position, state, longest match) at every word that ends a match of an item."""
-        nxt, link, length = self.next, self.link, self.length
+        """(position, state, longest match) at every word that ends a match of an item. A suffix link shortens the match, so all links together are no more than the words."""
+        follow, link, length = self.follow, self.link, self.length
         state = matched = 0
         for at, w in enumerate(ids):
             if w < 0:
                 state = matched = 0
                 continue
-            while state and w not in nxt[state]:
+            while (to := follow(state, w)) < 0 and state:
                 state = link[state]
                 matched = length[state]
-            if w in nxt[state]:
-                state = nxt[state][w]
+            if to >= 0:
+                state = to
                 matched += 1
                 yield at, state, matched
 
     def hits(self, ids: list[int]) -> tuple[np.ndarray, set[int]]:
-        """Which words lie in a window's occurrence, and the items whose windows occur."""
-        edge = np.zeros(len(ids) + 1, dtype=np.int64)
+        """Which words lie in a window's occurrence, and the items whose windows occur. Each word takes one step for the windows and at most one for each length of a short item."""
+        edge = [0] * (len(ids) + 1)
+        windows: set[int] = set()
         found: set[int] = set()
-        seen: set[int] = set()
-        window, link, length = self.window, self.link, self.length
+        window, anchor, marked, link = self.window, self.anchor, self.marked, self.link
         for at, state, matched in self.walk(ids):
             if matched >= window:
-                s = state
-                while length[link[s]] >= window:
-                    s = link[s]
+                windows.add(anchor[state])
                 edge[at - window + 1] += 1
                 edge[at + 1] -= 1
-                if s not in seen:
-                    seen.add(s)
-                    found |= self.items[s]
-            if self.short:
-                s = state
-                while s > 0:
-                    for n, k in self.short.get(s, ()):
-                        if n <= matched:
-                            edge[at - n + 1] += 1
-                            edge[at + 1] -= 1
-                            found.add(k)
-                    s = link[s]
+            s = marked[state]
+            while s:
+                for n, items in self.short[s]:
+                    if n <= matched:
+                        edge[at - n + 1] += 1
+                        edge[at + 1] -= 1
+                        if items[0] not in found:
+                            found.update(items)
+                s = marked[link[s]]
+        for s in windows:
+            found |= self.items[s]
         return np.cumsum(edge[:-1]) > 0, found
 
 
+#: The automaton that this worker process has built last, by the name of its group.
+_KEPT: dict[str, Automaton] = {}
+
+
+def kept_automaton(name: str, items: list[tuple[str | None, bytes]], window: int) -> Automaton:
+    """The automaton of a group, built by the first task of a worker process that asks for it and kept for the tasks that follow."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = Automaton(items, window)
+    return _KEPT[name]
+
+
 def _groups(benchmark: DataFrame, id_col: str, text_col: str, group_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """The items in groups of bounded size, read from Spark row by row; one group without items for an empty table."""
     group: list[tuple[str | None, bytes]] = []
@@ -193,7 +240,8 @@ def find_contamination(
     A window is ``window`` consecutive words of an item; an item of fewer, but not none, is one
     window. Null and empty texts have no words and are never hit; such items have no window. Items
     with equal texts all count. An item without an id is hit like others, but neither counted nor
-    listed. Input columns named like a result column give way to it. An empty benchmark hits nothing.
+    listed. Input columns named like a result column give way to it. An empty benchmark hits nothing. Repeated
+    documents are each scanned; an empty table gives an empty one. Very long and repetitive texts take time in proportion to their words.
 
     The benchmark is read in groups of ``group_bytes`` bytes. A pass over the documents
     broadcasts one group; further groups take further passes, which add to the spans found so far, with
@@ -214,9 +262,11 @@ def find_contamination(
 
 
 def _scanner(group, window: int):
+    name = uuid.uuid4().hex
+
     @F.pandas_udf(SPANS)
     def scan(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        automaton = Automaton(group.value, window)
+        automaton = kept_automaton(name, group.value, window)
         for texts, spans, items in parts:
             yield pd.DataFrame([scan_text(t, automaton, s, i) for t, s, i in zip(texts, spans, items)], columns=["n_words", "spans", "items"])
 

@@ -67,3 +67,25 @@ def test_removal(spark):
     assert set(got) == {1, 3} and got[1].text == "Keep this. ; and that too, " + "more " * 20
     assert got[1].n_chars == len(got[1].text) and got[3].text == "clean text"
     assert a.decontaminate(docs, bench).columns == docs.columns
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("ab"), max_size=60).map(" ".join), st.lists(st.lists(st.sampled_from("aab"), min_size=1, max_size=30).map(" ".join), min_size=1, max_size=5))
+def test_repeated_words_against_all_windows(text, items):
+    items = [(str(i), t) for i, t in enumerate(items)]
+    words, spans, ids = a.scan_text(text.encode(), a.Automaton([(i, t.encode()) for i, t in items]))
+    assert (words, sum(s["stop"] - s["start"] for s in spans), ids) == plain(text, items)
+
+
+def test_equal_words_take_linear_time():
+    import time
+
+    began = time.process_time()
+    automaton = a.Automaton([("1", b"x " * 100_000), ("2", b"x x x"), ("3", b"x")])
+    assert a.scan_text(b"x " * 100_000, automaton) == (100_000, [{"start": 0, "stop": 100_000}], ["1", "2", "3"])
+    assert time.process_time() - began < 10
+
+
+def test_a_worker_builds_a_group_once():
+    one = a.kept_automaton("g1", [("1", b"a b")], 10)
+    assert a.kept_automaton("g1", [], 10) is one and a.kept_automaton("g2", [], 10) is not one and list(a._KEPT) == ["g2"]
