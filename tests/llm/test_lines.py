@@ -83,3 +83,32 @@ def test_clean_text(spark):
     data = [(1, "a b c d e\n\nkeep me", "z"), (2, "a b c d x\nnew line\na b c d e", "z"), (3, None, "z")]
     got = {r.doc_id: (r.n_lines, r.n_repeated, r.n_near, r.clean_text) for r in lines.dedup_lines(spark.createDataFrame(data, "doc_id long, text string, gone string")).collect()}
     assert got == {1: (2, 0, 0, "a b c d e\n\nkeep me"), 2: (3, 1, 1, "new line"), 3: (0, 0, 0, None)}
+
+
+def test_very_long_lines(spark):
+    import time
+
+    w = [f"w{k * k % 9973}" for k in range(200_000)]
+    data = [(1, " ".join(w)), (2, " ".join([*w[:777], "new", *w[777:]])), (3, " ".join([*w[:5], "two", "new", *w[5:]]))]
+    began = time.time()
+    assert verdicts(spark, data) == {(1, 0): "keep", (2, 0): "near", (3, 0): "keep"}
+    assert time.time() - began < 100
+
+
+def test_edits_of_characters(spark):
+    data = [(1, "one word here"), (2, "one  wordd here"), (3, "one wrd here"), (4, "a"), (5, "ab"), (6, "onE word hers")]
+    got = {(r.id, r.no): r.verdict for r in lines.find_repeated_lines(spark.createDataFrame(data, SCHEMA), unit="character").collect()}
+    assert got == {(1, 0): "keep", (2, 0): "near", (3, 0): "near", (4, 0): "keep", (5, 0): "keep", (6, 0): "keep"}
+
+
+def test_least_number_of_words(spark):
+    data = [(1, "a b"), (2, "a c"), (3, "x y z u v w"), (4, "x y z u v q")]
+    got = lambda n: [r.verdict for r in lines.find_repeated_lines(spark.createDataFrame(data, SCHEMA), least=n).orderBy("id").collect()]
+    assert got(2) == ["keep", "near", "keep", "near"] and got(7) == ["keep"] * 4
+
+
+def test_every_document_has_a_row_and_clashing_columns_give_way(spark):
+    data = [(1, "a b c d e", 9, 9, 9, "x", 7), (1, "a b c d e", 9, 9, 9, "x", 7), (2, " \n ", 9, 9, 9, "x", 7), (None, None, 9, 9, 9, "x", 7)]
+    df = spark.createDataFrame(data, "doc_id long, text string, n_lines int, n_repeated int, n_near int, clean_text string, verdict int")
+    got = sorted((str(r.doc_id), r.n_lines, r.n_repeated, r.n_near, r.gone, r.clean_text, r.verdict) for r in lines.dedup_lines(df).collect())
+    assert got == [("1", 1, 0, 0, [], "a b c d e", 7)] * 2 + [("2", 0, 0, 0, [], " \n ", 7), ("None", 0, 0, 0, [], None, 7)]
