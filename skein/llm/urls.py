@@ -1,7 +1,8 @@
 """URL filters: host-suffix and path-prefix expressions against a rule table.
 
-Every distinct (host, path) is expanded into expressions: each suffix of the host
-at a dot, with each prefix of the path at a slash and the whole path. Rules carry
+Every distinct (host, path) is expanded into expressions: suffixes of the host at a
+dot, with prefixes of the path. Only shapes that a rule has, a number of labels with a length of
+path, can meet one, so no others are made, and a url has no more expressions than the rules have shapes. Rules carry
 the same kind of expression. The join is on the first 32 bits of the SHA-256 digest;
 a pair counts once the whole digests agree. The longest rule that fits decides.
 """
@@ -34,17 +35,25 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_after_scheme(url), r"(?s)^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _expressions(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All host suffixes with all path prefixes, joined by a line feed that neither part's hash can be confused by."""
-    labels = F.split(host, r"\.", -1)
-    n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
-    parts = F.split(path, "/", -1)
-    m = F.size(parts)
-    cuts = F.when(m > 1, F.transform(F.sequence(F.lit(1), F.greatest(m - 1, F.lit(1))), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
-    whole = F.array(path, *[F.when(F.length(path) >= k, F.substring(path, 1, k)) for k in lengths])
-    prefixes = F.array_distinct(F.filter(F.concat(F.coalesce(cuts, F.array().cast("array<string>")), whole), lambda p: p.isNotNull()))
-    return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, F.lit("\n"), p))))
+def _labels(host: Column) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
+def _shapes(rules: DataFrame) -> DataFrame:
+    """One row: for each number of labels that rules have, the lengths of their paths."""
+    by_labels = rules.groupBy(_labels(F.col("host")).alias("labels")).agg(F.sort_array(F.collect_set(F.length("path"))).alias("lengths"))
+    return by_labels.agg(F.collect_list(F.struct("labels", "lengths")).alias("_shapes"))
+
+
+def _expressions(host: Column, path: Column, shapes: Column) -> Column:
+    """Host suffixes with path prefixes of the given shapes, joined by a line feed that neither part's hash can be confused by."""
+    fit = F.filter(shapes, lambda s: s["labels"] <= _labels(host))
+
+    def of_labels(s):
+        suffix = F.call_function("substring_index", host, F.lit("."), -s["labels"])
+        return F.transform(F.filter(s["lengths"], lambda n: n <= F.length(path)), lambda n: F.concat(suffix, F.lit("\n"), F.substring(path, F.lit(1), n)))
+
+    return F.flatten(F.transform(fit, of_labels))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -55,20 +64,20 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", defa
     then the longer host, then block before allow. Where none fits, rule is null and the verdict
     ``default``. Rules with a null field are ignored; repeated rules count once. A url that is null
     or has no :// has an empty host and path, which only a rule with an empty host fits. Input
-    columns named like a result column give way to it. An empty table gives an empty one.
+    columns named like a result column give way to it. Repeated rows give repeated rows. An empty table gives an empty one.
     """
     host, path = url_host(F.col(url_col)), url_path(F.col(url_col))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     rows = pages.select(*[F.col(c).alias(f"_in_{c}") for c in kept], host.alias("host"), path.alias("path"))
     rules = rules.select("host", "path", "verdict").dropna().distinct()
-    # rules that end within a path segment need prefixes of their length; a url has no more lengths than characters
-    lengths = [r[0] for r in rules.where(~F.col("path").endswith("/")).select(F.length("path")).distinct().collect()]
     digest = F.sha2(F.concat("host", F.lit("\n"), "path").cast("binary"), 256)
     known = rules.select(
         F.concat("host", "path").alias("_rule"), F.length("host").alias("_hl"), "verdict", digest.alias("_digest"), F.substring(digest, 1, 8).alias("_short")
     )
-    asked = rows.select("host", "path").distinct()
-    asked = asked.select("host", "path", F.explode(_expressions(F.col("host"), F.col("path"), sorted(lengths))).alias("_e"))
+    # few bytes but many expressions a url: a given number of partitions is not merged for being small
+    asked = rows.select("host", "path").distinct().repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "host", "path")
+    asked = asked.crossJoin(F.broadcast(_shapes(rules)))  # one row, of the rules' shapes
+    asked = asked.select("host", "path", F.explode(_expressions(F.col("host"), F.col("path"), F.col("_shapes"))).alias("_e"))
     asked = asked.select("host", "path", F.sha2(F.col("_e").cast("binary"), 256).alias("_full")).withColumn("_short", F.substring("_full", 1, 8))
     fits = asked.join(known, "_short").where(F.col("_full") == F.col("_digest"))
     order = F.struct(F.length("_rule"), "_hl", (F.col("verdict") == "block").cast("int"), "_rule", "verdict")

@@ -42,3 +42,15 @@ def test_empty_tables(spark):
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     assert urls.judge_urls(pages.limit(0), rules).count() == 0
     assert urls.judge_urls(pages, rules.limit(0), default="block").first().verdict == "block"
+
+
+def test_a_very_long_url(spark):
+    import time
+
+    long = "http://" + ".".join(f"l{i}" for i in range(200)) + ".example.net/" + "/".join(f"s{i}" for i in range(2000))
+    longer = "http://" + "l." * 100_000 + "org/" + "p/" * 100_000
+    rules = [("net", "/s0/s1/", "block"), ("org", "/p/", "block"), ("l199.example.net", "/s0/s1/s2", "allow"), ("a.b.c.d.e", "/x", "block")]
+    began = time.time()
+    pages = spark.createDataFrame([(1, long), (2, longer)], "page_id long, url string")
+    got = {r.page_id: r.rule for r in urls.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    assert got == {1: "l199.example.net/s0/s1/s2", 2: "org/p/"} and time.time() - began < 30
