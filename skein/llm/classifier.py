@@ -2,9 +2,10 @@
 
 Every token has a sparse random index vector. A token's word vector is the sum of the
 index vectors of its neighbours over the whole corpus: each task adds them up in a table of
-fixed size, and Spark sums the tables. A document is the mean of its tokens' word
-vectors and index vectors. A two-layer network in numpy learns the quality from a bounded sample of labelled
-documents; a temperature, fitted on a part that the training leaves out, calibrates its probabilities.
+fixed size, and Spark sums the tables. A document is pooled from its tokens' word vectors alone: their
+mean, and the mean product of neighbouring ones, which tells how its words follow each other. A two-layer network in numpy
+learns the quality from a bounded sample of labelled documents; a temperature, fitted on a part that the
+training leaves out, calibrates its probabilities.
 
 Tokens are hashed into a fixed number of rows, so the vectors have the same size at every
 scale of the corpus.
@@ -15,10 +16,11 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.shared import bound_batches, checkpointed, table
@@ -26,8 +28,8 @@ from skein.functions.shared import bound_batches, checkpointed, table
 ROWS = 4096
 DIM = 32
 NONZERO = 2
-#: Numbers of a document: two pooled vectors and the shapes.
-WIDTH = 2 * DIM + 7
+#: Numbers of a document: two pooled vectors.
+WIDTH = 2 * DIM
 REACH = 2
 #: Labelled documents the network may learn from.
 SAMPLE = 6_000
@@ -40,8 +42,8 @@ _KEPT_TOKENS = 200_000
 GAP = -1
 #: Tokens that are added to the table at once.
 _HELD = 200_000
-#: Parts of a token's code.
-_ROW, _UPPER, _DIGITS = ROWS - 1, ROWS, 2 * ROWS
+#: Tokens that are pooled at once.
+_POOLED = 1 << 16
 
 
 class Tokens:
@@ -50,8 +52,8 @@ class Tokens:
     def __init__(self):
         self.known: dict[str, int] = {}
 
-    def codes(self, text: str | None) -> np.ndarray:
-        """A code for each token in order: its row, and bits for upper case and digits."""
+    def rows(self, text: str | None) -> np.ndarray:
+        """The row of each token in order; upper and lower case are different tokens."""
         tokens = _TOKEN.findall(text) if text else []
         known = self.known
         new = set(tokens).difference(known)
@@ -59,8 +61,7 @@ class Tokens:
             known.clear()
             new = set(tokens)
         for t in new:
-            row = zlib.crc32(t.lower().encode("utf-8", "replace")) % ROWS
-            known[t] = row | (_UPPER if t.isupper() else 0) | (_DIGITS if t.isdigit() else 0)
+            known[t] = zlib.crc32(t.encode("utf-8", "replace")) % ROWS
         return np.fromiter(map(known.__getitem__, tokens), dtype=np.int64, count=len(tokens))
 
 
@@ -99,7 +100,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         held, n, gap = [], 0, np.full(REACH, GAP)
         for batch in batches:
             for text in batch["_text"]:
-                ids = tokens.codes(text) & _ROW
+                ids = tokens.rows(text)
                 held += [ids, gap]
                 n += len(ids)
                 if n > _HELD:
@@ -121,19 +122,18 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
 
 
-def document_vector(text: str | None, tokens: Tokens, vectors: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """Mean word and index vector of the tokens, and shares of shapes; zeros for a text without tokens."""
-    codes = tokens.codes(text)
-    n = len(codes)
-    if not n:
-        return np.zeros(WIDTH, dtype=np.float32)
-    ids = codes & _ROW
-    counts = np.bincount(ids, minlength=ROWS)
-    used = np.flatnonzero(counts)
-    share = counts[used].astype(np.float32) / n
-    repeated = np.count_nonzero(ids[1:] == ids[:-1])
-    shapes = [repeated / n, np.count_nonzero(codes & _UPPER) / n, np.count_nonzero(codes & _DIGITS) / n, len(used) / n, text.count("\n") / n, float(share.max()), min(np.log1p(n) / 10, 1)]
-    return np.concatenate([share @ vectors[used], share @ index[used], shapes]).astype(np.float32)
+def document_vector(text: str | None, tokens: Tokens, vectors: np.ndarray) -> np.ndarray:
+    """Mean word vector of the tokens, and mean product of neighbouring ones; zeros for a text without tokens, or without neighbours."""
+    rows = tokens.rows(text)
+    n = len(rows)
+    out = np.zeros(WIDTH, dtype=np.float64)
+    for k in range(0, n, _POOLED):
+        part = vectors[rows[k : k + _POOLED + 1]]  # with the first token of the next part
+        out[:DIM] += part[:_POOLED].sum(axis=0, dtype=np.float64)
+        out[DIM:] += np.einsum("ij,ij->j", part[1:], part[:-1], dtype=np.float64)
+    out[:DIM] /= max(n, 1)
+    out[DIM:] /= max(n - 1, 1)
+    return out.astype(np.float32)
 
 
 class Network:
@@ -197,44 +197,65 @@ def _label_sample(labels: DataFrame, id_col: str, label_col: str, sample: int) -
     return ids.orderBy(F.xxhash64("_id"), "_id").limit(sample)
 
 
-def score_quality(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, sample: int = SAMPLE
-) -> DataFrame:
-    """``docs`` with held_out, score and predicted.
+class Model(NamedTuple):
+    """What a corpus and its labels teach: word vectors and a network, both of fixed size."""
+
+    vectors: np.ndarray
+    network: Network
+
 
-    Only the text enters a score. Null and empty texts get the score of a document without tokens.
-    Labels other than 0 and 1 are ignored; of several labels of an id the highest counts, and of
-    several documents of an id all count. Without any labels every score is one half. Input columns
-    named like a result column give way to it. An empty table gives an empty one.
+def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
+    """Word vectors from all documents, and a network that learns from at most ``sample`` labelled ids, on the driver.
 
-    The network learns from at most ``sample`` labelled ids on the driver; the word vectors come from all documents.
+    Labels other than 0 and 1 are ignored, and so is the held-out fifth of the ids; of several labels of an id the highest counts, and of
+    several documents of an id the one whose text has the smallest hash.
     """
     bound_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    sc = docs.sparkSession.sparkContext
-    vectors = sc.broadcast(word_vectors(docs, text_col))
+    vectors = word_vectors(docs, text_col)
+    held = docs.sparkSession.sparkContext.broadcast(vectors)
     chosen = F.broadcast(checkpointed(_label_sample(labels, id_col, label_col, sample)))  # at most ``sample`` rows
 
     @F.pandas_udf("array<float>")
     def pooled(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokens, index = Tokens(), index_vectors()
+        tokens = Tokens()
         for batch in texts:
-            yield pd.Series([document_vector(t, tokens, vectors.value, index) for t in batch], dtype=object)
+            yield pd.Series([document_vector(t, tokens, held.value) for t in batch], dtype=object)
 
     text = F.col(text_col).cast("string")
-    labelled = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).join(chosen, "_id").select("_id", "_label", pooled("_text").alias("_vector"))
-    rows = sorted(labelled.limit(2 * sample).collect(), key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), tuple(r[2])))
+    labelled = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).join(chosen, "_id").select("_id", "_label", F.xxhash64("_text").alias("_hash"), pooled("_text").alias("_vector"))
+    one = labelled.groupBy("_id", "_label").agg(F.min_by("_vector", "_hash").alias("_vector"))
+    rows = sorted(one.collect(), key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0])))  # at most ``sample`` rows
     x, y = np.array([r[2] for r in rows], dtype=np.float64).reshape(len(rows), WIDTH), np.array([r[1] for r in rows])
-    network = sc.broadcast(Network().fit(x, y))
+    return Model(vectors, Network().fit(x, y))
+
+
+def quality_score(text: Column, model: Model, spark: SparkSession) -> Column:
+    """The score of a text, from 0 to 1."""
+    bound_batches(spark)
+    held = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokens, index = Tokens(), index_vectors()
+        tokens, (vectors, network) = Tokens(), held.value
         for batch in texts:
-            x = np.array([document_vector(t, tokens, vectors.value, index) for t in batch], dtype=np.float64)
-            yield pd.Series(np.round(network.value.predict(x), 9) if len(x) else [], dtype="float64")
+            x = np.array([document_vector(t, tokens, vectors) for t in batch], dtype=np.float64)
+            yield pd.Series(np.round(network.predict(x), 9) if len(x) else [], dtype="float64")
 
-    out = docs.select(*kept, held_out(F.col(id_col)).alias("held_out"), score(text).alias("score"))
+    return score(text.cast("string"))
+
+
+def score_quality(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, sample: int = SAMPLE, model: Model | None = None
+) -> DataFrame:
+    """``docs`` with held_out, score and predicted, by a ``model`` or by one that is fitted to them (see fit_quality).
+
+    Only the text enters a score. Null and empty texts get the score of a document without tokens, repeated rows
+    the same score. Without any labels every score is one half. Input columns named like a result column give way to it.
+    An empty table gives an empty one. Very long texts are pooled in parts.
+    """
+    kept = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
+    model = model or fit_quality(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, sample=sample)
+    out = docs.select(*kept, held_out(F.col(id_col)).alias("held_out"), quality_score(F.col(text_col), model, docs.sparkSession).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

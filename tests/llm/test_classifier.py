@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -42,7 +43,7 @@ def test_word_vectors_against_a_plain_count(spark):
     index, tokens = classifier.index_vectors().astype(float), classifier.Tokens()
     want = np.zeros((classifier.ROWS, classifier.DIM))
     for t in texts:
-        ids = tokens.codes(t) & classifier._ROW
+        ids = tokens.rows(t)
         for i, a in enumerate(ids):
             for j, b in enumerate(ids):
                 if 0 < abs(i - j) <= classifier.REACH:
@@ -69,3 +70,31 @@ def test_edges(spark):
     assert [r.held_out for r in got if r.doc_id is None] == [True]
     assert classifier.score_quality(docs.limit(0), labels.limit(0)).count() == 0
     assert {r.score for r in classifier.score_quality(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_score_against_a_plain_network(spark):
+    texts = {1: "a b c a. b!", 2: "C c C", 3: "", 4: None, 5: "one", 6: "a b " * 70_000}
+    data = list(texts.items()) + [(i, "good words go here and there" if i % 2 else "x! y! z! x! y!") for i in range(10, 60)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10, 60)], "doc_id long, quality int")
+    model = classifier.fit_quality(docs, labels)
+    got = {r.doc_id: r.score for r in classifier.score_quality(docs, labels, model=model).collect()}
+    net = model.network
+    for doc_id, text in data:
+        v = [model.vectors[zlib.crc32(t.encode()) % classifier.ROWS].astype(float) for t in re.findall(r"[^\W\d_]+|\d+|[^\w\s]+|_+", text or "")]
+        mean = sum(v) / len(v) if v else np.zeros(classifier.DIM)
+        pairs = sum(a * b for a, b in zip(v, v[1:])) / (len(v) - 1) if len(v) > 1 else np.zeros(classifier.DIM)
+        x = (np.concatenate([mean, pairs]) - net.mean) / net.scale
+        z = net.b2 + sum(w * max(0.0, float(h)) for w, h in zip(net.w2, x @ net.w1 + net.b1))
+        assert abs(got[doc_id] - 1 / (1 + np.exp(-np.clip(z / net.temperature, -30, 30)))) < 1e-5
+
+
+def test_clashing_columns_give_way_and_repeated_ids_are_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text {k % 3}", 5, "a", "b") for k in range(50)], "doc_id long, text string, score int, held_out string, predicted string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    out = classifier.score_quality(docs, labels)
+    assert out.columns == ["doc_id", "text", "held_out", "score", "predicted"] and out.count() == 50
+    seen = []
+    monkeypatch.setattr(classifier.Network, "fit", lambda self, x, y: seen.append(len(y)) or self)
+    classifier.fit_quality(docs, labels)
+    assert seen == [int(zlib.crc32(b"1") % 5 != 0)]
