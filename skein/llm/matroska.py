@@ -185,7 +185,14 @@ def _frames(data: bytes, at: int, stop: int, lacing: int) -> list[tuple[int, int
 
 
 def parse(data: bytes) -> Media:
-    """Tracks, packets, cluster positions and cues of a file. Raises ValueError for what isn't Matroska."""
+    """Tracks, packets, cluster positions and cues of a file. Raises ValueError, and nothing else, for what isn't Matroska."""
+    try:
+        return _parse(data)
+    except (IndexError, KeyError, OverflowError, struct.error) as e:
+        raise ValueError(f"a broken element: {e!r}") from e
+
+
+def _parse(data: bytes) -> Media:
     uint = lambda a, b: int.from_bytes(data[a:b], "big")
     real = lambda a, b: struct.unpack(">d" if b - a == 8 else ">f", data[a:b])[0] if b > a else 0.0
     tracks, packets, clusters, cues, scale, duration = {}, [], [], [], 1_000_000, 0.0
@@ -234,7 +241,11 @@ def padded(data: bytes | None) -> bytes:
 
 
 def with_media(docs: DataFrame, text_col: str = "text", into: str = "media") -> DataFrame:
-    """``docs`` with the text's UTF-8 bytes, padded, as a Matroska file. A null text counts as empty."""
+    """``docs`` with the text's UTF-8 bytes, padded, as a Matroska file.
+
+    A null text counts as empty; equal texts, repeated rows too, have equal files. A text is stored whole, so a very long
+    one is held by one task. An input column named ``into`` gives way to the result. An empty table gives an empty one.
+    """
 
     bound_batches(docs.sparkSession)
 
@@ -249,20 +260,28 @@ PACKETS = "cluster int, track int, timestamp_ns long, keyframe boolean, offset l
 
 
 def packet_table(files: DataFrame, *, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """A row for each packet: the file's id, cluster, track, timestamp, and byte range within the file.
+    """A row for each packet: the file's id, cluster, track, timestamp, and byte range within the file, and ``error``, null.
 
-    A null file has no packets, nor has one without clusters. What isn't Matroska fails the task with
-    the byte at which reading stopped. Repeated rows give repeated packets.
+    A null file has no packets, nor has one without clusters. A file that isn't Matroska has one row, with an error that says what
+    is wrong and nulls. Repeated rows give repeated packets; other columns are not read, so none clashes; an empty table gives an empty one.
     """
 
-    @F.pandas_udf(f"array<struct<{PACKETS.replace(' ', ':').replace(',:', ',')}>>")
+    fields = f"{PACKETS}, error string".replace(" ", ":").replace(",:", ",")
+
+    def of(file: bytes | None) -> list[dict]:
+        try:
+            return [] if file is None else [{**p._asdict(), "error": None} for p in parse(file).packets]
+        except ValueError as e:
+            return [{"error": str(e)}]
+
+    @F.pandas_udf(f"array<struct<{fields}>>")
     def packets(files: pd.Series) -> pd.Series:
-        return files.map(lambda x: [] if x is None else [p._asdict() for p in parse(x).packets])
+        return files.map(of)
 
     return files.select(F.col(id_col), F.explode(packets(media_col)).alias("_p")).select(id_col, "_p.*")
 
 
-FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, packets int, duration_ms long, feature string"
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, packets int, duration_ms long, feature string, error string"
 
 
 def read_features(data: bytes) -> tuple:
@@ -279,22 +298,35 @@ def read_features(data: bytes) -> tuple:
     edges = np.linspace(0, len(samples), 9).astype(np.int64)
     total = np.concatenate(([0], np.cumsum(samples, dtype=np.int64)))
     profile = "-".join(str(int((total[b] - total[a]) // max(1, b - a))) for a, b in zip(edges, edges[1:]))
-    codec = next(iter(media.tracks.values()))["codec"]
+    codec = next(iter(media.tracks.values()), {"codec": ""})["codec"]
     feature = f"{codec};tracks={len(media.tracks)};clusters={len(media.clusters)};cues={len(media.cues)};packets={len(media.packets)};levels={profile}"
     return (
         len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(data), hashlib.sha256(data).hexdigest(),
-        len(media.packets), media.duration_ns // 1_000_000, feature,
+        len(media.packets), media.duration_ns // 1_000_000, feature, None,
     )
 
 
+def features_or_error(data: bytes | None) -> tuple:
+    """read_features, or nulls and what is wrong with the file; a null file has nulls alone."""
+    try:
+        return (None,) * 9 if data is None else read_features(data)
+    except ValueError as e:
+        return (*(None,) * 8, str(e))
+
+
 def media_features(files: DataFrame, media_col: str = "media") -> DataFrame:
-    """``files`` without the media column, with what reading it back gives."""
+    """``files`` without the media column, with what reading it back gives.
+
+    A file that isn't Matroska has nulls and an ``error``, a null file nulls alone. Repeated rows have equal results. Input columns named like a
+    result column give way to it. An empty table gives an empty one.
+    """
     names = [x.split()[0] for x in FEATURES.split(", ")]
     kept = [c for c in files.columns if c not in (*names, media_col)]
 
     @F.pandas_udf(FEATURES)
     def features(stored: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read_features(x) for x in stored], columns=names)
+        out = pd.DataFrame([features_or_error(x) for x in stored], columns=names, dtype=object)
+        return out.astype({n: "Int64" for n in ("payload_bytes", "tail_crc32", "media_bytes", "packets", "duration_ms")})
 
     return files.select(*kept, features(media_col).alias("_f")).select(*kept, "_f.*")
 

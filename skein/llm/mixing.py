@@ -142,7 +142,7 @@ def mix(
     of its own, behind the others. A null id counts as an empty one. Equal rows share
     one decision. Of a source the mix takes its epochs and then the documents whose
     middle lies within the rest of the budget, so it misses the target by at most half
-    the document on the border. An empty table gives an empty one.
+    the document on the border; no document is taken more than ``max_repeat`` times. An empty table gives an empty one.
     """
     own = ("size", "source_size", "target", "copies", "taken")
     kept = [c for c in (docs.columns if keep is None else keep) if c not in own]
@@ -160,7 +160,9 @@ def mix(
     plan = broadcast_if_small(_cuts(sums.drop("_source"), source_targets(sizes, weights, max_repeat)).drop("_source"))
     k, d = F.col("_k"), F.col("_digest")
     chosen = (k < F.col("_lo")) | F.coalesce((k < F.col("_cut._k")) | ((k == F.col("_cut._k")) & (d <= F.col("_cut._digest"))), F.lit(False))
-    out = rows.join(plan, "_key").withColumn("copies", F.col("_epochs") + F.when(chosen, 1).otherwise(0).cast("long"))
+    # a document without words that comes first would be chosen even where nothing is left of the budget
+    copies = F.least(F.col("_epochs") + F.when(chosen, 1).otherwise(0), F.lit(max_repeat)).cast("long")
+    out = rows.join(plan, "_key").withColumn("copies", copies)
     return out.select(
         *[F.col(f"_in_{c}").alias(c) for c in kept], "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )

@@ -22,8 +22,8 @@ from skein.llm.mixing import identity
 BITS = 60
 #: Bits looked at beyond those that equal shards would need, and by each further pass.
 STEP = 6
-#: Production limit of a shard's text.
-SHARD_BYTES = 16 << 20
+#: Limit of a shard's text.
+SHARD_BYTES = 1 << 20
 
 
 def _prefix(depth: int):

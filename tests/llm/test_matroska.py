@@ -78,3 +78,33 @@ def test_packet_table(spark):
     assert [r.timestamp_ns // 1_000_000 for r in rows] == [0, 128, 256, 384, 512, 0]
     assert m.packet_table(df.where("doc_id < 0")).count() == 0
     assert m.packet_table(spark.createDataFrame([(1, None)], "doc_id long, media binary")).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.data())
+def test_damaged_files_raise_value_errors_only(data):
+    file = bytearray(m.mux(m.padded(b"abc" * 900)))
+    for _ in range(data.draw(st.integers(1, 4))):
+        file[data.draw(st.integers(0, min(len(file), 300) - 1))] = data.draw(st.integers(0, 255))
+    assert len(m.features_or_error(bytes(file))) == 9
+    try:
+        m.parse(bytes(file))
+    except ValueError:
+        pass
+
+
+def test_a_corrupt_file_does_not_stop_the_others(spark):
+    good = bytes(m.mux(m.padded(b"abc")))
+    df = spark.createDataFrame([(1, good, 5), (2, b"junk", 5), (3, None, 5), (4, good[:-5], 5)], "doc_id long, media binary, packets int")
+    got = {r.doc_id: r for r in m.media_features(df).collect()}
+    assert got[1].error is None and got[1].packets == 1 and got[1].payload_bytes == 64
+    assert got[2].error and got[4].error and got[2].payload_sha256 is None and got[3].error is None and got[3].media_bytes is None
+    rows = {r.doc_id: r for r in m.packet_table(df).collect()}
+    assert set(rows) == {1, 2, 4} and rows[2].error and rows[2].size is None and rows[1].error is None
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "abc", "old", 7, "x")], "doc_id long, text string, media string, payload_bytes long, feature string")
+    out = m.media_features(m.with_media(df))
+    assert out.first().payload_bytes == 64 and out.columns.count("feature") == 1 and "media" not in out.columns
+    assert m.media_features(m.with_media(df.limit(0))).count() == 0

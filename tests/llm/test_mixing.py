@@ -82,3 +82,11 @@ def test_empty_and_clashing_columns(spark):
     assert mixing.mix(rows(spark, [])).count() == 0
     out = mixing.mix(spark.createDataFrame([(1, "a", "s", Decimal(5), "keep")], "doc_id long, text string, source string, size decimal(3,0), extra string"))
     assert out.first().size == 1 and out.first().extra == "keep"
+
+
+def test_documents_without_words_are_taken_as_often_as_others_at_most(spark):
+    data = [(i, "", "small") for i in range(60)] + [(100, "a b", "small"), (101, "c d", "small")] + [(200 + i, "w " * 50, "large") for i in range(40)]
+    got = mixing.mix(rows(spark, data), weights=(1, 5)).collect()
+    assert max(r.copies for r in got) <= 3
+    got = mixing.mix(rows(spark, data), weights=(5, 1)).collect()
+    assert {r.copies for r in got if r.source == "small" and r.size} == {3} and max(r.copies for r in got) == 3
