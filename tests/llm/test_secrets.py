@@ -1,3 +1,8 @@
+import math
+import random
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from skein.llm import secrets
@@ -49,7 +54,7 @@ def test_edges(spark):
 def test_coverage_counts_whole_words_of_the_corpus(spark):
     docs = spark.createDataFrame([(i, "lantern garden lanterns") for i in range(6)] + [(9, "gardener")] * 9, SCHEMA)
     c = spark.createDataFrame([("lantern-garden-0001",), ("gardener-00000000001",), ("lantern0lantern01",)], "candidate string")
-    got = {r.candidate: r.covered for r in secrets._coverage(docs, c, "text").collect()}
+    got = {r.candidate: r.covered for r in secrets._coverage(secrets.dictionary(docs), c).collect()}
     assert got == {"lantern-garden-0001": 13, "gardener-00000000001": 8, "lantern0lantern01": 7}
 
 
@@ -57,3 +62,87 @@ def test_redaction(spark):
     docs = spark.createDataFrame([(1, f'say token = "{KEY}" here', "x"), (2, "nothing", "y"), (None, None, "z")], "doc_id long, text string, id string")
     got = secrets.redact(docs, secrets.labelled_findings(spark)).orderBy("id").collect()
     assert [r.text for r in got] == ['say token = "[secret]" here', "nothing", None] and got[0].asDict().keys() == {"doc_id", "text", "id"}
+
+
+def test_a_secret_of_five_thousand_characters(spark):
+    token = (KEY * 125)[:5000]
+    data = [(1, f'say token = "{token}" here'), (2, f"run {token} end")]
+    got = {r.id: (r.start, r.candidate) for r in found(spark, data).collect()}
+    assert got == {1: (13, token), 2: (4, token)}
+    out = secrets.redact(spark.createDataFrame(data[:1], SCHEMA), secrets.labelled_findings(spark)).first()
+    assert out.text == 'say token = "[secret]" here'
+
+
+def test_letters_alone_are_candidates(spark):
+    got = found(spark, [(1, "see abcdefghijklmnopqrst and password: hunterhunter")]).collect()
+    assert sorted(r.candidate for r in got) == ["abcdefghijklmnopqrst", "hunterhunter"]
+
+
+def plain_candidates(text):
+    pattern = re.compile(f"{secrets._ASSIGNED.replace('(?i:', '((?i:', 1).replace(']?key)', ']?key))', 1)}|{secrets._RUN}")
+    text, out = text.replace("\x01", " "), []
+    for m in pattern.finditer(text):
+        value = m[3] if m[3] is not None else m[4]
+        at = m.end() - len(value)
+        out.append((at, value))
+    rows = []
+    for k, (at, value) in enumerate(out):
+        lo, hi = (out[k - 1][0] + len(out[k - 1][1]) if k else 0), (out[k + 1][0] if k + 1 < len(out) else len(text))
+        rows.append((at, text[lo:at][-64:], value, text[at + len(value) : hi][:24]))
+    return rows
+
+
+def plain_features(row, counts, covered):
+    at, before, c, after = row
+    codes = [secrets.ALPHABET.find(x) + 1 for x in c]
+
+    def like(name):
+        logs = []
+        for a, b in zip(codes, codes[1:]):
+            n, of = counts[name].get((a, b), 0), sum(v for (x, _), v in counts[name].items() if x == a)
+            logs.append(math.log((n + 0.5) / (of + 0.5 * (len(secrets.ALPHABET) + 1))))
+        return sum(logs) / max(len(logs), 1)
+
+    share = lambda f: sum(map(f, c)) / len(c)
+    return {
+        "length": len(c), "digits": share(lambda x: x in "0123456789"), "upper": share(lambda x: "A" <= x <= "Z"), "vowels": share(lambda x: x in "aeiouAEIOU"),
+        "symbols": share(lambda x: not (x.isascii() and x.isalnum())), "distinct": len(set(c)) / len(c), "entropy": -sum(n / len(c) * math.log2(n / len(c)) for n in Counter(c).values()),
+        "like_secret": like("secret"), "like_other": like("other"), "like_words": like("words"), "covered": covered / len(c), "slashes": c.count("/"),
+        "assigned": float(bool(re.search("[=:][ \\t]{0,3}[\"']?$", before))), "quoted": float(before[-1:] in tuple("\"'") and after[:1] in tuple("\"'")),
+        "in_url": float(bool(re.search(r"https?://\S*$", before.lower()))),
+    }
+
+
+def test_candidates_and_features_against_plain_code(spark):
+    rng = random.Random(5)
+    chars = "abcXYZ0189+/_=-é."
+    texts = [" ".join(rng.choice(["lantern", "garden", "token = '", 'Password="', "secret:", "http://a.b/", "x"]) + "".join(rng.choice(chars) for _ in range(rng.randrange(0, 40))) for _ in range(12)) for _ in range(40)]
+    texts += ["lantern garden"] * 5 + ["", "token=" + "k" * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    labelled = spark.createDataFrame([("", "Ab0+Ab0+", "", 1.0), ("", "abc-abc", "", 0.0), ("", "XYZ", "", 0.0)], "before string, candidate string, after string, label double")
+    got = secrets.candidates(docs)
+    assert sorted((r.id, r.start, r.before, r.candidate, r.after) for r in got.collect()) == sorted((i, *row) for i, t in enumerate(texts) for row in plain_candidates(t))
+    words = Counter(w for t in texts for w in set(re.findall(r"(?<!\w)[^\W\d_]{3,}(?!\w)", t.lower())))
+    words = {w: n for w, n in words.items() if n >= 5}
+    assert {r.word: r.docs for r in secrets.dictionary(docs).collect()} == words
+    code = lambda x: secrets.ALPHABET.find(x) + 1
+    counts = {"secret": Counter(), "other": Counter(), "words": Counter()}
+    for name, w, n in [("secret", "Ab0+Ab0+", 1), ("other", "abc-abc", 1), ("other", "XYZ", 1), *[("words", w, n) for w, n in words.items()]]:
+        for a, b in zip(w, w[1:]):
+            counts[name][code(a), code(b)] += n
+    dictionary = secrets.dictionary(docs)
+    rows = secrets.with_features(got, dictionary, secrets.transition_tables(labelled, dictionary)).collect()
+    assert len(rows) == got.count()
+    for r in rows:
+        covered = sum(len(w) for w in set(re.findall(r"[^\W\d_]{3,}", r.candidate.lower())) if w in words)
+        for name, want in plain_features((r.start, r.before, r.candidate, r.after), counts, covered).items():
+            assert abs(r[name] - want) < 2e-5, (name, r)
+
+
+def test_secrets_planted_in_the_documents(spark):
+    """No labelled finding has the planted form; precision and recall are over all candidates of the table."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    planted = {(r.doc_id, m.start(1)) for r in docs.collect() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r.text or "")}
+    got = {(r.id, r.start) for r in secrets.find_secrets(docs, secrets.labelled_findings(spark)).where("secret").collect()}
+    assert len(planted) > 5 and len(got & planted) >= 0.95 * len(planted) and len(got & planted) >= 0.9 * len(got)
