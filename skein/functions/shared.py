@@ -20,12 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, which all executors share.
 
-    It is spark.checkpoint.dir. Only where that is unset, as in tests on one
-    machine, a temporary folder takes its place.
+    It is spark.checkpoint.dir. Only where that is unset and the master is local, as in tests on one
+    machine, a temporary folder takes its place; on a cluster it must be set.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skein-"))
     return sc.getCheckpointDir()
 
 
@@ -38,13 +41,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a parquet table in the shared folder, for what is large or read in part: columns compress, and unread ones stay on disk.
 
-    The table stays in the folder until that is emptied.
+    The table stays in the folder until drop_stored is called, or until the folder is emptied.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STORED.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+#: Tables that this driver has stored and not dropped.
+_STORED: list[str] = []
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Deletes all tables that this driver has stored. Call it once the results that read them are written."""
+    while _STORED:
+        remove_folder(spark, _STORED.pop())
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Deletes a folder in whatever store holds it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
