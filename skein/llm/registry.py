@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from skein.llm import automaton, classifier, html_text, lines, matroska, mixing, secrets, sharding, simhash, urls
+from skein.llm import automaton, classifier, html_text, lines, matroska, mixing, pipeline, secrets, sharding, simhash, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -16,6 +15,6 @@ QUERIES = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_url_filter": urls.op9_url_filter,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 ORACLE = {"op1_mix_sources": mixing.ORACLE_OP1, "op4_decontaminate": automaton.ORACLE_OP4, "op5_shard": sharding.ORACLE_OP5, "op8_line_dedup": lines.ORACLE_OP8, "op9_url_filter": urls.ORACLE_OP9}

@@ -31,6 +31,8 @@ BLOCKS = 4
 #: Bits of 64 by which the fingerprints of edited copies may differ on average; as measured, texts whose
 #: five-word shingles have a Jaccard similarity of 0.8 differ in 7.
 SPREAD = 7.75
+#: The same for fingerprints of five-word shingles: at 0.8 they differ in 9.7 bits, 64 * acos(2 * 0.8 / 1.8) / pi, give or take one.
+SPREAD_FIVE = 11.5
 #: Fingerprints that may share a block value and still be joined in pairs.
 PAIRED = 64
 _SLICE = 1 << 16
@@ -114,31 +116,31 @@ def _quarters(count: int) -> list[tuple[int, int, int]]:
 
 
 def _key_quarters(count: int) -> list[tuple[int, int]]:
-    """The two quarters of each key: every two of one fingerprint, and each with the next quarter of the next fingerprint."""
+    """The two quarters of each key: every two of one fingerprint, and each with the next quarter of the next fingerprint and the one after that of the next but one."""
     within = [(4 * v + i, 4 * v + j) for v in range(count) for i, j in combinations(range(4), 2)]
-    return within + [(4 * v + i, 4 * ((v + 1) % count) + (i + 1) % 4) for v in range(count) for i in range(4)]
+    return within + [(4 * v + i, 4 * ((v + n) % count) + (i + n) % 4) for n in (1, 2) for v in range(count) for i in range(4) if n < count]
 
 
-def similar_links(classes: DataFrame, count: int, known: DataFrame, paired: int = PAIRED) -> DataFrame:
-    """Links (a, b) between texts (fp, fps: their first and all of their ``count`` fingerprints) that differ in few bits of all fingerprints together.
+def similar_links(classes: DataFrame, count: int, known: DataFrame, paired: int = PAIRED, spread: float = SPREAD) -> DataFrame:
+    """Links (a, b) between texts (fp, fps: their first and all of their ``count`` fingerprints; blocks: as many that keys are taken from, of the same or of shorter shingles) that differ in few bits of all fps together.
 
-    Every pair of two quarters of one fingerprint is a key of 32 bits, and so is each quarter with the next
-    quarter of the next fingerprint. Distinct texts of a key are compared, in two steps. First each meets the key's first
+    Every pair of two quarters of one fingerprint is a key of 32 bits, and so is each quarter with one
+    quarter of the next two fingerprints. Distinct texts of a key are compared, in two steps. First each meets the key's first
     one. Then texts that the links so far, ``known`` ones (a, b) included, have brought into one component need no more
     comparisons with each other: of each key, the texts outside of its largest component are compared with all others.
     A key with more than ``paired`` of them is split by every further quarter into smaller keys, and these again. No text
     of a key is left out; only pairs of such a crowded key that agree in none of its further quarters do not meet there.
     A pair shares a key with a probability that rises with its similarity.
     """
-    vectors = checkpointed(classes.select("fp", "fps", F.xxhash64("fps").alias("v")).distinct())
-    quarter = [F.get("fps", F.lit(v)).bitwiseAND(F.lit(m)) for v, _, m in _quarters(count)]
+    vectors = checkpointed(classes.select("fp", "fps", "blocks", F.xxhash64("fps", "blocks").alias("v")).distinct())
+    quarter = [F.get("blocks", F.lit(v)).bitwiseAND(F.lit(m)) for v, _, m in _quarters(count)]
     own = _key_quarters(count)
     parts = F.array(*[F.xxhash64(F.lit(n), quarter[i], quarter[j]) for n, (i, j) in enumerate(own)])
     side = lambda x: vectors.select(F.col("v").alias(x), F.col("fp").alias(f"{x}_fp"), F.col("fps").alias(f"{x}_fps"))
     bits = F.aggregate(F.zip_with("a_fps", "b_fps", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
     def near(pairs: DataFrame) -> DataFrame:
-        met = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where((F.col("a_fp") != F.col("b_fp")) & (bits <= SPREAD * count))
+        met = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where((F.col("a_fp") != F.col("b_fp")) & (bits <= spread * count))
         return met.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
 
     def shared(keys: DataFrame) -> DataFrame:
@@ -165,37 +167,43 @@ def similar_links(classes: DataFrame, count: int, known: DataFrame, paired: int
         if many.isEmpty():
             return links
         held = F.array(*[F.array(F.lit(i), F.lit(j)) for i, j in own])
-        split = many.join(vectors.select("v", "fps"), "v").select("v", "g", "last", "k", F.get(held, F.col("g")).alias("own"), F.posexplode(F.array(*quarter)).alias("q", "x"))
+        split = many.join(vectors.select("v", "blocks"), "v").select("v", "g", "last", "k", F.get(held, F.col("g")).alias("own"), F.posexplode(F.array(*quarter)).alias("q", "x"))
         split = split.where((F.col("q") > F.col("last")) & ~F.array_contains("own", F.col("q")))
         rows = shared(split.select("v", "g", F.xxhash64("k", "q", "x").alias("k"), F.col("q").alias("last")))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, count: int = 1) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, count: int = 1, block_shingle: int | None = None, spread: float = SPREAD
+) -> DataFrame:
     """(id, fp, component): a row per row of ``docs`` with its first fingerprint and the smallest id in reach over links.
 
     Two documents link if their first fingerprints are within two bits; every such pair is found. With a ``count`` over
-    1 they also link if all their fingerprints together differ in at most SPREAD bits each on average, which finds
-    edited copies (see similar_links). Null and empty texts have fingerprint 0 and are one group with all that come within
+    1 they also link if all their fingerprints together differ in at most ``spread`` bits each on average, which finds
+    edited copies (see similar_links); pairs to compare then share blocks of fingerprints of ``block_shingle`` words, by default of the same ones. An edited
+    word changes fewer short shingles than long ones, so short ones bring together more of the pairs whose long ones are alike. Null and empty texts have fingerprint 0 and are one group with all that come within
     two bits of it. Null ids are never a component's name unless it has no other. Repeated
-    rows are copies like any others. An empty table gives an empty one.
+    rows are copies like any others, and texts of one id are told apart. Other columns are not read, so none clashes. Very long texts
+    are hashed in slices. An empty table gives an empty one.
     """
-    return _grouped(docs, id_col, text_col, shingle, count).select("id", "fp", "component")
+    return _grouped(docs, id_col, text_col, shingle, count, block_shingle, spread).select("id", "fp", "component")
 
 
 def _digest(text_col: str) -> Column:
     return F.coalesce(F.unhex(F.sha2(F.col(text_col).cast("string").cast("binary"), 256)), F.lit(b""))
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, count: int, digest: bool = False) -> DataFrame:
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, count: int, block_shingle: int | None, spread: float, digest: bool = False) -> DataFrame:
     """near_duplicates with the group, which unlike the component's name no other group has, and if wanted a digest of the text."""
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), *([_digest(text_col).alias("digest")] if digest else []))
     kept = ["id", "digest"] if digest else ["id"]
-    rows = with_fingerprints(text, "_text", shingle, count).select(*kept, F.element_at("_fps", 1).alias("fp"), *(["_fps"] if count > 1 else []))
-    rows = checkpointed(rows)
+    rows = with_fingerprints(text, "_text", shingle, count)
+    if block_shingle:
+        rows = with_fingerprints(rows, "_text", block_shingle, count, into="_blocks")
+    rows = checkpointed(rows.select(*kept, F.element_at("_fps", 1).alias("fp"), *(["_fps"] if count > 1 else []), *(["_blocks"] if block_shingle else [])))
     classes = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("least")))
     links = hamming_links(classes.select("fp"))
     if count > 1:
-        links = similar_links(rows.select("fp", F.col("_fps").alias("fps")), count, links)
+        links = similar_links(rows.select("fp", F.col("_fps").alias("fps"), F.col("_blocks" if block_shingle else "_fps").alias("blocks")), count, links, spread=spread)
     # only linked classes need a component's name; all others are their own
     linked = checkpointed(classes.join(connected_components(links).withColumnRenamed("node", "fp"), "fp"))
     names = checkpointed(linked.groupBy("component").agg(F.min("least").alias("name")))
@@ -205,12 +213,14 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, count: i
     return rows.join(named, "fp").select(*kept, "fp", "component", "group")
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, count: int = 1) -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, count: int = 1, block_shingle: int | None = None, spread: float = SPREAD
+) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: of the smallest id, then the smallest SHA-256 of the text, then the smallest JSON form of the row. Rows with a null id stay.
 
     Only ids and digests leave the scoring pass; the texts are joined with those that go.
     """
-    found = checkpointed(_grouped(docs, id_col, text_col, shingle, count, digest=True).where("id IS NOT NULL").groupBy("group", "id", "digest").agg(F.count("*").alias("n")))
+    found = checkpointed(_grouped(docs, id_col, text_col, shingle, count, block_shingle, spread, digest=True).where("id IS NOT NULL").groupBy("group", "id", "digest").agg(F.count("*").alias("n")))
     first = found.groupBy("group").agg(F.min(F.struct("id", "digest")).alias("first"))
     found = found.join(first, "group").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), (F.struct("id", "digest") == F.col("first")).alias("_stays"), "n")
     found = checkpointed(found.where("n > 1 OR NOT _stays"))

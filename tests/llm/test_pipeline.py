@@ -70,3 +70,26 @@ def test_stages(spark, tables):
     out = steps["shard"](spark, mixed, folder)
     assert ids(out) == ids(mixed) and {r.shard for r in out.collect()} == {""}
     assert sorted(map(tuple, cp.run(spark, folder).collect())) == sorted(map(tuple, out.collect()))
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
+def test_stages_on_nulls_repeats_and_an_empty_table(name, spark, tables):
+    folder = tables[0]
+    stage = dict(cp.STAGES)[name]
+    data = [(None, None, None, None, None), (1, "", "en", "a", 0), (1, "some words here", "en", "a", 15), (1, "some words here", "en", "a", 15), (2, "other words there " * 50, None, None, 900), (None, "some words here", "en", "b", 15)]
+    docs = spark.createDataFrame(data, DOCS)
+    out = stage(spark, docs, folder)
+    rows = out.collect()
+    assert len(rows) <= 3 * len(data)
+    if name != "shard":
+        assert out.columns == docs.columns
+    if name == "near_dedup":  # one of the repeated rows stays, and rows without an id
+        assert sorted((str(r.doc_id), r.text) for r in rows if r.text) == sorted([("1", "some words here"), ("2", data[4][1]), ("None", "some words here")])
+    if name == "shard":
+        assert len(rows) == len(data)
+    if name == "mix":
+        assert sum(r.doc_id == 2 for r in rows) <= 3
+    assert stage(spark, docs.limit(0), folder).count() == 0

@@ -173,3 +173,53 @@ def test_repeated_ids_lose_no_text_and_leave_one_row(spark):
     data = [(1, "same text here", "a"), (5, "same text here", "b"), (5, "quite another matter", "c"), (7, "a third thing altogether", "e"), (7, "a third thing altogether", "d"), (7, None, "f")]
     out = simhash.drop_near_duplicates(spark.createDataFrame(data, "doc_id long, text string, tag string"))
     assert sorted((r.doc_id, r.tag) for r in out.collect()) == [(1, "a"), (5, "c"), (7, "d"), (7, "f")]
+
+
+def pairs_by_similarity(data, least):
+    """(similarity, id, id) of all pairs of different texts whose five-word shingles are that similar, by comparing all that share one."""
+    texts = {}
+    for i, t in sorted(data):
+        texts.setdefault(" ".join((t or "").lower().split()), i)
+    shingles = {}
+    for t, i in texts.items():
+        w = t.split()
+        shingles[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    holders = {}
+    for i, s in shingles.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    met = {(a, b) for ids in holders.values() if len(ids) <= 60 for a in ids for b in ids if a < b}
+    like = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
+    return [(j, a, b) for a, b in met if (j := like(a, b)) >= least]
+
+
+def test_recall_of_the_pipelines_form_on_the_large_table(spark):
+    from skein.llm import pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    pairs = pairs_by_similarity([tuple(r) for r in docs.collect()], 0.5)
+    found = simhash.near_duplicates(docs, shingle=pipeline.SHINGLE, count=pipeline.FINGERPRINTS, block_shingle=pipeline.BLOCK_SHINGLE, spread=simhash.SPREAD_FIVE)
+    got = {r.id: r.component for r in found.collect()}
+    alike = [got[a] == got[b] for j, a, b in pairs if j >= 0.8]
+    assert len(alike) > 40 and sum(alike) >= 0.9 * len(alike)
+    near = {x for _, a, b in pairs for x in (a, b)}
+    texts = {}
+    for r in docs.collect():
+        texts.setdefault(" ".join((r.text or "").lower().split()), r.doc_id)
+    by = {}
+    for i in texts.values():
+        by.setdefault(got[i], []).append(i)
+    assert all(i in near for ids in by.values() if len(ids) > 1 for i in ids)
+
+
+def test_recall_within_crowded_keys(spark):
+    """Copies of one text, each in two versions: most texts meet in the same keys."""
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(400)}" for _ in range(250)]
+    data = []
+    for i in range(120):
+        far = edited(base, 0.10, rng)
+        data += [(2 * i, " ".join(far)), (2 * i + 1, " ".join(edited(far, 0.015, rng)))]
+    got = {r.id: r.component for r in simhash.near_duplicates(spark.createDataFrame(data, SCHEMA), shingle=5, count=8, block_shingle=2, spread=simhash.SPREAD_FIVE).collect()}
+    pairs = [(a, b) for j, a, b in pairs_by_similarity(data, 0.8)]
+    assert len(pairs) > 80 and sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
