@@ -1,64 +1,5 @@
-"""From raw documents to sharded training data, in five stages.
+"""From raw documents to sharded training data, in five stages; see skein.llm.pipeline."""
 
-Each stage takes what its predecessor kept, written as Parquet and read again, and
-returns documents with the columns of ``documents``; the last returns their shards.
-"""
+from skein.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from skein.functions.shared import remove_folder, shared_folder, table
-from skein.llm import automaton, classifier, mixing, sharding, simhash
-
-FINGERPRINTS = 8
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
-    scored = classifier.score_quality(docs, table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 1").select(*docs.columns)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group. Eight fingerprints a document find edited copies of a similarity of about 0.8 or more, which the one of op10 misses."""
-    return simhash.drop_near_duplicates(docs, count=FINGERPRINTS)
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the spans that stand in a benchmark item; those that are mostly such spans go."""
-    return automaton.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    mixed = mixing.mix(docs).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
-
-
-def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard of every document of the mix."""
-    return sharding.shard(docs, keep=["doc_id"]).select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_docs", "oversized")
-
-
-STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
-
-#: The classifier, a trained network, has no SQL form; the tests hold run() against a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to ``documents``, each written to the shared folder and read again; what a later stage no longer needs is deleted."""
-    docs, last = table(spark, sf_dir, "documents"), None
-    folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        if last:
-            remove_folder(spark, last)
-        last = path
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
