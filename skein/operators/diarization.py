@@ -8,11 +8,13 @@ boundaries and a window per recording; who is active, from a running sum per spe
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import constants as K
+from skein.functions.shared import checkpointed
 
 #: Width of the bins that bring an interval's start and the spells that hold it together.
 BIN_MS = 60_000
@@ -56,32 +58,56 @@ def elementary_intervals(ref: DataFrame, hyp: DataFrame, collar_ms: int = K.COLL
     return out.where("NOT _near").drop("_near").withColumnRenamed("at", "at_ms")
 
 
+def heaviest_pairs(weights: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of a row and a column, each used once at most, of the greatest total weight; pairs without weight are left out.
+
+    Rows enter one after another, each along a shortest augmenting path; prices of rows and columns keep all costs at zero or more.
+    """
+    n, m = weights.shape
+    gain = np.hstack([weights.astype(float), np.zeros((n, n))])  # a column of its own for each row that stays alone
+    cost = gain.max(initial=0.0) - gain
+    owner, row_price, column_price = np.full(m + n, -1), np.zeros(n), np.zeros(m + n)
+    for start in range(n):
+        distance, came, done = np.full(m + n, np.inf), np.full(m + n, -1), np.zeros(m + n, bool)
+        row, column, reached = start, -1, 0.0
+        while row >= 0:
+            along = reached + cost[row] - row_price[row] - column_price
+            nearer = ~done & (along < distance)
+            distance[nearer], came[nearer] = along[nearer], column
+            column = int(np.argmin(np.where(done, np.inf, distance)))
+            reached, done[column], row = distance[column], True, owner[column]
+        tree = done & (owner >= 0)
+        row_price[start] += reached
+        row_price[owner[tree]] += reached - distance[tree]
+        column_price[tree] -= reached - distance[tree]
+        while column >= 0:
+            before = came[column]
+            owner[column] = owner[before] if before >= 0 else start
+            column = before
+    return [(int(owner[c]), c) for c in range(m) if owner[c] >= 0 and weights[owner[c], c] > 0]
+
+
+def falling_pairs(weights: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs by falling weight, each row and column used once; of equal weights the first row, then the first column."""
+    left, pairs = weights.copy(), []
+    while left.size and left.max() > 0:
+        r, h = map(int, np.unravel_index(np.argmax(left), left.shape))
+        pairs.append((r, h))
+        left[r, :] = left[:, h] = 0
+    return pairs
+
+
 def best_mapping(overlaps: DataFrame, key: str = "conv_id") -> DataFrame:
     """(key, ref, hyp): the one-to-one mapping of speakers with the greatest total overlap, from (key, ref, hyp, frames).
 
-    Exact, over subsets of the hypothesis' speakers, up to fifteen of them; beyond, pairs are taken by falling overlap. One
-    recording's matrix of speakers is a group.
+    Exact up to fifteen speakers of the hypothesis; beyond, pairs are taken by falling overlap. One recording's matrix
+    of speakers is a group.
     """
 
     def assign(group: pd.DataFrame) -> pd.DataFrame:
-        w = {(r, h): f for r, h, f in zip(group["ref"], group["hyp"], group["frames"])}
-        refs, hyps = sorted(group["ref"].unique()), sorted(group["hyp"].unique())
-        chosen = []
-        if len(hyps) > K.EXACT_SPEAKERS:
-            for r, h in sorted(w, key=lambda p: (-w[p], p)):
-                if all(r != a and h != b for a, b in chosen):
-                    chosen.append((r, h))
-        else:
-            best = {0: (0, [])}
-            for r in refs:
-                now = dict(best)
-                for used, (total, pairs) in best.items():
-                    for k, h in enumerate(hyps):
-                        if not used >> k & 1 and (r, h) in w and total + w[r, h] > now.get(used | 1 << k, (-1,))[0]:
-                            now[used | 1 << k] = (total + w[r, h], [*pairs, (r, h)])
-                best = now
-            chosen = max(best.values(), key=lambda x: x[0])[1]
-        return pd.DataFrame({key: group[key].iloc[0], "ref": [r for r, _ in chosen], "hyp": [h for _, h in chosen]}).astype({"ref": object, "hyp": object})
+        table = group.pivot_table(index="ref", columns="hyp", values="frames", aggfunc="sum", fill_value=0).sort_index().sort_index(axis=1)
+        pairs = (falling_pairs if table.shape[1] > K.EXACT_SPEAKERS else heaviest_pairs)(table.to_numpy())
+        return pd.DataFrame({key: group[key].iloc[0], "ref": [table.index[r] for r, _ in pairs], "hyp": [table.columns[h] for _, h in pairs]}).astype({"ref": object, "hyp": object})
 
     kind = overlaps.schema[key].dataType.simpleString()
     return overlaps.select(key, "ref", "hyp", "frames").groupBy(key).applyInPandas(assign, f"{key} {kind}, ref string, hyp string")
@@ -89,7 +115,7 @@ def best_mapping(overlaps: DataFrame, key: str = "conv_id") -> DataFrame:
 
 def error_rate(ref: DataFrame, hyp: DataFrame, collar_ms: int = K.COLLAR_MS, key: str = "conv_id") -> DataFrame:
     """Per recording: der, missed, false_alarm, confusion, scored (seconds), overlap_recall, role_purity, ref_speakers, hyp_speakers."""
-    cells = elementary_intervals(ref, hyp, collar_ms, key)
+    cells = checkpointed(elementary_intervals(ref, hyp, collar_ms, key))  # read three times
     matrix = cells.select(key, "frames", "hyp", F.explode("ref").alias("r")).select(key, "frames", F.col("r").alias("ref"), F.explode("hyp").alias("hyp")).groupBy(key, "ref", "hyp").agg(F.sum("frames").alias("frames"))
     mapped = best_mapping(matrix, key).join(matrix, [key, "ref", "hyp"]).groupBy(key).agg(F.sum("frames").alias("correct"))
     nr, nh, f = F.size("ref"), F.size("hyp"), F.col("frames")
