@@ -83,3 +83,5 @@ ERRORS = (
     ("LLM_NOT_CONFIGURED", 422, False),
     ("LLM_PROVIDER_FAILED", 502, True),
 )
+# --- fixed values: words of a violation that tell of a score or a diagnosis without a source ---
+UNGROUNDED_KEYWORDS = ("score_candidates", "no doctor-sourced span")
