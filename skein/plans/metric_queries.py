@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skein.functions.shared import table
+from skein.functions.shared import broadcast_if_small, checkpointed, table
 from skein.operators import diarization, edit, enrollment
 from skein.sources.tables import SEG_SQL, hypothesis_segments, timed_segments
 
@@ -120,9 +120,10 @@ SELECT vec_id, cluster, CASE WHEN sim IS NULL THEN label WHEN sim >= 0.5 THEN 'd
 
 
 def impostor_max(spark, sf_dir):
-    """For each voiceprint the greatest similarity to another; the voiceprints are one row per label."""
+    """For each voiceprint the greatest similarity to another; the voiceprints are one row per label. They are broadcast only after a check of their number."""
     prints = enrollment.voiceprints(table(spark, sf_dir, "embeddings"), "label").select("label", "voiceprint")
-    other = F.broadcast(prints.select(F.col("label").alias("o"), F.col("voiceprint").alias("_v")))
+    prints = checkpointed(prints)
+    other = broadcast_if_small(prints.select(F.col("label").alias("o"), F.col("voiceprint").alias("_v")))
     pairs = prints.join(other, F.col("label") != F.col("o"))
     return pairs.groupBy("label").agg(F.round(F.max(enrollment.dot(F.col("voiceprint"), F.col("_v"))), 6).alias("impostor_max"))
 

@@ -7,7 +7,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skein.operators import store
+from skein.operators import store, telemetry
 from skein.operators.diarization import falling_pairs, heaviest_pairs
 from skein.operators.edit import operation_counts
 
@@ -101,3 +101,10 @@ def test_heaviest_pairs_are_the_best_of_all(n, m, data):
 def test_falling_pairs_need_not_be_the_best():
     assert falling_pairs(np.array([[5, 4], [4, 0]])) == [(0, 0)]
     assert sorted(heaviest_pairs(np.array([[5, 4], [4, 0]]))) == [(0, 1), (1, 0)]
+
+
+def test_exact_median_with_ties_nulls_and_far_values(spark):
+    groups = {"one": [3.0], "two": [1.0, 4.0], "ties": [2.0] * 5 + [9.0] * 4, "far": [0.0, 0.1, 0.2, 1e12], "even": [5.0, 5.0, 5.0, 5.0], "spread": [float(i * i % 101) for i in range(100)]}
+    rows = [(k, v) for k, values in groups.items() for v in values] + [("one", None), (None, 1.0)]
+    got = telemetry.exact_median(spark.createDataFrame(rows, "stage string, ms double"), "stage", "ms", bins=8)
+    assert {r.stage: r["median"] for r in got.collect()} == {k: float(np.median(v)) for k, v in groups.items()}
