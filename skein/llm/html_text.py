@@ -21,6 +21,7 @@ import hashlib
 import html as _html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -50,6 +51,10 @@ _SHELTERS = {
     "p": frozenset("div article section main td th li blockquote table button caption body".split()), "li": frozenset("ul ol menu".split()), "dt": frozenset(["dl"]),
     "tr": frozenset(["table"]), "td": frozenset("tr table".split()), "option": frozenset(["select"]),
 }
+#: The kinds that an element shelters.
+_SHELTERED = {tag: tuple(k for k, tags in _SHELTERS.items() if tag in tags) for tag in frozenset().union(*_SHELTERS.values())}
+#: Characters of a start tag beyond which its reading is not kept.
+_LONG = 500
 #: What an element stands for: text, a part that is set aside unless the text is in it, readers' comments, a head line, or what is never text.
 TEXT, SOFT, COMMENT, HEADER, HARD = range(5)
 #: Words of class names, ids and roles that mark an element as no part of the article.
@@ -75,13 +80,15 @@ _LEAST_ARTICLE = 0.2
 
 
 class Node:
-    __slots__ = ("tag", "label", "parent", "children", "mark", "all", "plain", "heading", "size", "score", "links", "left_out", "scope", "nested")
+    __slots__ = ("tag", "label", "parent", "children", "inner", "own", "mark", "all", "plain", "heading", "size", "score", "links", "left_out", "scope", "nested", "article")
 
     def __init__(self, tag: str, label: str, parent: Node | None, mark: int, scope: dict):
         self.tag, self.label, self.parent, self.mark, self.scope = tag, label, parent, mark, scope
         self.children: list = []  # nodes and texts
-        self.all = self.plain = self.size = self.score = self.links = self.nested = 0
+        self.inner: list[Node] = []  # the nodes of these
+        self.own = self.all = self.plain = self.size = self.score = self.links = self.nested = 0
         self.heading = self.left_out = False
+        self.article: Node | None = None  # of the root: what _article finds
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -91,6 +98,16 @@ def _attributes(source: str) -> dict[str, str]:
     return out
 
 
+@lru_cache(maxsize=1024)
+def _opening(tag: str, source: str) -> tuple[int, str]:
+    """The mark and the label of a start tag. Pages of a host repeat theirs, so the last ones are kept."""
+    attributes = _attributes(source) if source.strip(" /\n\t") else {}
+    label = tag
+    if names := attributes.get("class"):
+        label = ".".join([tag, *sorted(re.sub(r"\d+", "#", c).replace("/", "#") for c in names.split())])
+    return _mark(tag, attributes), label
+
+
 def _mark(tag: str, attributes: dict[str, str]) -> int:
     if tag in _UNSEEN or tag in _APART:
         return HARD
@@ -129,22 +146,22 @@ class _Reader:
         text = _html.unescape(text) if "&" in text else text
         top = self.stack[-1]
         top.children.append(text)
+        weight = _weight(text)
+        top.own += weight
         if self.in_link:
-            top.links += _weight(text)
+            top.links += weight
 
-    def push(self, tag: str, attributes: dict[str, str], mark: int, inline: bool = False) -> None:
+    def push(self, tag: str, label: str, mark: int, inline: bool = False) -> None:
         parent = self.stack[-1]
         scope, at = parent.scope, len(self.stack)
-        changed = {k: -1 for k, shelters in _SHELTERS.items() if tag in shelters and scope.get(k, -1) >= 0}
+        changed = {k: -1 for k in _SHELTERED.get(tag, ()) if scope.get(k, -1) >= 0}
         if tag in _KINDS:
             changed[_KINDS[tag]] = at
         if tag in _CELLS:
             changed["cell"] = at
-        label = tag
-        if names := attributes.get("class"):
-            label = ".".join([tag, *sorted(re.sub(r"\d+", "#", c).replace("/", "#") for c in names.split())])
         node = Node(tag, label, parent, mark, {**scope, **changed} if changed else scope)
         parent.children.append(node)
+        parent.inner.append(node)
         self.stack.append(node)
         self.open.setdefault(tag, []).append(at)
         if inline:
@@ -164,21 +181,21 @@ class _Reader:
             if tag == "br":
                 top.children.append(" ")
             elif tag == "hr":
-                self.start_block("hr", {})
+                self.start_block("hr", "hr", TEXT)
                 self.cut(len(self.stack) - 1)
             return
-        attributes = _attributes(source) if source.strip(" /\n\t") else {}
+        mark, label = _opening(tag, source) if len(source) <= _LONG else _opening.__wrapped__(tag, source)
         if tag not in _INLINE:
-            self.start_block(tag, attributes)
+            self.start_block(tag, label, mark)
             return
         if tag == "a":
             self.in_link = True
-        if attributes and (mark := _mark(tag, attributes)):
-            self.push(tag, attributes, mark, inline=True)
+        if mark:
+            self.push(tag, label, mark, inline=True)
         elif self.inline and self.stack[self.inline[-1]].tag == tag:
             self.stack[self.inline[-1]].nested += 1
 
-    def start_block(self, tag: str, attributes: dict[str, str]) -> None:
+    def start_block(self, tag: str, label: str, mark: int) -> None:
         self.in_link = False
         if tag in _CLOSES_P and (at := self.stack[-1].scope.get("p", -1)) >= 0:
             self.cut(at)
@@ -190,7 +207,7 @@ class _Reader:
             self.cut(self.open["head"][-1])  # a head without an end ends where the content begins
         if tag in ("html", "body") and self.open.get(tag):
             return  # a second one adds nothing
-        self.push(tag, attributes, _mark(tag, attributes))
+        self.push(tag, label, mark)
 
     def end(self, tag: str) -> None:
         if tag in _INLINE:
@@ -214,7 +231,7 @@ class _Reader:
 
 def _weight(text: str) -> int:
     """Characters that are not white space."""
-    return len("".join(text.split()))
+    return 0 if text.isspace() else len("".join(text.split()))
 
 
 def read_page(source: str | None) -> Node:
@@ -255,7 +272,7 @@ def _below(root: Node, enter=lambda n: True) -> list[Node]:
         node = todo.pop()
         order.append(node)
         if enter(node):
-            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+            todo += reversed(node.inner)
     return order
 
 
@@ -263,16 +280,13 @@ def _judge(root: Node) -> None:
     """Decides which marked elements are left out, and sums up the text of what remains."""
     order = _below(root)
     for node in reversed(order):
-        for c in node.children:
-            if isinstance(c, Node):
-                node.all += c.all
-                node.plain += 0 if c.mark else c.plain
-                node.heading |= c.heading or (c.tag in _HEADINGS and c.all > 0)
-            else:
-                n = _weight(c)
-                node.all += n
-                node.plain += n
-    article = _article(root)
+        node.all += node.own
+        node.plain += node.own
+        for c in node.inner:
+            node.all += c.all
+            node.plain += 0 if c.mark else c.plain
+            node.heading |= c.heading or (c.tag in _HEADINGS and c.all > 0)
+    article = root.article = _article(root)
     kept = article
     if article is None:
         # where little is left, the marked element that holds most of the text is no mere part of the page
@@ -293,10 +307,11 @@ def _judge(root: Node) -> None:
             node.left_out = not (node.mark == HEADER and node.heading and _in_article(node))
     for node in reversed(order):
         if not node.left_out:
-            own = sum(_weight(c) for c in node.children if isinstance(c, str))
-            below = [c for c in node.children if isinstance(c, Node) and not c.left_out]
-            node.size = own + sum(c.size for c in below)
-            node.score = own - node.links + sum(c.score for c in below)
+            node.size = node.own
+            node.score = node.own - node.links
+            for c in node.inner:  # what is left out has neither
+                node.size += c.size
+                node.score += c.score
 
 
 def _in_article(node: Node) -> bool:
@@ -318,10 +333,10 @@ def _article(root: Node) -> Node | None:
 
 def best_container(root: Node) -> Node:
     """The page's article or main element, else the innermost container with most of the text outside of links."""
-    article = _article(root)
+    article = root.article
     node = article or root
     while True:
-        held = [c for c in node.children if isinstance(c, Node) and not c.left_out and c.tag not in _LEAF]
+        held = [c for c in node.inner if not c.left_out and c.tag not in _LEAF]
         inner = max(held, key=lambda c: (c.score, c.size), default=None)
         if inner is None or not inner.size or (article is not None and inner.tag not in ("article", "main")):
             return node
@@ -342,7 +357,7 @@ def on_path(root: Node, path: str) -> list[Node]:
     """The elements that a path leads to; of several articles the one with the most text."""
     found = [root]
     for label in path.split("/")[1:]:
-        found = [c for n in found for c in n.children if isinstance(c, Node) and c.label == label and c.size]
+        found = [c for n in found for c in n.inner if c.label == label and c.size]
         if not found:
             return []
     if found[0].tag in ("article", "main", ""):
