@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from skein.functions.shared import stored, table
 
 SPACE = r"[\x20\x09-\x0D]+"
+_OTHER_SPACES = "\t\n\x0b\f\r"
 #: Words of the longer line from which an edit of one word counts as the same line.
 MIN_WORDS = 5
 #: Parts of a line one of which holds the edit: of every line first, then of those that remain.
@@ -35,7 +36,11 @@ COARSE, FINE = 2, 16
 
 def _normal(line: Column, unit: str = "word") -> Column:
     """The line's words with one space between them, or its characters, in which a unit separator stands for the space between words."""
-    words = F.trim(F.regexp_replace(line, SPACE, " "))
+    # most lines need no replacement, and searching them for what it would replace is far cheaper
+    uneven = F.lit(False)
+    for space in ("  ", *_OTHER_SPACES):
+        uneven |= F.contains(line, F.lit(space))
+    words = F.trim(F.when(uneven, F.regexp_replace(line, SPACE, " ")).otherwise(line))
     return words if unit == "word" else F.trim(F.regexp_replace(F.translate(words, " ", "\x1f"), "(.)", "$1 "))
 
 
