@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,22 +44,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a parquet table in the shared folder, for what is large or read in part: columns compress, and unread ones stay on disk.
 
-    The table stays in the folder until drop_stored is called, or until the folder is emptied.
+    The table goes with the block of tables_of_block that it was stored in; outside of one it stays until the folder is emptied.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _STORED.append(path)
+    owned = _BLOCK.get()
+    if owned is not None:
+        owned.append(path)
     return df.sparkSession.read.parquet(path)
 
 
-#: Tables that this driver has stored and not dropped.
-_STORED: list[str] = []
+#: Tables stored in the block that runs now.
+_BLOCK: ContextVar[list[str] | None] = ContextVar("tables", default=None)
 
 
-def drop_stored(spark: SparkSession) -> None:
-    """Deletes all tables that this driver has stored. Call it once the results that read them are written."""
-    while _STORED:
-        remove_folder(spark, _STORED.pop())
+@contextmanager
+def tables_of_block(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that were stored within it, and no others; results that read them must be written by then."""
+    paths: list[str] = []
+    before = _BLOCK.set(paths)
+    try:
+        yield
+    finally:
+        _BLOCK.reset(before)
+        for path in paths:
+            remove_folder(spark, path)
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
