@@ -55,6 +55,8 @@ TRANSITIONS = (
     ("PUBLISHED", "REVOKED"),
     ("PROCESSING_FAILED", "PROCESSING"),
 )
+#: The status that an encounter is created with.
+INITIAL = ("DRAFT",)
 EXPLANATION_FIELDS = (
     "current_situation", "tests_and_reasons", "treatment_plan", "medication_instructions",
     "warning_signs", "what_to_do_next", "follow_up", "items_to_confirm_with_clinician",

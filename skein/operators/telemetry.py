@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import constants as K
 from skein.functions.shared import broadcast_if_small, checkpointed
+from skein.operators import ranges
 
 
 #: Bins of the histogram that finds where a median lies.
@@ -55,8 +56,8 @@ def parallel_speedup(tasks: DataFrame, by: str, start: str = "start_ms", end: st
 
 
 def counter_deltas(samples: DataFrame, by: str, order: list[str], counter: str) -> DataFrame:
-    """Difference of a counter to the sample before, null for the first."""
-    return samples.withColumn("delta", F.col(counter) - F.lag(counter).over(Window.partitionBy(by).orderBy(*order)))
+    """Difference of a counter to the sample before, null for the first. A source may have any number of samples."""
+    return ranges.with_previous(samples, by, [F.col(c) for c in order], counter, "_before").withColumn("delta", F.col(counter) - F.col("_before")).drop("_before")
 
 
 def utilization(samples: DataFrame, by: str, value: str) -> DataFrame:

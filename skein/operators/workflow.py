@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import constants as K
+from skein.operators import ranges
 
 
 def latest(df: DataFrame, by: str, order: Sequence[Column]) -> DataFrame:
@@ -16,9 +17,8 @@ def latest(df: DataFrame, by: str, order: Sequence[Column]) -> DataFrame:
 
 
 def audit_events(events: DataFrame, by: str, order: Sequence[Column], only: object = None) -> DataFrame:
-    """Every event, or those of the encounter ``only``, with its rank within its encounter under ``order``, which must decide every tie."""
-    df = events if only is None else events.where(F.col(by) == F.lit(only))
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    """Every event, or those of the encounter ``only``, with its rank within its encounter under ``order``, which must decide every tie. An encounter may have any number of events."""
+    return ranges.ranked(events if only is None else events.where(F.col(by) == F.lit(only)), by, order)
 
 
 def lookup(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -32,15 +32,20 @@ def illegal_transitions(steps: DataFrame, transitions: Sequence[tuple[str, str]]
     return steps.join(F.broadcast(table), ["from_status", "to_status"], "left_anti")  # a table of fixed size
 
 
-def steps(events: DataFrame, by: str, order: Sequence[str], status: str) -> DataFrame:
-    """Each event after the first of its group as a step from the status before."""
-    w = Window.partitionBy(by).orderBy(*order)
-    return events.withColumn("from_status", F.lag(status).over(w)).withColumnRenamed(status, "to_status").where("from_status IS NOT NULL")
+def guard_events(events: DataFrame, by: str, order: Sequence[str], status: str, transitions: Sequence[tuple[str, str]] = K.TRANSITIONS, initial: Sequence[str] = K.INITIAL) -> DataFrame:
+    """Each event with the state it meets (from_status), whether it is accepted, and the state after it; see ranges.guarded."""
+    return ranges.guarded(events, by, [F.col(c) for c in order], status, transitions, initial)
 
 
-def fold_status(events: DataFrame, by: str, order: Sequence[str], status: str) -> DataFrame:
-    """The status each group ends with, and when; its events are the source of truth."""
-    return events.groupBy(by).agg(F.max(F.struct(*order, status)).alias("_l"), F.count("*").alias("n_events")).select(by, f"_l.{status}", F.col(f"_l.{order[0]}").alias("since"), "n_events")
+def refused(guarded: DataFrame, status: str) -> DataFrame:
+    """The events of guard_events that the state they met does not allow, with from_status (null before the first accepted one) and to_status."""
+    return guarded.where("NOT accepted").drop("accepted", "state").withColumnRenamed(status, "to_status")
+
+
+def fold_status(guarded: DataFrame, by: str, order: Sequence[str]) -> DataFrame:
+    """The state that each group of guard_events ends with, since when (null if nothing was accepted), and how many events it had and refused; the events are the source of truth."""
+    last = F.max(F.when(F.col("accepted"), F.struct(*order, "state"))).alias("_l")
+    return guarded.groupBy(by).agg(last, F.count("*").alias("n_events"), F.count_if(~F.col("accepted")).alias("n_refused")).select(by, F.col("_l.state").alias("status"), F.col(f"_l.{order[0]}").alias("since"), "n_events", "n_refused")
 
 
 def edit(versions: DataFrame, edits: DataFrame, document: str = "document_id") -> tuple[DataFrame, DataFrame]:

@@ -117,21 +117,34 @@ def _statuses(spark, sf_dir):
 _ST = "st AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'click' THEN 'DRAFT' WHEN 'view' THEN 'SUBMITTED' WHEN 'purchase' THEN 'PROCESSING' WHEN 'signup' THEN 'REVIEW_REQUIRED' WHEN 'error' THEN 'APPROVED' ELSE 'PUBLISHED' END AS status FROM events)"
 
 
+def _guarded(spark, sf_dir):
+    return workflow.guard_events(_statuses(spark, sf_dir), "user_id", ["ts", "event_id"], "status")
+
+
+#: Each user's events in turn: an event is accepted if the state that the accepted ones before have led to allows it.
+_GUARD = f"""WITH RECURSIVE {_ST}, e AS (SELECT user_id, event_id, status, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM st
+), f AS (
+  SELECT user_id, k, event_id, NULL::VARCHAR AS from_status, status AS to_status, status = 'DRAFT' AS accepted, CASE WHEN status = 'DRAFT' THEN status END AS state FROM e WHERE k = 1
+  UNION ALL SELECT user_id, k, event_id, state, to_status, ok, CASE WHEN ok THEN to_status ELSE state END FROM (
+    SELECT e.user_id, e.k, e.event_id, f.state, e.status AS to_status, (coalesce(f.state, ''), e.status) IN (('', 'DRAFT'), ('DRAFT', 'SUBMITTED'), ('SUBMITTED', 'PROCESSING'), ('PROCESSING', 'REVIEW_REQUIRED'), ('PROCESSING', 'PROCESSING_FAILED'),
+      ('REVIEW_REQUIRED', 'APPROVED'), ('APPROVED', 'PUBLISHED'), ('APPROVED', 'REVIEW_REQUIRED'), ('PUBLISHED', 'REVOKED'), ('PROCESSING_FAILED', 'PROCESSING')) AS ok
+    FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1))"""
+
+
 def illegal_transitions(spark, sf_dir):
-    steps = workflow.steps(_statuses(spark, sf_dir), "user_id", ["ts", "event_id"], "status")
-    return workflow.illegal_transitions(steps).select("user_id", "event_id", "from_status", "to_status")
+    """Events that are refused, with the state they met."""
+    return workflow.refused(_guarded(spark, sf_dir), "status").select("user_id", "event_id", "from_status", "to_status")
 
 
-ILLEGAL_TRANSITIONS = f"""WITH {_ST}, s AS (SELECT user_id, event_id, lag(status) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_status, status AS to_status FROM st)
-SELECT * FROM s WHERE from_status IS NOT NULL AND (from_status, to_status) NOT IN (('DRAFT', 'SUBMITTED'), ('SUBMITTED', 'PROCESSING'), ('PROCESSING', 'REVIEW_REQUIRED'), ('PROCESSING', 'PROCESSING_FAILED'), ('REVIEW_REQUIRED', 'APPROVED'),
-  ('APPROVED', 'PUBLISHED'), ('APPROVED', 'REVIEW_REQUIRED'), ('PUBLISHED', 'REVOKED'), ('PROCESSING_FAILED', 'PROCESSING'))"""
+ILLEGAL_TRANSITIONS = f"{_GUARD} SELECT user_id, event_id, from_status, to_status FROM f WHERE NOT accepted"
 
 
 def state_fold(spark, sf_dir):
-    return workflow.fold_status(_statuses(spark, sf_dir), "user_id", ["ts", "event_id"], "status").select("user_id", "status", "n_events")
+    """Each user's state after the accepted events."""
+    return workflow.fold_status(_guarded(spark, sf_dir), "user_id", ["ts", "event_id"]).select("user_id", "status", "n_events", "n_refused")
 
 
-STATE_FOLD = f"WITH {_ST} SELECT user_id, status, n AS n_events FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k, count(*) OVER (PARTITION BY user_id)::BIGINT AS n FROM st) WHERE k = 1"
+STATE_FOLD = f"{_GUARD} SELECT user_id, arg_max(state, k) AS status, count(*)::BIGINT AS n_events, count(*) FILTER (NOT accepted)::BIGINT AS n_refused FROM f GROUP BY user_id"
 
 
 def _versions(spark, sf_dir):
