@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +15,9 @@ from skein.operators.diarization import elementary_intervals
 
 
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    """Sum of the products of two vectors; null if either is, an error if their lengths differ."""
+    same = F.when(F.size(a) == F.size(b), a).when(a.isNotNull() & b.isNotNull(), F.raise_error(F.lit("vectors of different lengths")).cast("array<double>"))
+    return F.aggregate(F.zip_with(same, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
 def normalize(v: Column) -> Column:
@@ -32,6 +38,52 @@ def voiceprints(df: DataFrame, by: str, vector: str = "embedding") -> DataFrame:
     return mean.groupBy(by).agg(print_.alias("_m"), F.max("n").alias("n")).select(by, normalize(F.col("_m")).alias("voiceprint"), "n")
 
 
+#: Voiceprints that blocks are drawn around, at most.
+PIVOTS = 1024
+#: Angles are known to so much.
+_SLACK = 1e-6
+
+
+def impostors(clusters: DataFrame, voiceprints: DataFrame, key: str, doctor: str = "doctor", vector: str = "embedding", voiceprint: str = "voiceprint") -> DataFrame:
+    """(key, doctor, impostor): the greatest cosine of each cluster of a doctor (key, doctor, vector) to a voiceprint (doctor, voiceprint) of another doctor; null if there is none.
+
+    Some voiceprints are pivots; every voiceprint is in the block of its nearest one, whose radius is the greatest angle in it. A cluster is compared with the voiceprints of those blocks that, by the
+    triangle inequality, may hold one as near as the nearest pivot of another doctor. Clusters without a doctor, and vectors that are null or of length zero, are like no one. Keys are not null and stand once.
+    """
+    unit = lambda v: F.when(dot(v, v) > 0, normalize(v))
+    prints = checkpointed(voiceprints.select(F.col(doctor).cast("string").alias("_other"), unit(F.col(voiceprint)).alias("_v")).where("_other IS NOT NULL AND _v IS NOT NULL"))
+    count = prints.count()
+    rows = prints.orderBy(F.xxhash64("_other"), "_other").limit(min(PIVOTS, math.ceil(math.sqrt(count)))).collect()  # at most PIVOTS
+    if not rows:
+        return clusters.select(key, doctor, F.lit(None).cast("double").alias("impostor"))
+    pivots, names = np.array([r["_v"] for r in rows]), np.array([r["_other"] for r in rows], dtype=object)
+
+    def angles(vectors: pd.Series) -> np.ndarray:
+        return np.arccos(np.clip(np.array(vectors.tolist(), dtype=np.float64).reshape(-1, pivots.shape[1]) @ pivots.T, -1, 1))
+
+    @F.pandas_udf("block int, angle double")
+    def nearest(vectors: pd.Series) -> pd.DataFrame:
+        a = angles(vectors)
+        return pd.DataFrame({"block": a.argmin(axis=1), "angle": a.min(axis=1, initial=np.inf)})
+
+    blocks = checkpointed(prints.withColumn("_n", nearest("_v")).select("_other", "_v", F.col("_n.block").alias("_block"), F.col("_n.angle").alias("_angle")))
+    radius = np.full(len(rows), -np.inf)
+    for r in blocks.groupBy("_block").agg(F.max("_angle").alias("r")).collect():  # one row a pivot
+        radius[r["_block"]] = r["r"]
+
+    @F.pandas_udf("array<int>")
+    def reached(vectors: pd.Series, own: pd.Series) -> pd.Series:
+        a = angles(vectors)
+        nearest_other = np.where(names[None, :] == own.to_numpy(dtype=object)[:, None], np.pi, a).min(axis=1, initial=np.pi)
+        return pd.Series([np.flatnonzero(x) for x in a - radius <= nearest_other[:, None] + _SLACK], dtype=object)
+
+    asked = clusters.select(key, doctor, F.col(doctor).cast("string").alias("_own"), unit(F.col(vector)).alias("_u"))
+    usable = asked.where("_own IS NOT NULL AND _u IS NOT NULL")
+    met = usable.withColumn("_block", F.explode(reached("_u", "_own"))).join(blocks.drop("_angle"), "_block").where("_own <> _other")
+    best = met.groupBy(key).agg(F.max(dot(F.col("_u"), F.col("_v"))).alias("impostor"))
+    return asked.select(key, doctor).join(best, key, "left")
+
+
 def label_clusters(clusters: DataFrame, voiceprint: DataFrame, threshold: float = K.DOCTOR_THRESHOLD, min_share: float = K.MIN_SHARE, key: str | None = None) -> DataFrame:
     """Clusters (cluster, embedding, seconds, and key if several recordings) with similarity, share of speech and label.
 

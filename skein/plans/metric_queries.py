@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skein.functions.shared import broadcast_if_small, checkpointed, table
+from skein.functions.shared import table
 from skein.operators import diarization, edit, enrollment
 from skein.sources.tables import SEG_SQL, hypothesis_segments, timed_segments
 
@@ -31,6 +31,23 @@ def edit_ops_sdi(spark, sf_dir):
     return edit.with_operations(df, "text", "hyp").select("conv_id", "turn", "substitutions", "deletions", "insertions", "length", F.round("rate", 9).alias("rate"))
 
 
+#: Prefixes of both texts by rising sum of their lengths: the errors and deletions of one sum follow from the two sums before.
+EDIT_OPS_SDI = r"""WITH RECURSIVE c AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS id, conv_id, turn, string_split(text, ' ') AS w FROM conversations
+), p AS (SELECT id, conv_id, turn, list_filter(regexp_split_to_array(array_to_string(w, ' '), '\s+'), lambda x: x <> '') AS a,
+    list_filter(regexp_split_to_array(array_to_string([CASE WHEN i % 7 = 3 THEN 'um' WHEN i % 11 = 5 THEN '' ELSE w[i + 1] END for i in range(len(w))], ' '), '\s+'), lambda x: x <> '') AS b FROM c
+), s AS (SELECT id, len(a) AS n, len(b) AS m FROM p), x AS (SELECT id, unnest(a) AS u, unnest(range(1, len(a) + 1)) AS i FROM p), y AS (SELECT id, unnest(b) AS v, unnest(range(1, len(b) + 1)) AS j FROM p
+), r AS (
+  SELECT s.id, n, m, i, u, 0::BIGINT AS t, CASE WHEN i = 0 THEN 0::BIGINT END AS e1, 0::BIGINT AS d1, NULL::BIGINT AS e2, 0::BIGINT AS d2 FROM s JOIN (SELECT id, i, u FROM x UNION ALL SELECT id, 0, '' FROM s) q ON q.id = s.id
+  UNION ALL
+  SELECT id, n, m, i, u, t, CASE WHEN j < 0 OR j > m THEN NULL WHEN i = 0 THEN j WHEN j = 0 THEN i ELSE least(sub, del, ins) END,
+    CASE WHEN i = 0 THEN 0 WHEN j = 0 THEN i WHEN sub = least(sub, del, ins) THEN sd WHEN del = least(sub, del, ins) THEN dd + 1 ELSE id1 END, o1, od1
+  FROM (
+    SELECT r.id, r.n, r.m, r.i, r.u, r.t + 1 AS t, r.t + 1 - r.i AS j, r.e1 + 1 AS ins, r.d1 AS id1, q.e1 + 1 AS del, q.d1 AS dd, q.e2 + (r.u <> coalesce(y.v, ''))::BIGINT AS sub, q.d2 AS sd, r.e1 AS o1, r.d1 AS od1
+    FROM r LEFT JOIN r q ON q.id = r.id AND q.i = r.i - 1 LEFT JOIN y ON y.id = r.id AND y.j = r.t + 1 - r.i WHERE r.t < r.n + r.m)
+), f AS (SELECT id, e1 AS e, d1 AS d, n, m FROM r WHERE t = n + m AND i = n)
+SELECT conv_id, turn, e - 2 * d - (m - n) AS substitutions, d AS deletions, d + m - n AS insertions, n::BIGINT AS length, round(CASE WHEN n > 0 THEN e::DOUBLE / n WHEN e > 0 THEN 'inf'::DOUBLE ELSE 0 END, 9) AS rate FROM f JOIN p USING (id)"""
+
+
 def _sides(spark, sf_dir):
     segs = timed_segments(spark, sf_dir)
     role = F.when(F.col("speaker_index") == 0, "doctor").when(F.col("speaker_index") == 1, "patient").otherwise("contamination")
@@ -120,15 +137,19 @@ SELECT vec_id, cluster, CASE WHEN sim IS NULL THEN label WHEN sim >= 0.5 THEN 'd
 
 
 def impostor_max(spark, sf_dir):
-    """For each voiceprint the greatest similarity to another; the voiceprints are one row per label. They are broadcast only after a check of their number."""
-    prints = enrollment.voiceprints(table(spark, sf_dir, "embeddings"), "label").select("label", "voiceprint")
-    prints = checkpointed(prints)
-    other = broadcast_if_small(prints.select(F.col("label").alias("o"), F.col("voiceprint").alias("_v")))
-    pairs = prints.join(other, F.col("label") != F.col("o"))
-    return pairs.groupBy("label").agg(F.round(F.max(enrollment.dot(F.col("voiceprint"), F.col("_v"))), 6).alias("impostor_max"))
+    """For each cluster that is mostly the doctor's, the greatest similarity to another doctor's voiceprint. Labels stand for doctors, each with seven clusters."""
+    e = table(spark, sf_dir, "embeddings").withColumn("cluster", F.col("label") * 7 + F.col("vec_id") % 7)
+    own = e.groupBy("cluster").agg(F.any_value("label").alias("doctor"), (F.count_if(F.expr("vec_id div 7 % 2 = 0")) * 2 > F.count("*")).alias("_true")).where("_true").drop("_true")
+    clusters = enrollment.voiceprints(e, "cluster").select("cluster", F.col("voiceprint").alias("embedding")).join(own, "cluster")
+    prints = enrollment.voiceprints(e, "label").select(F.col("label").alias("doctor"), "voiceprint")
+    return enrollment.impostors(clusters, prints, "cluster").select("cluster", "doctor", F.round("impostor", 6).alias("impostor_max"))
 
 
-IMPOSTOR_MAX = f"WITH {_UNIT} SELECT a.label, round(max(list_dot_product(a.v, b.v)), 6) AS impostor_max FROM vp a JOIN vp b ON a.label <> b.label GROUP BY a.label"
+IMPOSTOR_MAX = f"""WITH {_UNIT}, k AS (SELECT vec_id, label * 7 + vec_id % 7 AS cluster, label, v FROM u
+), o AS (SELECT cluster, any_value(label) AS doctor FROM k GROUP BY cluster HAVING count(*) FILTER (vec_id // 7 % 2 = 0) * 2 > count(*)
+), kp AS (SELECT cluster, list(x ORDER BY pos) AS m FROM (SELECT cluster, pos, avg(x) AS x FROM (SELECT cluster, unnest(v) AS x, unnest(range(64)) AS pos FROM k) GROUP BY cluster, pos) GROUP BY cluster
+), kv AS (SELECT cluster, doctor, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS v FROM kp JOIN o USING (cluster))
+SELECT cluster, doctor, round(max(list_dot_product(kv.v, vp.v)), 6) AS impostor_max FROM kv JOIN vp ON vp.label <> kv.doctor GROUP BY cluster, doctor"""
 
 
 def enrollment_score(spark, sf_dir):
@@ -160,7 +181,7 @@ SELECT conv_id, round(min(CASE WHEN r = 0 THEN 1.0::DOUBLE / (1 + h + conv_id %
 
 QUERIES = {
     "edit_rate_micro": (edit_rate_micro, EDIT_RATE_MICRO),
-    "edit_ops_sdi": (edit_ops_sdi, None),
+    "edit_ops_sdi": (edit_ops_sdi, EDIT_OPS_SDI),
     "der_components": (der_components, DER_COMPONENTS),
     "voiceprint_centroid": (voiceprint_centroid, VOICEPRINT_CENTROID),
     "cluster_label": (cluster_label, CLUSTER_LABEL),

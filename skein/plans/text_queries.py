@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
@@ -173,7 +172,7 @@ NUMBER_EVIDENCE = r"SELECT doc_id, regexp_matches(text, '[\p{Nd}²³¹⁰⁴-⁹
 
 def _dictionary(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), 0)).alias("name")).distinct()
-    return b.withColumn("ord", F.row_number().over(Window.orderBy("name")))
+    return b.withColumn("ord", F.col("name"))
 
 
 def _ascii(spark, sf_dir):
@@ -185,7 +184,7 @@ def fuzzy_candidates(spark, sf_dir):
     return found.select("doc_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "span", "name", "similarity")
 
 
-FUZZY_CANDIDATES = """WITH n AS (SELECT name, row_number() OVER (ORDER BY name) AS ord FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS name FROM benchmark)
+_FUZZY = """n AS (SELECT name, row_number() OVER (ORDER BY name) AS ord FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS name FROM benchmark)
 ), t AS (SELECT conv_id * 1000 + turn AS doc_id, string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' ') AS w FROM conversations
 ), r AS (
   SELECT doc_id, i - 1 AS start, i AS stop, w[i] AS span FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM t) WHERE w[i] <> ''
@@ -193,16 +192,25 @@ FUZZY_CANDIDATES = """WITH n AS (SELECT name, row_number() OVER (ORDER BY name)
 ), x AS (SELECT DISTINCT doc_id, unnest(range(start, stop)) AS k FROM r WHERE span IN (SELECT name FROM n)
 ), s AS (SELECT span, name, ord, greatest(0, 1 - levenshtein(name, span)::DOUBLE / length(name)) AS sim FROM (SELECT DISTINCT span FROM r), n WHERE abs(length(span) - length(name)) <= length(name) * 0.2 + 0.001
 ), b AS (SELECT span, name, sim FROM (SELECT *, row_number() OVER (PARTITION BY span ORDER BY sim DESC, ord) AS k FROM s WHERE sim >= 0.8) WHERE k = 1
-)
-SELECT r.doc_id, start, stop, r.span, name, round_even(sim, 3) AS similarity FROM r JOIN b ON r.span = b.span
-WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.doc_id = r.doc_id AND x.k >= r.start AND x.k < r.stop)"""
+), c AS (SELECT r.doc_id, start, stop, r.span, name, round_even(sim, 3) AS similarity FROM r JOIN b ON r.span = b.span
+  WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.doc_id = r.doc_id AND x.k >= r.start AND x.k < r.stop))"""
+FUZZY_CANDIDATES = f"WITH {_FUZZY} SELECT * FROM c"
 
 
 def fuzzy_dictionary(spark, sf_dir):
-    found = fuzzy.fuzzy_candidates(_ascii(spark, sf_dir), _dictionary(spark, sf_dir), min_similarity=0.8)
+    """The candidates that are chosen where some overlap."""
+    found = fuzzy_candidates(spark, sf_dir)
     return fuzzy.select_candidates(found)
 
 
+FUZZY_DICTIONARY = f"""WITH RECURSIVE {_FUZZY}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, stop - start, start) AS k FROM c
+), g AS (
+  SELECT doc_id, k, range(start, stop) AS taken, true AS fits FROM o WHERE k = 1
+  UNION ALL SELECT doc_id, k, CASE WHEN ok THEN list_concat(taken, mine) ELSE taken END, ok FROM (
+    SELECT o.doc_id, o.k, taken, range(start, stop) AS mine, NOT list_has_any(taken, range(start, stop)) AS ok FROM g JOIN o ON o.doc_id = g.doc_id AND o.k = g.k + 1))
+SELECT o.doc_id, start, stop, span, name, similarity FROM o JOIN g ON g.doc_id = o.doc_id AND g.k = o.k WHERE fits"""
+
+
 def anchor_checks(spark, sf_dir):
     """Whether a word of each benchmark item stands in the document of its number, spaces aside; SKIPPED where there is no such document."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.element_at(F.split("text", " "), 2).alias("anchor"))
@@ -238,7 +246,7 @@ QUERIES = {
     "number_word_normalize": (number_word_normalize, NUMBER_WORD_NORMALIZE),
     "number_evidence": (number_evidence, NUMBER_EVIDENCE),
     "fuzzy_candidates": (fuzzy_candidates, FUZZY_CANDIDATES),
-    "fuzzy_dictionary": (fuzzy_dictionary, None),
+    "fuzzy_dictionary": (fuzzy_dictionary, FUZZY_DICTIONARY),
     "anchor_checks": (anchor_checks, ANCHOR_CHECKS),
     "expectation_eval": (expectation_eval, EXPECTATION_EVAL),
 }
