@@ -87,3 +87,15 @@ ERRORS = (
 )
 # --- fixed values: words of a violation that tell of a score or a diagnosis without a source ---
 UNGROUNDED_KEYWORDS = ("score_candidates", "no doctor-sourced span")
+# --- fixed values: the question and the reason of a diagnosis that no doctor stated ---
+DEMOTED_QUESTION = "환자/보호자 진술만으로는 진단을 확정할 수 없습니다. 의료진 확인이 필요합니다: "
+DEMOTED_RATIONALE = "원래 diagnosis로 분류되었으나 의사가 명시한 근거가 없어 강등됨"
+# --- fixed values: notice of a draft ---
+DRAFT_NOTICE = "의료진 검토 전 초안입니다."
+# --- fixed values: what the checks of findings say ---
+SPAN_DROPPED = "ungrounded source_span dropped (quote not in segment text)"
+FINDING_DROPPED = "dropped entirely (no grounded source_span)"
+STOP_DOWNGRADED = "source negates stopping but action=stop -- downgraded to unknown"
+SCORE_CLEARED = "score_candidates without a verbatim number in source -- cleared"
+VALUE_CLEARED = "value_candidates without a verbatim number in source -- cleared"
+DIAGNOSIS_MOVED = "no doctor-sourced span -- moved to follow_up_questions, not a diagnosis"

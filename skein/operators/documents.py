@@ -23,7 +23,7 @@ def structure_of(text: Column) -> Column:
     return F.struct(*[(problems if name == "problems" else empty).alias(name) for name, empty in _empty(STRUCTURE).items()])
 
 
-def explanation_of(structure: Column, notice: str = "의료진 검토 전 초안입니다.") -> Column:
+def explanation_of(structure: Column, notice: str = K.DRAFT_NOTICE) -> Column:
     """A draft that lists the problems' texts, with the segments they come from."""
     problems = structure["problems"]
     fields = _empty(EXPLANATION) | {

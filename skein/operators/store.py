@@ -43,6 +43,31 @@ def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> bool:
     return True
 
 
+def append_batch(df: DataFrame, path: str, batch: str) -> None:
+    """Appends the rows of a batch to a parquet table, under a column ``batch``; written again, by a retried driver, say, they take the place of what the same batch has left. Other batches stay.
+
+    ``df`` is read once. A batch without rows leaves the table as it is. A column ``batch`` of the input gives way.
+    """
+    df.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
+def set_roles(runs: DataFrame, segments: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(runs after the role maps, audit rows to append, refused requests).
+
+    ``runs`` has run_id, encounter_id, roles (a map) and updated_at, ``segments`` run_id and speaker, ``asked`` run_id, roles and created_at. A request is refused if its run is unknown, its map is null or empty, or it
+    names a speaker that the run's segments lack. Of several for a run the last one that is not refused counts, all of these are audited; of equal times the map that comes last as text.
+    """
+    named = asked.withColumn("_id", F.xxhash64("run_id", F.to_json("roles"), "created_at"))
+    speakers = named.where("size(roles) > 0").select("run_id", "_id", F.explode(F.map_keys("roles")).alias("speaker")).distinct()
+    strange = speakers.join(segments.select("run_id", "speaker").distinct(), ["run_id", "speaker"], "left_anti").select("run_id", "_id").distinct()
+    good = named.where("size(roles) > 0").join(strange, ["run_id", "_id"], "left_anti").join(runs.select("run_id", "encounter_id"), "run_id")
+    refused = named.join(good.select("run_id", "_id").distinct(), ["run_id", "_id"], "left_anti").select(*asked.columns)
+    last = good.groupBy("run_id").agg(F.max(F.struct("created_at", F.to_json("roles").alias("_json"))).alias("_l"))
+    last = last.select("run_id", F.from_json("_l._json", "map<string,string>").alias("_roles"), F.col("_l.created_at").alias("_at"))
+    after = runs.join(last, "run_id", "left").withColumns({"roles": F.coalesce("_roles", "roles"), "updated_at": F.coalesce("_at", "updated_at")})
+    return after.select(*runs.columns), audit(good, "SPEAKER_ROLES_CONFIRMED", F.struct("run_id")), refused
+
+
 def audit(df: DataFrame, event_type: str, detail: Column, encounter: str = "encounter_id", at: str = "created_at") -> DataFrame:
     """Audit rows (encounter_id, event_type, detail, created_at), the detail as JSON."""
     return df.select(F.col(encounter).alias("encounter_id"), F.lit(event_type).alias("event_type"), F.to_json(detail).alias("detail"), F.col(at).alias("created_at"))

@@ -50,12 +50,12 @@ def validate_findings(findings: DataFrame, spans: DataFrame, segments: DataFrame
     demoted = held & is_a("diagnosis") & ~F.col("by_doctor")
     name = F.concat(F.when(is_a("follow_up"), F.lit("follow_up_question")).otherwise(F.col("category")), F.lit(" "), F.col("finding_id"), F.lit(": "))
     said = [
-        (F.col("n_grounded") < F.col("n_spans"), "ungrounded source_span dropped (quote not in segment text)"),
-        (~held, "dropped entirely (no grounded source_span)"),
-        (downgraded, "source negates stopping but action=stop -- downgraded to unknown"),
-        (no_score, "score_candidates without a verbatim number in source -- cleared"),
-        (no_value, "value_candidates without a verbatim number in source -- cleared"),
-        (demoted, "no doctor-sourced span -- moved to follow_up_questions, not a diagnosis"),
+        (F.col("n_grounded") < F.col("n_spans"), K.SPAN_DROPPED),
+        (~held, K.FINDING_DROPPED),
+        (downgraded, K.STOP_DOWNGRADED),
+        (no_score, K.SCORE_CLEARED),
+        (no_value, K.VALUE_CLEARED),
+        (demoted, K.DIAGNOSIS_MOVED),
     ]
     place = F.array_position(F.array(*map(F.lit, ORDER)), F.col("category"))
     texts = F.array_compact(F.array(*[F.when(c, F.concat(name, F.lit(t))) for c, t in said]))
@@ -78,6 +78,17 @@ def validate_findings(findings: DataFrame, spans: DataFrame, segments: DataFrame
     return valid.select(*findings.columns), violations
 
 
+def demoted_questions(findings: DataFrame, valid: DataFrame, key: str = "conv_id") -> DataFrame:
+    """(key, finding_id, trigger_text, suggested_question, rationale, needs_review): the follow-up questions that diagnoses without a doctor's span have become.
+
+    ``valid`` are the findings that validate_findings leaves. A diagnosis's own text triggers the question and ends it; a null text counts as empty.
+    """
+    moved = valid.where("category = 'follow_up' AND startswith(finding_id, 'demoted-')").select(key, "finding_id", "needs_review")
+    texts = findings.where("category = 'diagnosis'").select(key, F.concat(F.lit("demoted-"), "finding_id").alias("finding_id"), F.coalesce("raw_text", F.lit("")).alias("trigger_text"))
+    out = moved.join(texts, [key, "finding_id"])
+    return out.select(key, "finding_id", "trigger_text", F.concat(F.lit(K.DEMOTED_QUESTION), "trigger_text").alias("suggested_question"), F.lit(K.DEMOTED_RATIONALE).alias("rationale"), "needs_review")
+
+
 def explanation_issues(explanations: DataFrame, transcripts: DataFrame, key: str = "doc_id", fields: tuple[str, ...] = K.EXPLANATION_FIELDS) -> DataFrame:
     """Report per key: ``valid`` and ``issues``, ordered by field and item, for items that the transcript does not hold. Blank items pass."""
     def items(n: int, field: str):

@@ -74,20 +74,12 @@ TRANSCRIPT_SEGMENTS = r"""SELECT doc_id, 'seg-' || row_number() OVER (PARTITION
 
 
 def best_overlap_align(spark, sf_dir):
-    turns = timed_segments(spark, sf_dir)
-    asr = hypothesis_segments(turns).where("turn % 2 = 0").withColumnRenamed("turn", "seg")
-    return align.best_overlap(asr, turns.where("(conv_id + turn) % 5 <> 0"))
-
-
-BEST_OVERLAP_ALIGN = f"""WITH {SEG_SQL}, p AS (
-  SELECT h.conv_id, h.turn AS seg, s.turn, s.speaker_index, greatest(0, least(h.end_ms, s.end_ms) - greatest(h.start_ms, s.start_ms)) AS o, abs(h.start_ms - s.start_ms) AS d
-  FROM hyp h JOIN seg s ON h.conv_id = s.conv_id WHERE h.turn % 2 = 0 AND (s.conv_id + s.turn) % 5 <> 0
-)
-SELECT conv_id, seg, turn, speaker_index, o::BIGINT AS overlap_ms FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, seg ORDER BY o DESC, CASE WHEN o > 0 THEN 0 ELSE d END, turn) AS k FROM p) WHERE k = 1"""
+    """Each hypothesis segment's turn."""
+    return best_overlap_align_all(spark, sf_dir)
 
 
 def best_overlap_align_all(spark, sf_dir):
-    """All hypothesis segments against all turns; best_overlap_align leaves some out on both sides."""
+    """All hypothesis segments against all turns."""
     turns = timed_segments(spark, sf_dir)
     return align.best_overlap(hypothesis_segments(turns).withColumnRenamed("turn", "seg"), turns)
 
@@ -98,6 +90,8 @@ BEST_OVERLAP_ALIGN_ALL = f"""WITH {SEG_SQL}, p AS (
 )
 SELECT conv_id, seg, turn, speaker_index, o::BIGINT AS overlap_ms FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, seg ORDER BY o DESC, CASE WHEN o > 0 THEN 0 ELSE d END, turn) AS k FROM p) WHERE k = 1"""
 
+BEST_OVERLAP_ALIGN = BEST_OVERLAP_ALIGN_ALL
+
 
 def gt_text_match(spark, sf_dir):
     truth = timed_segments(spark, sf_dir)
@@ -145,7 +139,7 @@ RUNNING_CURSOR = f"WITH {SEG_SQL} SELECT conv_id, turn, start_ms, end_ms, speake
 
 
 def role_subset_check(spark, sf_dir):
-    """Whether a role map names only speakers of its conversation; the map comes from the first half of the turns."""
+    """Whether a role map, made from the conversation's number, names only speakers of the conversation."""
     segs = timed_segments(spark, sf_dir).withColumn("speaker", segments.speaker_letter(F.col("speaker_index")))
     df = segs.groupBy("conv_id").agg(F.sort_array(F.collect_set("speaker")).alias("known"))
     named = F.when(F.col("conv_id") % 7 == 0, F.array().cast("array<string>")).otherwise(F.filter(F.array(F.lit("A"), F.lit("B"), F.lit("C")), lambda x, i: i <= F.col("conv_id") % 3))

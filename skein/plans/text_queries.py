@@ -61,17 +61,19 @@ _KO = [
 
 
 def rule_findings_ko(spark, sf_dir):
-    rows = spark.createDataFrame(_KO, "segment_id string, role string, text string")
-    return rules.extract(rows).select("segment_id", "category", "kind", "reported_by", "action", "polarity", F.array_join("name_candidates", ",").alias("names"), "confidence")
+    """The Korean patterns: every turn says one of the sentences, by its number."""
+    said = F.element_at(F.array(*[F.struct(*map(F.lit, x)) for x in _KO]), ((F.col("conv_id") + F.col("turn")) % len(_KO) + 1).cast("int"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("_s")).select("conv_id", "turn", F.col("_s.col1").alias("segment_id"), F.col("_s.col2").alias("role"), F.col("_s.col3").alias("text"))
+    return rules.extract(rows).select("conv_id", "turn", "segment_id", "category", "kind", "reported_by", "action", "polarity", F.array_join("name_candidates", ",").alias("names"), "confidence")
 
 
-RULE_FINDINGS_KO = """SELECT * FROM (VALUES
+RULE_FINDINGS_KO = """SELECT conv_id, turn, t.* FROM conversations JOIN (VALUES
   ('k1', 'medication', NULL, NULL, 'unknown', 'affirmed', '', NULL), ('k2', 'medication', NULL, NULL, 'continue', 'negated', '', NULL), ('k3', 'exam', 'observation', NULL, NULL, NULL, '혈압', 'medium'),
   ('k4', 'exam', 'order', NULL, NULL, NULL, '혈압', 'medium'), ('k5', 'exam', 'observation', NULL, NULL, NULL, '체중,혈당', 'low'), ('k6', 'diagnosis', 'confirmed', NULL, NULL, 'affirmed', '', NULL),
   ('k7', 'exam', 'order', NULL, NULL, NULL, '', NULL), ('k8', 'symptom', NULL, 'doctor_question', NULL, 'question', '', NULL), ('k9', 'follow_up', NULL, NULL, NULL, NULL, '', NULL),
   ('k9', 'symptom', NULL, 'guardian', NULL, 'affirmed', '', NULL), ('k10', 'symptom', NULL, 'patient', NULL, 'negated', '', NULL), ('k11', 'plan', 'directive', NULL, NULL, 'affirmed', '', NULL),
   ('k12', 'exam', 'observation', NULL, NULL, NULL, '', 'medium')
-) AS t(segment_id, category, kind, reported_by, action, polarity, names, confidence)"""
+) AS t(segment_id, category, kind, reported_by, action, polarity, names, confidence) ON segment_id = 'k' || ((conv_id + turn) % 15 + 1)"""
 
 
 def _made_findings(spark, sf_dir):
@@ -138,29 +140,16 @@ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY place, turn, k)
 
 
 def explanation_grounding(spark, sf_dir):
+    """Drafts that hold every line of their document, and for every third document a warning that it does not say."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    item = F.substring("text", 1, 30)
-    made = docs.select("doc_id", F.array(item).alias("current_situation"), F.when(F.col("doc_id") % 3 == 0, F.array(F.concat(F.lit("not said: "), item), F.lit("  "))).alias("warning_signs"), F.array(F.lit("")).alias("follow_up"))
+    item = F.regexp_extract(F.col("text"), r"[^\n]*$", 0)
+    made = docs.select("doc_id", T.lines(F.col("text")).alias("current_situation"), F.when(F.col("doc_id") % 3 == 0, F.array(F.concat(F.lit("not said: "), item), F.lit("  "))).alias("warning_signs"), F.array(F.lit("")).alias("follow_up"))
     report = validate.explanation_issues(made, docs, fields=("current_situation", "warning_signs", "follow_up"))
     return report.select("doc_id", "valid", F.array_join("issues", "|").alias("issues"))
 
 
-EXPLANATION_GROUNDING = r"""WITH e AS (SELECT doc_id, text, regexp_replace(regexp_replace(substr(text, 1, 30), '^\s+', ''), '\s+$', '') AS item FROM documents)
-SELECT doc_id, doc_id % 3 <> 0 OR contains(text, 'not said: ' || item) AS valid, CASE WHEN doc_id % 3 <> 0 OR contains(text, 'not said: ' || item) THEN '' ELSE 'warning_signs: ''' || ('not said: ' || item)[:60] || ''' is not grounded in the source transcript' END AS issues FROM e"""
-
-
-_NUMERALS = [
-    ("오 밀리그램 드세요", "5 밀리그램 드세요"), ("십오 mg", "15 mg"), ("백사십오 mmHg 입니다", "145 mmHg 입니다"), ("일이 알", "일이 알"), ("오진 회", "오진 회"), ("오 분", "오 분"), ("하루 삼 회", "하루 3 회"), ("십 정", "10 정"), ("백", "백"),
-    ("만 리터", "10000 리터"), ("이만삼천 번", "23000 번"), ("구십이  회", "구십이  회"),
-]
-
-
-def number_word_normalize(spark, sf_dir):
-    rows = spark.createDataFrame([(t,) for t, _ in _NUMERALS], "text string")
-    return rows.select("text", T.normalize_numerals(F.col("text")).alias("normalized"))
-
-
-NUMBER_WORD_NORMALIZE = "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _NUMERALS) + ") AS t(text, normalized)"
+EXPLANATION_GROUNDING = r"""WITH e AS (SELECT doc_id, text, regexp_replace(regexp_replace('not said: ' || string_split(text, chr(10))[-1], '^\s+', ''), '\s+$', '') AS item FROM documents)
+SELECT doc_id, doc_id % 3 <> 0 OR contains(text, item) AS valid, CASE WHEN doc_id % 3 <> 0 OR contains(text, item) THEN '' ELSE 'warning_signs: ''' || item[:60] || ''' is not grounded in the source transcript' END AS issues FROM e"""
 
 
 def number_evidence(spark, sf_dir):
@@ -212,15 +201,15 @@ SELECT o.doc_id, start, stop, span, name, similarity FROM o JOIN g ON g.doc_id =
 
 
 def anchor_checks(spark, sf_dir):
-    """Whether a word of each benchmark item stands in the document of its number, spaces aside; SKIPPED where there is no such document."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.element_at(F.split("text", " "), 2).alias("anchor"))
+    """Whether each word of a benchmark item stands in the document of its number, spaces aside; SKIPPED where there is no such document."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(F.split("text", " "))).alias("anchor"))
     docs = table(spark, sf_dir, "documents").select((F.col("doc_id") * 3).alias("item_id"), F.replace("text", F.lit(" "), F.lit("")).alias("_t"))
     result = F.when(F.col("_t").isNull(), "SKIPPED").when(F.contains(F.col("_t"), F.col("anchor")), "PASS").otherwise("FAIL")
     return b.join(docs, "item_id", "left").select("item_id", "anchor", result.alias("result"))
 
 
-ANCHOR_CHECKS = """SELECT item_id, string_split(b.text, ' ')[2] AS anchor, CASE WHEN d.text IS NULL THEN 'SKIPPED' WHEN contains(replace(d.text, ' ', ''), string_split(b.text, ' ')[2]) THEN 'PASS' ELSE 'FAIL' END AS result
-FROM benchmark b LEFT JOIN documents d ON d.doc_id * 3 = b.item_id"""
+ANCHOR_CHECKS = """SELECT item_id, anchor, CASE WHEN d.text IS NULL THEN 'SKIPPED' WHEN contains(replace(d.text, ' ', ''), anchor) THEN 'PASS' ELSE 'FAIL' END AS result
+FROM (SELECT item_id, unnest(list_distinct(string_split(text, ' '))) AS anchor FROM benchmark) b LEFT JOIN documents d ON d.doc_id * 3 = b.item_id"""
 
 
 def expectation_eval(spark, sf_dir):
@@ -243,7 +232,6 @@ QUERIES = {
     "validator_findings": (validator_findings, VALIDATOR_FINDINGS),
     "validator_violations": (validator_violations, VALIDATOR_VIOLATIONS),
     "explanation_grounding": (explanation_grounding, EXPLANATION_GROUNDING),
-    "number_word_normalize": (number_word_normalize, NUMBER_WORD_NORMALIZE),
     "number_evidence": (number_evidence, NUMBER_EVIDENCE),
     "fuzzy_candidates": (fuzzy_candidates, FUZZY_CANDIDATES),
     "fuzzy_dictionary": (fuzzy_dictionary, FUZZY_DICTIONARY),

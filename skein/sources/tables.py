@@ -23,13 +23,19 @@ EXPLANATION = (
 )
 
 
-def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """Segments of JSON sidecars, {"segments": [...]} or a bare list; the role is unknown until a person confirms it."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.trim("value").alias("_json"))
+def parse_segments(raw: DataFrame, text: str) -> DataFrame:
+    """Segments of JSON sidecars in the column ``text``, {"segments": [...]} or a bare list, in order (ord); the role is unknown until a person confirms it. Other text has no segments."""
+    others = [c for c in raw.columns if c != text]
+    rows = raw.select(*others, F.trim(text).alias("_json"))
     wrapped = F.from_json("_json", f"struct<segments:array<{SEGMENT}>>")["segments"]
     bare = F.from_json("_json", f"array<{SEGMENT}>")
-    rows = raw.select("file", F.posexplode(F.when(F.col("_json").startswith("["), bare).otherwise(wrapped)).alias("ord", "s"))
-    return rows.select("file", "ord", "s.*").withColumn("role", F.lit("unknown"))
+    rows = rows.select(*others, F.posexplode(F.when(F.col("_json").startswith("["), bare).otherwise(wrapped)).alias("ord", "s"))
+    return rows.select(*others, "ord", "s.*").withColumn("role", F.lit("unknown"))
+
+
+def read_segments(spark: SparkSession, path: str) -> DataFrame:
+    """Segments of JSON sidecars, a file each; see parse_segments."""
+    return parse_segments(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value"), "value")
 
 
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -37,6 +43,16 @@ def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def parse_documents(df: DataFrame, column: str, schema: str) -> DataFrame:
+    """``df`` with the JSON in ``column`` as a typed document; null where it is no JSON object."""
+    return df.withColumn(column, F.from_json(column, schema))
+
+
+def read_versions(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet files of several schemas in one folder, by the union of their columns, whatever their order; what a file lacks is null. A column of two types is an error."""
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
 def text_segments(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """A segment for each line that is not blank, numbered from 1."""
     out = df.select(key, F.posexplode(lines(F.col(text))).alias("_i", "text"))
