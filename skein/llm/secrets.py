@@ -20,9 +20,24 @@ from pyspark.sql import functions as F
 from skein.functions.shared import broadcast_if_small, checkpointed, stored, table
 
 _MARK = "\x01"
-_ASSIGNED = r"((?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?)([^\s\"'<>\x01]{8,})"
-_RUN = r"(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_=-]{16,})"
-CANDIDATE = f"{_ASSIGNED}|{_RUN}"
+#: Characters an assigned value has at least, those of a run without a name, and blanks on each side of the sign at most.
+LEAST_VALUE, LEAST_RUN, BLANKS = 8, 16, 3
+_KEY = "[A-Za-z0-9+/_=-]"
+
+
+def assigned_pattern(least: int = LEAST_VALUE, blanks: int = BLANKS) -> str:
+    """A name with its sign, which may end a longer name, and the whole value up to white space, a quote or an angle bracket."""
+    return rf"((?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[ \t]{{0,{blanks}}}[=:][ \t]{{0,{blanks}}}[\"']?)([^\s\"'<>\x01]{{{least},}})"
+
+
+def run_pattern(assigned: str, least: int = LEAST_RUN) -> str:
+    """A run of key-like characters, and what follows a point if it is as long; a run that holds a name with a value is left to the name."""
+    plain = assigned.replace("((?i:", "(?:(?i:", 1).replace(")([^", ")(?:[^", 1)
+    return rf"(?<!{_KEY})(?={_KEY}{{{least}}})(?!{_KEY}*?{plain})({_KEY}{{{least},}}(?:\.{_KEY}{{{least},}})*)"
+
+
+_ASSIGNED = assigned_pattern()
+_RUN = run_pattern(_ASSIGNED)
 BEFORE, AFTER = 64, 24
 #: Labelled findings the forest may learn from.
 SAMPLE = 20_000
@@ -35,9 +50,13 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-.
 _SIZE = len(ALPHABET) + 1
 
 
-def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, before, candidate, after): start counts code points from 0. Texts with very many candidates take time in proportion."""
-    marked = F.regexp_replace(F.translate(F.col(text_col).cast("string"), _MARK, " "), CANDIDATE, f"$1{_MARK}$2$3{_MARK}")
+def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_value: int = LEAST_VALUE, least_run: int = LEAST_RUN, blanks: int = BLANKS) -> DataFrame:
+    """(id, start, before, candidate, after): start counts code points from 0. Texts with very many candidates take time in proportion.
+
+    A value has ``least_value`` characters and a run without a name ``least_run`` at least; up to ``blanks`` blanks or tabs stand on each side of the sign between a name and its value.
+    """
+    assigned = assigned_pattern(least_value, blanks)
+    marked = F.regexp_replace(F.translate(F.col(text_col).cast("string"), _MARK, " "), f"{assigned}|{run_pattern(assigned, least_run)}", f"$1{_MARK}$2$3{_MARK}")
     df = docs.select(F.col(id_col).alias("id"), F.split(marked, _MARK).alias("_p")).where(F.size("_p") > 1).withColumn("_row", F.monotonically_increasing_id())
     df = df.select("id", "_row", "_p", F.explode(F.sequence(F.lit(1), F.size("_p") - 2, F.lit(2))).alias("_i"))
     piece = lambda k: F.get("_p", F.col("_i") + k)
@@ -69,15 +88,15 @@ def _letters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda x: x != "")
 
 
-def _transitions(text: Column) -> Column:
-    """The numbers of a text's neighbouring pairs of characters."""
-    codes = F.transform(_letters(text), lambda c: F.call_function("instr", F.lit(ALPHABET), c))
+def _transitions(letters: Column) -> Column:
+    """The numbers of the neighbouring pairs of a text's characters."""
+    codes = F.transform(letters, lambda c: F.call_function("instr", F.lit(ALPHABET), c))
     return F.filter(F.zip_with(codes, F.slice(codes, F.lit(2), F.greatest(F.size(codes), F.lit(1))), lambda a, b: a * _SIZE + b), lambda p: p.isNotNull())
 
 
 def _likelihoods(rows: DataFrame, name: str) -> DataFrame:
     """One row with an array: the logarithm of the probability of each transition among the texts (text, weight), given its first character. Unseen ones count half."""
-    pairs = rows.select("weight", F.explode(_transitions(F.col("text"))).alias("p")).groupBy("p").agg(F.sum("weight").cast("double").alias("n"))
+    pairs = rows.select("weight", F.explode(_transitions(_letters(F.col("text")))).alias("p")).groupBy("p").agg(F.sum("weight").cast("double").alias("n"))
     every = rows.sparkSession.range(0, _SIZE * _SIZE, 1, 1).withColumnRenamed("id", "p")  # a table of fixed size
     every = every.join(pairs, "p", "left").fillna(0.0, ["n"])
     of = F.sum("n").over(Window.partitionBy(F.expr(f"p div {_SIZE}")))
@@ -96,7 +115,7 @@ def _features() -> dict[str, Column]:
     c, before, after = F.col("candidate"), F.lower("before"), F.lower("after")
     n = F.length(c).cast("double")
     share = lambda pattern: F.regexp_count(c, F.lit(pattern)) / n
-    letters = _letters(c)
+    letters, pairs = F.col("_letters"), F.col("_pairs")
     # entropy from the runs of the sorted characters, so one pass is enough
     state = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
     weigh = lambda run: F.when(run > 0, run * F.log2(run)).otherwise(0.0)
@@ -106,7 +125,6 @@ def _features() -> dict[str, Column]:
         return F.struct(x.alias("last"), F.when(same, acc["run"] + 1).otherwise(1.0).alias("run"), F.when(same, acc["sum"]).otherwise(acc["sum"] + weigh(acc["run"])).alias("sum"))
 
     entropy = F.aggregate(F.array_sort(letters), state, step, lambda acc: F.log2(n) - (acc["sum"] + weigh(acc["run"])) / n)
-    pairs = _transitions(c)
     like = lambda table: F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + F.get(table, p)) / F.greatest(F.size(pairs), F.lit(1))
     near = lambda words: before.rlike(rf"(?<![\p{{L}}])(?:{words})(?![\p{{L}}])").cast("double")
     return {
@@ -136,6 +154,8 @@ def with_features(found: DataFrame, words: DataFrame, tables: DataFrame) -> Data
     """Findings (before, candidate, after) with their features."""
     covered = checkpointed(_coverage(words, found))
     rows = found.join(broadcast_if_small(covered), "candidate", "left").crossJoin(F.broadcast(tables))  # one row
+    # in steps of their own, so that each is worked out once
+    rows = rows.withColumn("_letters", _letters(F.col("candidate"))).withColumn("_pairs", _transitions(F.col("_letters")))
     return rows.select(*found.columns, *[c.alias(k) for k, c in _features().items()])
 
 
@@ -147,6 +167,9 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
     at = lambda k, *xs: F.element_at(F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs]), (F.expr(f"(id div {k}) % {len(xs)} + 1")).cast("int"))
     words = at(14, "the long way home", "read me first please", "list of all the things", "and that is how", "notes on the other side", "with from this and over")
     prose = at(7, "and then the ", "of which ", "see the file ", "for it was ", "lines of ", "as in ")
+    h = F.col("_h")
+    syllables = F.array(*map(F.lit, "ka lo mi ne ru ta si vo da per gun ha rit so en ber".split()))
+    long_word = F.concat(*[F.get(syllables, F.conv(F.substring("_h", k, 1), 16, 10).cast("int")) for k in range(1, 10)])
     # forms of many lengths, so that no length stands for a kind
     upto = lambda least, more: F.left("_h", F.lit(least) + F.conv(F.substring("_h", 50, 2), 16, 10).cast("int") % more)
     secrets = [
@@ -157,10 +180,11 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
         (at(7, "password = \"", "pwd: ", "passwd='"), F.concat(F.substring(mixed, 1, 9), F.lit("!"), F.substring(mixed, 11, 3)), "\" "),
         (at(7, "secret = \"", "api-key: ", "credentials "), F.col("_h"), "\" "),
         (at(7, "auth token ", "key=\"", prose), F.concat(F.lit("sk-"), F.substring(mixed, 1, 32)), " "),
+        (at(7, "db_password=", "export ROOT_PASSWD=", "admin_pwd: "), F.concat(F.substring(mixed, 1, 4), F.lit("!"), F.substring(mixed, 5, 4), F.lit("$"), F.substring(mixed, 9, 4), F.lit("#"), F.substring(mixed, 13, 2)), " "),
+        (at(7, "access_token=", "authorization: bearer ", prose), F.concat_ws(".", F.substring(mixed, 1, 20), F.reverse(F.substring(mixed, 8, 30)), upto(20, 30)), " "),
+        (at(7, "password=", "login_pwd: ", "DB_PASSWORD=\""), F.concat(F.left(long_word, F.lit(7)), F.substring(digits, 1, 1), F.reverse(F.left(long_word, F.lit(5))), at(3, "!", "$", "@"), F.substring(long_word, 6, 6)), "\" "),
+        (at(7, "client_secret=", "my_secret_token: ", "password='"), F.translate(F.substring(mixed, 1, 22), "0123456789", "KqWzRtPxYb"), "' "),
     ]
-    h = F.col("_h")
-    syllables = F.array(*map(F.lit, "ka lo mi ne ru ta si vo da per gun ha rit so en ber".split()))
-    long_word = F.concat(*[F.get(syllables, F.conv(F.substring("_h", k, 1), 16, 10).cast("int")) for k in range(1, 10)])
     others = [
         (at(7, "id ", "uuid: ", prose), F.concat_ws("-", *[F.substring(h, a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), " "),
         (at(7, "commit ", "at revision ", "sha1 "), upto(16, 32), "\n"),
@@ -168,10 +192,14 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
         (prose, at(3, digits, long_word, F.initcap(long_word)), " "),
         (prose, F.concat(F.translate(words, " ", "-"), F.lit("-"), F.substring(digits, 1, 4)), " "),
         (at(7, "md5: ", "checksum = ", "hash "), upto(24, 40), " "),
+        (at(7, "token = ", "password = ", "secret: "), F.concat(F.translate(words, " ", "."), F.lit(".get_"), F.left(long_word, F.lit(6)), F.lit("()")), "\n"),
+        (at(7, "the password: ", "no secret: ", "token: "), at(3, long_word, F.initcap(long_word), F.concat(F.left(long_word, F.lit(9)), F.lit(","))), " "),
+        (prose, F.concat_ws(".", long_word, F.reverse(long_word)), " "),
+        (at(7, "token=", "passwd: ", "secret_name="), F.concat(F.left(long_word, F.lit(6)), at(3, "-", "_", "."), F.lit("value"), at(3, "-", "_", "."), F.substring(long_word, 7, 5)), "\n"),
         (at(7, "token = \"", "password: ", "api_key = '"), at(21, F.lit("your-api-key-here-000"), F.lit("xxxxxxxxxxxxxxxx1"), F.lit("changeme-12345678"), F.lit("EXAMPLE0000000000"), F.translate(words, " ", "_")), "\" "),
     ]
-    pick = lambda rows, j: F.element_at(F.array(*[r[j] if isinstance(r[j], Column) else F.lit(r[j]) for r in rows]), F.expr("cast(id % 7 + 1 as int)"))
-    label = F.expr("cast((id div 7) % 2 as double)")
+    pick = lambda rows, j: F.element_at(F.array(*[r[j] if isinstance(r[j], Column) else F.lit(r[j]) for r in rows]), F.expr("cast(id % 11 + 1 as int)"))
+    label = F.expr("cast((id div 11) % 2 as double)")
     both = lambda j: F.when(label == 1, pick(secrets, j)).otherwise(pick(others, j))
     return df.select(both(0).alias("before"), both(1).alias("candidate"), both(2).alias("after"), label.alias("label"))
 
@@ -187,16 +215,16 @@ def word_findings(words: DataFrame, rows: int = 600) -> DataFrame:
 
 
 def find_secrets(
-    docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample: int = SAMPLE, words: DataFrame | None = None
+    docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample: int = SAMPLE, words: DataFrame | None = None, **lengths: int
 ) -> DataFrame:
     """(id, start, candidate, score, secret) for every candidate of every text.
 
     ``labelled`` has before, candidate, after and label (1 for a secret); at most ``sample`` of its
     rows, by hash, train the forest, and with them runs of the dictionary's own words as other findings. ``words`` is the dictionary if it is at hand. Null and empty texts have no candidates; a null id stays null;
-    repeated rows give repeated findings. Other columns of ``docs`` are not read, so none clashes. A candidate of any length is one finding.
+    repeated rows give repeated findings. Other columns of ``docs`` are not read, so none clashes. A candidate of any length is one finding; ``lengths`` are those of candidates.
     An empty table gives no rows. Labels must be of both kinds.
     """
-    found = checkpointed(candidates(docs, id_col=id_col, text_col=text_col))
+    found = checkpointed(candidates(docs, id_col=id_col, text_col=text_col, **lengths))
     known = labelled.select("before", "candidate", "after", F.col("label").cast("double").alias("label")).dropna()
     known = known.orderBy(F.xxhash64("before", "candidate", "after"), "candidate", "before").limit(sample)
     words = stored(dictionary(docs, text_col)) if words is None else words
@@ -212,12 +240,17 @@ def find_secrets(
 
 
 def redact(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]", **kw) -> DataFrame:
-    """``docs`` with every secret replaced by ``mask`` in the text, wherever the same string stands in that document."""
+    """``docs`` with every secret replaced by ``mask`` in the text, wherever the same string stands in that document.
+
+    Rows with a null id are one document, and so are those of an id that repeats: each of its rows loses the secrets of all. A secret that holds another goes first. A null text stays null,
+    a text without secrets as it is. All columns stay, whatever their names, in order; an empty table gives an empty one.
+    """
     found = find_secrets(docs, labelled, id_col=id_col, text_col=text_col, **kw).where("secret")
-    per_doc = found.groupBy("id").agg(F.sort_array(F.collect_set("candidate"), asc=False).alias("_secrets"))
-    out = docs.join(per_doc, docs[id_col].eqNullSafe(per_doc["id"]) if id_col != "id" else "id", "left")
-    clean = F.aggregate(F.coalesce("_secrets", F.array().cast("array<string>")), F.col(text_col), lambda t, s: F.replace(t, s, F.lit(mask)))
-    return out.withColumn(text_col, clean).select(*[docs[c] if c != text_col else F.col(text_col) for c in docs.columns])
+    per_doc = found.groupBy("id").agg(F.collect_set("candidate").alias("secrets"))
+    longest = F.array_sort("f.secrets", lambda a, b: F.length(b) - F.length(a))
+    out = docs.alias("d").join(per_doc.alias("f"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("f.id")), "left")
+    clean = F.aggregate(F.coalesce(longest, F.array().cast("array<string>")), F.col(f"d.`{text_col}`"), lambda t, s: F.replace(t, s, F.lit(mask)))
+    return out.select(*[clean.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns])
 
 
 def op6_secret_scan(spark, sf_dir: str) -> DataFrame:
