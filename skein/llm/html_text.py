@@ -9,7 +9,8 @@ path leads to no text, the page's own container counts.
 
 Navigation, notices, adverts, forms, comments and the like do not count as text. A name of a class or
 an id only lowers a score: a wrapper that holds the page's article, or most of its text where
-little else is left, is never set aside for its name.
+little else is left, is never set aside for its name. Outside of the container any word of a name counts; within it
+only names that can mean nothing but such a part, as ``ad`` or ``share-buttons`` do and ``share-price`` does not.
 
 Reading takes time and memory in proportion to the page: open elements are found by tag,
 scopes are carried along, and paths are built for the chosen container only.
@@ -37,9 +38,9 @@ _ATTRIBUTE = re.compile(r"""([^\s=/>][^\s=/>]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]
 # Tag names of HTML.
 _RAW = frozenset("script style title textarea iframe xmp noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var nobr".split())
-_UNSEEN = frozenset("head noscript template select svg math object canvas audio video".split())
-_APART = frozenset("nav footer aside button dialog menu legend datalist output".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var nobr output math mi mn mo mtext mrow mfrac msqrt mroot msub msup msubsup mover munder munderover mstyle semantics".split())
+_UNSEEN = frozenset("head noscript template select svg annotation annotation-xml object canvas audio video".split())
+_APART = frozenset("nav footer aside button dialog menu legend datalist".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _LEAF = frozenset("p li dt dd td th h1 h2 h3 h4 h5 h6 pre blockquote caption figcaption summary address".split())
@@ -70,20 +71,31 @@ _TEASERS = frozenset("ad advert advertisement promo promoted related sponsored".
 _WITHIN_TEXT = frozenset("ad ads adv advert advertisement adsense promo share sharing skip social sponsor sponsored".split())
 #: First words of names that tell what a page has, not what the element is.
 _ABOUT = frozenset("has have no not non with without is can hide show enable disable".split())
+#: Words that a name of a part may have besides: with any other word it may as well tell what a section is about.
+_PARTS = frozenset(
+    "a area article articles author avatar bar bars block blocks body bottom box boxes button buttons card cards center content container count col column desktop div embed entry feed footer form frame global group head header "
+    "heading holder icon icons in inline inner input item items left link links list lists main media meta mid middle mobile nav of outer overlay page panel panels post posts right row rail section sections slot site sticky "
+    "stories story strip text thread threads title to top unit units ul wrap wrapper wrappers zone".split()
+)
+#: Of the marks, those that an id may set within an article: other ids there are places to link to.
+_IDS = frozenset("ad ads advert advertisement adsense comments disqus respond newsletter sidebar sponsored promo breadcrumb breadcrumbs cookie cookies".split())
 _WORDS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: A container is entered while one child holds this share of its text.
 _SHARE = 0.7
+#: The host's path counts where it leads to this share of the text in the page's own container.
+_FAIR = 0.1
 #: An article element counts from this share of the text that no mark sets aside.
 _LEAST_ARTICLE = 0.2
 
 
 class Node:
-    __slots__ = ("tag", "label", "parent", "children", "inner", "own", "mark", "all", "plain", "heading", "size", "score", "links", "left_out", "scope", "nested", "article")
+    __slots__ = ("tag", "label", "parent", "children", "inner", "own", "mark", "vague", "out", "all", "plain", "heading", "size", "score", "links", "left_out", "scope", "nested", "article")
 
-    def __init__(self, tag: str, label: str, parent: Node | None, mark: int, scope: dict):
-        self.tag, self.label, self.parent, self.mark, self.scope = tag, label, parent, mark, scope
+    def __init__(self, tag: str, label: str, parent: Node | None, mark: int, scope: dict, vague: bool = False):
+        self.tag, self.label, self.parent, self.mark, self.scope, self.vague = tag, label, parent, mark, scope, vague
+        self.out = False  # set aside itself, also where the container is around it
         self.children: list = []  # nodes and texts
         self.inner: list[Node] = []  # the nodes of these
         self.own = self.all = self.plain = self.size = self.score = self.links = self.nested = 0
@@ -99,37 +111,48 @@ def _attributes(source: str) -> dict[str, str]:
 
 
 @lru_cache(maxsize=1024)
-def _opening(tag: str, source: str) -> tuple[int, str]:
-    """The mark and the label of a start tag. Pages of a host repeat theirs, so the last ones are kept."""
+def _opening(tag: str, source: str) -> tuple[int, bool, str]:
+    """The mark of a start tag, whether it is vague, and the label. Pages of a host repeat theirs, so the last ones are kept."""
     attributes = _attributes(source) if source.strip(" /\n\t") else {}
     label = tag
     if names := attributes.get("class"):
         label = ".".join([tag, *sorted(re.sub(r"\d+", "#", c).replace("/", "#") for c in names.split())])
-    return _mark(tag, attributes), label
+    return *_mark(tag, attributes), label
 
 
-def _mark(tag: str, attributes: dict[str, str]) -> int:
+def _mark(tag: str, attributes: dict[str, str]) -> tuple[int, bool]:
+    """The mark of an element and whether it is vague: whether its names may as well tell what a section of the article is about."""
     if tag in _UNSEEN or tag in _APART:
-        return HARD
+        return HARD, False
     if attributes and ("hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(attributes.get("style", ""))):
-        return SOFT
+        return SOFT, False
     own = SOFT if tag in ("form", "fieldset") else HEADER if tag == "header" else TEXT
     if not attributes or tag in ("html", "body", "main") or tag in _HEADINGS:
-        return own
+        return own, False
     found: set[str] = set()
-    for name in " ".join(_CAMEL.sub("-", attributes.get(k, "")) for k in ("class", "id", "role")).lower().split():
-        words = [w for w in _WORDS.split(name) if w]
-        if words and words[0] not in _ABOUT:
-            found.update(words[:1] if tag == "article" else words)
+    sure: set[str] = set()  # words of names that can only mean a part of the page
+    for attribute in ("class", "id", "role"):
+        for name in _CAMEL.sub("-", attributes.get(attribute, "")).lower().split():
+            words = [w for w in _WORDS.split(name) if w]
+            if words and words[0] not in _ABOUT:
+                words = words[:1] if tag == "article" else words
+                found.update(words)
+                marks = _MARKS | _COMMENTS if attribute != "id" else _IDS
+                if all(w in marks or w in _PARTS or w.isdigit() for w in words):
+                    sure.update(words)
     if not found:
-        return own
+        return own, False
+    for words, vague in ((sure, False), (found, True)):
+        if tag in _INLINE:
+            if not words.isdisjoint(_WITHIN_TEXT):
+                return SOFT, vague
+        elif not words.isdisjoint(_COMMENTS):
+            return COMMENT, vague
+        elif not words.isdisjoint(_TEASERS if tag == "article" else _MARKS):
+            return SOFT, vague
     if tag in _INLINE:
-        return TEXT if found.isdisjoint(_WITHIN_TEXT) else SOFT
-    if not found.isdisjoint(_COMMENTS):
-        return COMMENT
-    if not found.isdisjoint(_TEASERS if tag == "article" else _MARKS):
-        return SOFT
-    return own if own or tag == "article" or found.isdisjoint(_HEADERS) else HEADER
+        return TEXT, False
+    return (own if own or tag == "article" or found.isdisjoint(_HEADERS) else HEADER), False
 
 
 class _Reader:
@@ -151,7 +174,7 @@ class _Reader:
         if self.in_link:
             top.links += weight
 
-    def push(self, tag: str, label: str, mark: int, inline: bool = False) -> None:
+    def push(self, tag: str, label: str, mark: int, vague: bool = False, inline: bool = False) -> None:
         parent = self.stack[-1]
         scope, at = parent.scope, len(self.stack)
         changed = {k: -1 for k in _SHELTERED.get(tag, ()) if scope.get(k, -1) >= 0}
@@ -159,7 +182,7 @@ class _Reader:
             changed[_KINDS[tag]] = at
         if tag in _CELLS:
             changed["cell"] = at
-        node = Node(tag, label, parent, mark, {**scope, **changed} if changed else scope)
+        node = Node(tag, label, parent, mark, {**scope, **changed} if changed else scope, vague)
         parent.children.append(node)
         parent.inner.append(node)
         self.stack.append(node)
@@ -184,18 +207,18 @@ class _Reader:
                 self.start_block("hr", "hr", TEXT)
                 self.cut(len(self.stack) - 1)
             return
-        mark, label = _opening(tag, source) if len(source) <= _LONG else _opening.__wrapped__(tag, source)
+        mark, vague, label = _opening(tag, source) if len(source) <= _LONG else _opening.__wrapped__(tag, source)
         if tag not in _INLINE:
-            self.start_block(tag, label, mark)
+            self.start_block(tag, label, mark, vague)
             return
         if tag == "a":
             self.in_link = True
         if mark:
-            self.push(tag, label, mark, inline=True)
+            self.push(tag, label, mark, vague, inline=True)
         elif self.inline and self.stack[self.inline[-1]].tag == tag:
             self.stack[self.inline[-1]].nested += 1
 
-    def start_block(self, tag: str, label: str, mark: int) -> None:
+    def start_block(self, tag: str, label: str, mark: int, vague: bool = False) -> None:
         self.in_link = False
         if tag in _CLOSES_P and (at := self.stack[-1].scope.get("p", -1)) >= 0:
             self.cut(at)
@@ -207,7 +230,7 @@ class _Reader:
             self.cut(self.open["head"][-1])  # a head without an end ends where the content begins
         if tag in ("html", "body") and self.open.get(tag):
             return  # a second one adds nothing
-        self.push(tag, label, mark)
+        self.push(tag, label, mark, vague)
 
     def end(self, tag: str) -> None:
         if tag in _INLINE:
@@ -305,6 +328,8 @@ def _judge(root: Node) -> None:
             node.left_out = True
         elif node.mark and id(node) not in holders:
             node.left_out = not (node.mark == HEADER and node.heading and _in_article(node))
+        if node.mark and not node.vague and id(node) not in holders:
+            node.out = not (node.mark == HEADER and node.heading and _in_article(node))
     for node in reversed(order):
         if not node.left_out:
             node.size = node.own
@@ -366,7 +391,7 @@ def on_path(root: Node, path: str) -> list[Node]:
 
 
 def block_texts(node: Node) -> list[str]:
-    """The texts of the node's blocks in page order; white space becomes one space, empty blocks go."""
+    """The texts of the container's blocks in page order; white space becomes one space, empty blocks go. Within it vague marks do not count."""
     out: list[str] = []
     run: list[str] = []
 
@@ -383,10 +408,10 @@ def block_texts(node: Node) -> list[str]:
         elif isinstance(x, str):
             run.append(x)
         elif x.tag in _INLINE:
-            if not x.left_out:
+            if not x.out:
                 todo += reversed(x.children)
-        elif x.left_out:
-            if x.tag not in ("svg", "math", "select"):  # these stand within a line
+        elif x.out:
+            if x.tag not in ("svg", "select", "annotation", "annotation-xml"):  # these stand within a line
                 flush()
         else:
             flush()
@@ -404,10 +429,13 @@ def vote(source: str | None) -> tuple[str, int, int]:
 
 
 def extract(source: str | None, path: str | None) -> str:
-    """The text of the elements on the path, or of the page's own container where they hold none."""
+    """The text of the elements on the path, or of the page's own container where they hold less than a tenth of what that holds."""
     root = read_page(source)
+    own = best_container(root)
     found = on_path(root, path) if path else []
-    return "\n".join(t for x in (found or [best_container(root)]) for t in block_texts(x))
+    if not found or sum(x.size for x in found) < _FAIR * own.size:
+        found = [own]
+    return "\n".join(t for x in found for t in block_texts(x))
 
 
 def extract_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:

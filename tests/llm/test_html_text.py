@@ -137,3 +137,36 @@ def test_different_texts_outvote_a_repeated_one(spark):
     data = [(i, f"http://h.org/{i}", one.format(f"story {i} " * 60)) for i in range(3)] + [(10 + i, f"http://h.org/{i}", one.format("tiny")) for i in range(5)]
     got = {r.page_id: r.text for r in h.extract_text(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
     assert got[10] == "tiny" and got[0] == ("story 0 " * 60).strip()
+
+
+_PLAIN = "<p>A paragraph of the article with some plain words in it, long enough to count.</p>"
+
+
+@pytest.mark.parametrize(
+    "opening", ["<section id='related-work'>", "<section id='login'>", "<div id='search-algorithms'>", "<p class='share-price'>", "<div class='code-comment'>", "<div class='reply-to-critics'>", "<section class='alert-rules'>", "<span class='social-history'>"]
+)
+@pytest.mark.parametrize("around", ["article", "main", "div"])
+def test_names_of_what_a_section_is_about_drop_nothing(opening, around):
+    tag = opening[1:].split(" ")[0]
+    page = f"<body><nav>menu</nav><{around}>{_PLAIN * 4}{opening}kept words</{tag}>{_PLAIN}</{around}><div class='sidebar'>other</div></body>"
+    text = h.extract(page, None)
+    assert "kept words" in text and "menu" not in text and "other" not in text
+
+
+@pytest.mark.parametrize("opening", ["<div class='ad'>", "<div class='share-buttons'>", "<div class='ad-slot-3'>", "<div id='comments'>", "<ul class='comment-list'>", "<div class='newsletterSignup'>", "<div class='related-posts'>", "<div role='navigation'>", "<span class='ad'>"])
+def test_names_of_parts_count_within_an_article(opening):
+    tag = opening[1:].split(" ")[0]
+    text = h.extract(f"<article>{_PLAIN * 4}{opening}not this</{tag}>{_PLAIN}</article>", None)
+    assert "not this" not in text and text.count("\n") == 4
+
+
+def test_formulas_and_outputs_are_text():
+    text = h.extract(f"<article>{_PLAIN}<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x^2</annotation></math> and <output>42</output> hold.</p></article>", None)
+    assert text.endswith("\nLet x=2 and 42 hold.")
+
+
+def test_a_path_that_leads_to_little_gives_way(spark):
+    page = lambda k, long: f"<html><body><div class='content'>{long}</div><div class='story'>{''.join(_PLAIN.replace('A ', f'A {k}{i} ') for i in range(6)) if k == 9 else ''}</div></body></html>"
+    rows = [(k, "http://a.b/x", page(k, f"<p>Text {k} of the page.</p>" * 9)) for k in range(5)] + [(9, "http://a.b/y", page(9, "Short intro."))]
+    got = {r.page_id: r.text for r in h.extract_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got[9].count("\n") >= 5 and "A 95 paragraph" in got[9] and got[3].startswith("Text 3 of the page.")
