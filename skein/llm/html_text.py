@@ -74,7 +74,7 @@ _ABOUT = frozenset("has have no not non with without is can hide show enable dis
 #: Words that a name of a part may have besides: with any other word it may as well tell what a section is about.
 _PARTS = frozenset(
     "a area article articles author avatar bar bars block blocks body bottom box boxes button buttons card cards center content container count col column desktop div embed entry feed footer form frame global group head header "
-    "heading holder icon icons in inline inner input item items left link links list lists main media meta mid middle mobile nav of outer overlay page panel panels post posts right row rail section sections slot site sticky "
+    "heading holder icon icons in inline inner input item items left link links list lists main media message meta mid middle mobile nav next of outer overlay page panel panels post posts prev previous right row rail section sections slot site sticky "
     "stories story strip text thread threads title to top unit units ul wrap wrapper wrappers zone".split()
 )
 #: Of the marks, those that an id may set within an article: other ids there are places to link to.
