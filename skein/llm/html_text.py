@@ -74,7 +74,7 @@ _ABOUT = frozenset("has have no not non with without is can hide show enable dis
 #: Words that a name of a part may have besides: with any other word it may as well tell what a section is about.
 _PARTS = frozenset(
     "a area article articles author avatar bar bars block blocks body bottom box boxes button buttons card cards center content container count col column desktop div embed entry feed footer form frame global group head header "
-    "heading holder icon icons in inline inner input item items left link links list lists main media message meta mid middle mobile nav next of outer overlay page panel panels post posts prev previous right row rail section sections slot site sticky "
+    "heading holder icon icons in inline inner input item items label labels left link links list lists main media message meta mid middle mobile nav next of outer overlay page panel panels post posts prev previous right row rail section sections slot site sticky "
     "stories story strip text thread threads title to top unit units ul wrap wrapper wrappers zone".split()
 )
 #: Of the marks, those that an id may set within an article: other ids there are places to link to.
@@ -85,7 +85,7 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: A container is entered while one child holds this share of its text.
 _SHARE = 0.7
 #: The host's path counts where it leads to this share of the text in the page's own container.
-_FAIR = 0.1
+_FAIR = 0.04
 #: An article element counts from this share of the text that no mark sets aside.
 _LEAST_ARTICLE = 0.2
 
@@ -429,7 +429,7 @@ def vote(source: str | None) -> tuple[str, int, int]:
 
 
 def extract(source: str | None, path: str | None) -> str:
-    """The text of the elements on the path, or of the page's own container where they hold less than a tenth of what that holds."""
+    """The text of the elements on the path, or of the page's own container where they hold next to nothing of what that holds."""
     root = read_page(source)
     own = best_container(root)
     found = on_path(root, path) if path else []
