@@ -304,18 +304,21 @@ def remove_spans(text: str | None, spans) -> str | None:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, max_coverage: float = 0.5, min_span: int = 1, text_col: str = "text", **kw) -> DataFrame:
     """``docs`` with the hit spans cut out of the text; documents hit over ``max_coverage`` of their words go.
 
-    Spans shorter than ``min_span`` words stay; by default none do. An n_chars column is set to the new length.
+    Spans shorter than ``min_span`` words stay; by default none do. An n_chars column is set to the new length. Null and empty texts stay, repeated rows are treated alike, an empty table gives
+    an empty one, and all columns come back, also those that are named like a result of find_contamination.
     """
-    scanned = find_contamination(docs, benchmark, text_col=text_col, **kw).where(F.col("n_hit") <= max_coverage * F.col("n_words"))
+    packed = docs.select(F.col(text_col).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    scanned = find_contamination(packed, benchmark, text_col="_text", **kw).where(F.col("n_hit") <= max_coverage * F.col("n_words"))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([remove_spans(t, [s for s in sp if s["stop"] - s["start"] >= min_span]) for t, sp in zip(texts, spans)], dtype=object)
 
-    out = scanned.withColumn(text_col, F.when(F.col("contaminated"), cut(text_col, "spans")).otherwise(F.col(text_col)))
+    out = scanned.withColumn("_new", F.when(F.col("contaminated"), cut("_text", "spans")).otherwise(F.col("_text")))
+    new = {text_col: F.col("_new")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("contaminated"), F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("contaminated"), F.length("_new")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -93,3 +93,23 @@ def test_stages_on_nulls_repeats_and_an_empty_table(name, spark, tables):
     if name == "mix":
         assert sum(r.doc_id == 2 for r in rows) <= 3
     assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_columns_named_like_results_come_back_as_they_were(spark, tables):
+    folder = tables[0]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 60").selectExpr(
+        "*", "array('mine') AS items", "'s' AS spans", "-1 AS n_words", "-2 AS size", "-3 AS copies", "-4 AS score", "-5 AS predicted", "'x' AS _text", "-6 AS target", "'k' AS contaminated"
+    )
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and out.count() > 0, name
+        assert {tuple(map(str, r)) for r in out.select(docs.columns[5:]).distinct().collect()} == {("['mine']", "s", "-1", "-2", "-3", "-4", "-5", "x", "-6", "k")}, name
+    assert cp.STAGES[-1][1](spark, docs, folder).count() == docs.count()
+
+
+def test_tables_of_other_results_outlive_a_run(spark, tables):
+    from skein.llm import lines
+
+    out = lines.dedup_lines(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string"))
+    cp.run(spark, tables[0])
+    assert sorted((r.doc_id, r.n_repeated) for r in out.collect()) == [(1, 0), (2, 1)]
