@@ -31,14 +31,30 @@ def _prefix(depth: int):
 
 
 def _leaves(rows: DataFrame, above: int, depth: int, limit: int) -> DataFrame:
-    """(_bucket, _shard) for each prefix of ``depth`` bits: the shortest prefix over ``above`` bits that fits or can't be split, null if none does."""
-    buckets = rows.groupBy(_prefix(depth).alias("_bucket")).agg(F.sum("n_bytes").alias("_b"), F.count("*").alias("_n"), F.min("_h").alias("_lo"), F.max("_h").alias("_hi"))
-    buckets = checkpointed(buckets)
-    spread = buckets.withColumn("_d", F.explode(F.sequence(F.lit(above), F.lit(depth)))).withColumn("_p", F.expr(f"shiftright(_bucket, {depth} - _d)"))
-    sums = spread.groupBy("_d", "_p").agg(F.sum("_b").alias("_b"), F.sum("_n").alias("_n"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
-    fit = sums.where((F.col("_b") <= limit) | (F.col("_lo") == F.col("_hi"))).select("_d", "_p", F.col("_b").alias("_sb"), F.col("_n").alias("_sn"))
-    found = spread.select("_bucket", "_d", "_p").join(fit, ["_d", "_p"]).groupBy("_bucket").agg(F.min(F.struct("_d", "_p", "_sb", "_sn")).alias("_shard"))
-    return checkpointed(buckets.select("_bucket").join(found, "_bucket", "left"))
+    """(_bucket, _shard) for each prefix of ``depth`` bits: the shortest prefix over ``above`` bits that fits or can't be split, null if none does.
+
+    Depths are taken STEP at a time from the deepest up, and the sums of each step roll up to the next, which has up to 64 times fewer rows:
+    a bucket is looked at STEP times and not once a depth, and no prefix of a step has more than 64 buckets. A prefix that fits above wins.
+    """
+    sums = [F.sum("_b").alias("_b"), F.sum("_n").alias("_n"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")]
+    sized = rows.groupBy(_prefix(depth).alias("_bucket")).agg(F.sum("n_bytes").alias("_b"), F.count("*").alias("_n"), F.min("_h").alias("_lo"), F.max("_h").alias("_hi"))
+    steps = []
+    while True:
+        sized, low = checkpointed(sized), max(above, depth - STEP + 1)
+        spread = sized.withColumn("_d", F.explode(F.sequence(F.lit(low), F.lit(depth)))).withColumn("_p", F.expr(f"shiftright(_bucket, {depth} - _d)"))
+        fit = spread.groupBy("_d", "_p").agg(*sums).where((F.col("_b") <= limit) | (F.col("_lo") == F.col("_hi"))).select("_d", "_p", F.col("_b").alias("_sb"), F.col("_n").alias("_sn"))
+        found = spread.select("_bucket", "_d", "_p").join(fit, ["_d", "_p"]).groupBy("_bucket").agg(F.min(F.struct("_d", "_p", "_sb", "_sn")).alias("_shard"))
+        steps.append((sized.select("_bucket").join(found, "_bucket", "left"), depth - low + 1))
+        if low == above:
+            break
+        sized = sized.groupBy(F.shiftright("_bucket", depth - low + 1).alias("_bucket")).agg(*sums)
+        depth = low - 1
+    leaves, _ = steps.pop()
+    while steps:
+        own, bits = steps.pop()
+        upper = leaves.select(F.col("_bucket").alias("_up"), F.col("_shard").alias("_upper"))
+        leaves = own.join(upper, F.shiftright("_bucket", bits) == F.col("_up")).select("_bucket", F.coalesce("_upper", "_shard").alias("_shard"))
+    return checkpointed(leaves)
 
 
 def shard(docs: DataFrame, *, byte_limit: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
