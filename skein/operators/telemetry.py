@@ -6,28 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import constants as K
-from skein.functions.shared import broadcast_if_small, checkpointed
 from skein.operators import ranges
 
 
-#: Bins of the histogram that finds where a median lies.
+#: Bins of the histogram that finds where a median lies, for each factor of e.
 BINS = 4096
 
 
 def exact_median(df: DataFrame, by: str, value: str, bins: int = BINS) -> DataFrame:
     """(by, median) of the values that are not null; rows without ``by`` have no median.
 
-    Equal values are counted before they are shuffled. A histogram between the least and greatest value tells which bins hold the two
-    middle ranks, and only the values of those are sorted, so no task holds all values of a group.
+    Equal values are counted before they are shuffled. A histogram of bins whose width grows with the value tells which bins hold the two
+    middle ranks, and only the values of those are sorted, so no task holds all values of a group. Bins need neither the least nor the greatest
+    value, so the input is read once, and an outlier does not widen them.
     """
-    counts = checkpointed(df.where(F.col(by).isNotNull() & F.col(value).isNotNull()).groupBy(by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n")))
-    ends = counts.groupBy(by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    place = F.least(F.floor(F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * bins), F.lit(bins - 1))
-    binned = counts.join(broadcast_if_small(ends), by).select(by, "v", "n", "total", place.alias("bin"))
+    v = F.col("v")
+    counts = df.where(F.col(by).isNotNull() & F.col(value).isNotNull()).groupBy(by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    place = F.when(F.isnan(v), F.lit((1 << 63) - 1)).otherwise(F.floor(F.signum(v) * F.log1p(F.abs(v)) * bins))
+    binned = counts.withColumn("bin", place)
+    sizes = binned.groupBy(by, "bin").agg(F.sum("n").alias("size"))
+    sizes = sizes.withColumn("before", F.sum("size").over(Window.partitionBy(by).orderBy("bin")) - F.col("size")).withColumn("total", F.sum("size").over(Window.partitionBy(by)))
     low, high = F.expr("(total - 1) div 2"), F.expr("total div 2")
-    sizes = binned.groupBy(by, "bin").agg(F.sum("n").alias("size"), F.first("total").alias("total"))
-    sizes = sizes.withColumn("before", F.sum("size").over(Window.partitionBy(by).orderBy("bin")) - F.col("size"))
-    middle = sizes.where((F.col("before") <= high) & (F.col("before") + F.col("size") > low)).select(by, "bin", "before")
+    middle = sizes.where((F.col("before") <= high) & (F.col("before") + F.col("size") > low)).select(by, "bin", "before", "total")
     upto = F.col("before") + F.sum("n").over(Window.partitionBy(by, "bin").orderBy("v"))
     values = binned.join(middle, [by, "bin"]).withColumn("upto", upto).where((F.col("upto") > low) & (F.col("upto") - F.col("n") <= high))
     return values.groupBy(by).agg(((F.min("v") + F.max("v")) / 2).alias("median"))
