@@ -137,10 +137,11 @@ def similar_links(classes: DataFrame, count: int, known: DataFrame, paired: int
     own = _key_quarters(count)
     parts = F.array(*[F.xxhash64(F.lit(n), quarter[i], quarter[j]) for n, (i, j) in enumerate(own)])
     side = lambda x: vectors.select(F.col("v").alias(x), F.col("fp").alias(f"{x}_fp"), F.col("fps").alias(f"{x}_fps"))
-    bits = F.aggregate(F.zip_with("a_fps", "b_fps", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    bits = sum((F.bit_count(F.get("a_fps", F.lit(i)).bitwiseXOR(F.get("b_fps", F.lit(i)))) for i in range(count)), F.lit(0))
+    alike = (F.col("a_fp") != F.col("b_fp")) & (bits <= spread * count)
 
     def near(pairs: DataFrame) -> DataFrame:
-        met = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where((F.col("a_fp") != F.col("b_fp")) & (bits <= spread * count))
+        met = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(alike)
         return met.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
 
     def shared(keys: DataFrame) -> DataFrame:
@@ -159,10 +160,12 @@ def similar_links(classes: DataFrame, count: int, known: DataFrame, paired: int
         sizes = sizes.select("k", F.col("top.c").alias("top"), (F.col("n") - F.col("top.s")).alias("rest")).where("rest > 0")
         rows = checkpointed(rows.join(sizes, "k"))
         crowded = (F.col("rest") > paired) & (F.col("last") < len(quarter) - 1)
+        # distances are part of the join, so that only links leave it; a key has at most ``paired`` comparisons for each of its texts, or was split by all quarters
         few = rows.where(~crowded)
-        rest = few.where("c <> top").select("k", F.col("v").alias("a"), F.col("c").alias("ac"))
-        pairs = rest.join(few.select("k", F.col("v").alias("b"), F.col("c").alias("bc"), "top"), "k").where("ac <> bc AND (bc = top OR a < b)")
-        links = links.union(near(pairs.select("a", "b")))
+        rest = few.where("c <> top").select("k", F.col("v").alias("a"), F.col("c").alias("ac")).join(side("a"), "a")
+        others = few.select("k", F.col("v").alias("b"), F.col("c").alias("bc"), "top").join(side("b"), "b")
+        met = rest.join(others, "k").where(F.expr("ac <> bc AND (bc = top OR a < b)") & alike)
+        links = links.union(met.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")))
         many = rows.where(crowded).select("k", "v", "g", "last")
         if many.isEmpty():
             return links
