@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.shared import bound_batches, checkpointed, table
+from skein.functions.shared import bound_batches, broadcast_if_small, checkpointed, table
 from skein.llm.components import connected_components
 
 SHINGLE = 3
@@ -35,6 +35,12 @@ SPREAD = 7.75
 SPREAD_FIVE = 11.5
 #: Fingerprints that may share a block value and still be joined in pairs.
 PAIRED = 64
+#: Texts that are compared with as many others in one go.
+BLOCK = 1024
+#: Comparisons of texts in whole components that may take the place of one within a key.
+PER_ROW = 64
+#: One in so many keys is looked at before all of them.
+_STEP = 14
 _SLICE = 1 << 16
 
 
@@ -121,58 +127,74 @@ def _key_quarters(count: int) -> list[tuple[int, int]]:
     return within + [(4 * v + i, 4 * ((v + n) % count) + (i + n) % 4) for n in (1, 2) for v in range(count) for i in range(4) if n < count]
 
 
-def similar_links(classes: DataFrame, count: int, known: DataFrame, paired: int = PAIRED, spread: float = SPREAD) -> DataFrame:
-    """Links (a, b) between texts (fp, fps: their first and all of their ``count`` fingerprints; blocks: as many that keys are taken from, of the same or of shorter shingles) that differ in few bits of all fps together.
+def similar_links(classes: DataFrame, count: int, known: DataFrame, spread: float = SPREAD, block: int = BLOCK, per_row: int = PER_ROW) -> DataFrame:
+    """Links (a, b) between first fingerprints fp (fps: all ``count`` of a text; blocks: as many that keys are taken from, of the same or of shorter shingles) of which the components are those of ``known`` links (a, b) and all pairs of texts that share a key and differ in few bits of all fps together.
 
     Every pair of two quarters of one fingerprint is a key of 32 bits, and so is each quarter with one
-    quarter of the next two fingerprints. Distinct texts of a key are compared, in two steps. First each meets the key's first
-    one. Then texts that the links so far, ``known`` ones (a, b) included, have brought into one component need no more
-    comparisons with each other: of each key, the texts outside of its largest component are compared with all others.
-    A key with more than ``paired`` of them is split by every further quarter into smaller keys, and these again. No text
-    of a key is left out; only pairs of such a crowded key that agree in none of its further quarters do not meet there.
-    A pair shares a key with a probability that rises with its similarity.
+    quarter of the next two fingerprints. No key is capped or split, and no pair of a key is left out but those that links have already
+    brought into one component. Of each key only the texts outside of its largest component become rows. Each is compared
+    with a few texts of that component, first over a few keys, then over all. Those that stay outside are compared with all texts of the component,
+    of other keys too, once for all keys, and with all others that stay outside of it; where that takes over ``per_row`` comparisons for each that
+    the keys themselves ask for, as with two large components that meet in a key by chance, the texts of each key are compared instead. Comparisons
+    are part of the joins, so that only links leave them, and are cut into blocks of about ``block`` by ``block`` texts. Their number
+    grows with the square of a family of texts that share keys and are all unlike. A pair shares a key with a probability that rises with its similarity.
     """
     vectors = checkpointed(classes.select("fp", "fps", "blocks", F.xxhash64("fps", "blocks").alias("v")).distinct())
     quarter = [F.get("blocks", F.lit(v)).bitwiseAND(F.lit(m)) for v, _, m in _quarters(count)]
-    own = _key_quarters(count)
-    parts = F.array(*[F.xxhash64(F.lit(n), quarter[i], quarter[j]) for n, (i, j) in enumerate(own)])
-    side = lambda x: vectors.select(F.col("v").alias(x), F.col("fp").alias(f"{x}_fp"), F.col("fps").alias(f"{x}_fps"))
+    parts = [F.xxhash64(F.lit(n), quarter[i], quarter[j]) for n, (i, j) in enumerate(_key_quarters(count))]
     bits = sum((F.bit_count(F.get("a_fps", F.lit(i)).bitwiseXOR(F.get("b_fps", F.lit(i)))) for i in range(count)), F.lit(0))
-    alike = (F.col("a_fp") != F.col("b_fp")) & (bits <= spread * count)
-
-    def near(pairs: DataFrame) -> DataFrame:
-        met = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(alike)
-        return met.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
-
-    def shared(keys: DataFrame) -> DataFrame:
-        first = keys.groupBy("k").agg(F.min("v").alias("first"), F.count("*").alias("n")).where("n > 1")
-        return checkpointed(keys.join(first, "k"))
-
-    # g: number of the key; last: the last quarter that split it
-    rows = shared(vectors.select("v", F.posexplode(parts).alias("g", "k")).withColumn("last", F.lit(-1)))
-    links = known
-    while True:
-        links = checkpointed(links.union(near(rows.where("v <> first").select(F.col("first").alias("a"), F.col("v").alias("b")))))
-        named = connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("c"))
-        named = vectors.join(named, "fp", "left").select("v", F.coalesce("c", "fp").alias("c"))
-        rows = rows.where("n > 2").select("k", "v", "g", "last").join(named, "v")
-        sizes = rows.groupBy("k", "c").agg(F.count("*").alias("s")).groupBy("k").agg(F.sum("s").alias("n"), F.max(F.struct("s", "c")).alias("top"))
-        sizes = sizes.select("k", F.col("top.c").alias("top"), (F.col("n") - F.col("top.s")).alias("rest")).where("rest > 0")
-        rows = checkpointed(rows.join(sizes, "k"))
-        crowded = (F.col("rest") > paired) & (F.col("last") < len(quarter) - 1)
-        # distances are part of the join, so that only links leave it; a key has at most ``paired`` comparisons for each of its texts, or was split by all quarters
-        few = rows.where(~crowded)
-        rest = few.where("c <> top").select("k", F.col("v").alias("a"), F.col("c").alias("ac")).join(side("a"), "a")
-        others = few.select("k", F.col("v").alias("b"), F.col("c").alias("bc"), "top").join(side("b"), "b")
-        met = rest.join(others, "k").where(F.expr("ac <> bc AND (bc = top OR a < b)") & alike)
-        links = links.union(met.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")))
-        many = rows.where(crowded).select("k", "v", "g", "last")
-        if many.isEmpty():
-            return links
-        held = F.array(*[F.array(F.lit(i), F.lit(j)) for i, j in own])
-        split = many.join(vectors.select("v", "blocks"), "v").select("v", "g", "last", "k", F.get(held, F.col("g")).alias("own"), F.posexplode(F.array(*quarter)).alias("q", "x"))
-        split = split.where((F.col("q") > F.col("last")) & ~F.array_contains("own", F.col("q")))
-        rows = shared(split.select("v", "g", F.xxhash64("k", "q", "x").alias("k"), F.col("q").alias("last")))
+    alike = (F.col("ac") != F.col("bc")) & (bits <= spread * count)
+    side = lambda x: named.select(F.col("v").alias(x), F.col("c").alias(f"{x}c"), F.col("fps").alias(f"{x}_fps"))
+    between = lambda met: met.select(F.col("ac").alias("a"), F.col("bc").alias("b")).distinct()
+
+    def components() -> DataFrame:
+        """Texts with the component c of the links so far, which is one of its fingerprints."""
+        names = connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("c"))
+        return checkpointed(vectors.join(names, "fp", "left").withColumn("c", F.coalesce("c", "fp")))
+
+    def outside(some: list[Column]) -> DataFrame:
+        """Texts with each component (top) that is the largest of one of their keys and not their own: a few of its texts there, the keys, and its texts in them."""
+        keys = named.select("v", "c", F.explode(F.array(*some)).alias("k")).repartition("k")
+        sizes = keys.groupBy("k", "c").agg(F.count("*").alias("s"), F.min("v").alias("one")).groupBy("k").agg(F.count("*").alias("n"), F.max(F.struct("s", "c", "one")).alias("top")).where("n > 1")
+        rows = keys.join(sizes, "k").where("c <> top.c").select("k", "v", "top.*").withColumnRenamed("c", "top")
+        ones = F.array_distinct(F.array(F.max_by("one", "s"), F.min_by("one", F.xxhash64("k", F.lit(1))), F.min_by("one", F.xxhash64("k", F.lit(2)))))
+        return checkpointed(rows.groupBy("v", "top").agg(ones.alias("ones"), F.count("*").alias("shared"), F.sum("s").alias("held")))
+
+    links = checkpointed(known)
+    named = components()
+    for some in (parts[::_STEP], parts):
+        pairs = outside(some)
+        star = pairs.select(F.explode("ones").alias("a"), F.col("v").alias("b")).join(side("a"), "a").join(side("b"), "b").where(alike)
+        links = checkpointed(links.union(between(star)))
+        named = components()
+    names = named.select(F.col("fp").alias("top"), F.col("c").alias("_top")).distinct()
+    pairs = pairs.join(named.select("v", "c"), "v").join(names, "top").where("c <> _top").groupBy("v", F.col("_top").alias("top")).agg(F.sum("shared").alias("shared"), F.sum("held").alias("held"))
+    tops = pairs.groupBy("top").agg(F.count("*").alias("rest"), F.sum("shared").alias("keys")).join(named.groupBy(F.col("c").alias("top")).agg(F.count("*").alias("n")), "top")
+    pairs = pairs.join(tops, "top").where("n > 1 OR rest > 1")  # a single text was compared above
+    pairs = pairs.select("v", "top", "n", "rest", (F.col("n") <= per_row * F.col("held")).alias("whole"), (F.col("rest").cast("double") * F.col("rest") <= per_row * F.col("keys")).alias("others"))
+    pairs = checkpointed(pairs)
+    # a and b meet by x: a component and the texts outside of it, these among themselves, or a key
+    by = lambda *x: F.xxhash64(*x).alias("x")
+    others = pairs.where("others AND rest > 1").select(by("top", F.lit("others")), "v")
+    whole = pairs.where("whole AND n > 1")
+    one = whole.select(by("top", F.lit("whole")), "v").union(others)
+    other = named.join(whole.select(F.col("top").alias("c")).distinct(), "c").select(by("c", F.lit("whole")), "v").union(others)
+    left = pairs.where("NOT whole OR NOT others")
+    if not left.isEmpty():
+        left = checkpointed(left.join(named.select("v", "blocks"), "v").select("v", "top", "whole", "others", F.explode(F.array(*parts)).alias("k")))
+        met = named.select("v", "c", F.explode(F.array(*parts)).alias("k")).join(broadcast_if_small(left.where("NOT whole").select("k", "top").distinct()), "k").where("c = top")
+        met = checkpointed(met.select("k", "top", "v"))
+        apart = left.where("NOT others").select(by("k", F.lit("others")), "v").distinct()
+        one = one.union(left.where("NOT whole").join(met.select("k", "top").distinct(), ["k", "top"]).select(by("k", "top", F.lit("whole")), "v")).union(apart)
+        other = other.union(met.select(by("k", "top", F.lit("whole")), "v")).union(apart)
+    cut = lambda n: F.ceil(F.col(n) / block).cast("long")
+    grid = one.groupBy("x").agg(F.count("*").alias("n")).join(other.groupBy("x").agg(F.count("*").alias("m")), "x")
+    grid = checkpointed(grid.select("x", cut("n").alias("n"), cut("m").alias("m")))
+    place = lambda n: F.pmod(F.xxhash64("v", F.lit(0)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    a = one.join(grid, "x").select("x", F.col("v").alias("a"), place("n").alias("i"), every("m").alias("j")).join(side("a"), "a")
+    b = other.join(grid, "x").select("x", F.col("v").alias("b"), place("m").alias("j"), every("n").alias("i")).join(side("b"), "b")
+    return links.union(between(a.join(b, ["x", "i", "j"]).where(alike)))
 
 
 def near_duplicates(

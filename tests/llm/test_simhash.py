@@ -130,6 +130,55 @@ def test_pairs_that_are_not_near_the_first_of_their_key(spark, monkeypatch):
         assert got == {i: i % n for i in range(2 * n)}
 
 
+def test_pairs_of_a_crowded_key_that_agree_in_nothing_else(spark, monkeypatch):
+    rng = random.Random(13)
+    base = flipped([0] * 8, [b for b in range(512) if rng.random() < 0.5])
+    # all share the first half of the first fingerprint; a pair differs by two bits in every other quarter
+    far = [flipped(base, rng.sample(range(32, 512), 200)) for _ in range(50)]
+    near = [flipped(v, [16 * q + b for q in range(2, 32) for b in rng.sample(range(16), 2)]) for v in far]
+    assert names(spark, monkeypatch, far + near) == {i: i % 50 for i in range(100)}
+
+
+def test_links_of_all_pairs_that_share_a_key(spark):
+    """Small and large blocks, whole components or single keys: always the components of all pairs of a key."""
+    rng = random.Random(14)
+    unsigned = lambda x: x & (1 << 64) - 1
+    quarters = lambda v: [unsigned(x) >> 16 * i & 0xFFFF for x in v for i in range(4)]
+    bits = lambda a, b: sum((unsigned(x) ^ unsigned(y)).bit_count() for x, y in zip(a, b))
+    vectors = []
+    for _ in range(3):
+        one = flipped([0] * 2, rng.sample(range(128), 64))
+        vectors += [flipped(one, rng.sample(range(128), rng.randrange(3, 20))) for _ in range(50)]
+    vectors += [flipped(vectors[k], [*rng.sample(range(32, 128), 12)]) for k in range(0, 150, 5)]
+    first = {v[0]: v for v in vectors}  # texts of one first fingerprint are one anyway
+    vectors = sorted(first.values())
+    keys = [{(n, q[i], q[j]) for n, (i, j) in enumerate(simhash._key_quarters(2))} for q in map(quarters, vectors)]
+    root = {v[0]: v[0] for v in vectors}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(vectors):
+        for j in range(i):
+            if keys[i] & keys[j] and bits(a, vectors[j]) <= 15:
+                x, y = find(a[0]), find(vectors[j][0])
+                root[max(x, y)] = min(x, y)
+    want = {x: find(x) for x in root}
+    assert 3 < len(set(want.values())) < len(want) - 50
+    df = spark.createDataFrame([(v[0], v, v) for v in vectors], "fp long, fps array<long>, blocks array<long>")
+    none = spark.createDataFrame([], "a long, b long")
+    for block, per_row in ((1024, 0), (7, 0), (5, 64)):
+        links = simhash.similar_links(df, 2, none, spread=7.75, block=block, per_row=per_row)
+        got = {k: k for k in root} | {r.node: r.component for r in components.connected_components(links).collect()}
+        if per_row == 0:
+            assert got == want
+        # comparing whole components finds pairs beyond those of a key, never fewer
+        assert all(got[a] == got[b] for a, b in want.items())
+        assert all(r.a in first and r.b in first for r in links.collect())
+
+
 def test_every_text_of_a_first_fingerprint_is_a_candidate(spark, monkeypatch):
     rng = random.Random(12)
     one = flipped([0] * 8, [b for b in range(512) if rng.random() < 0.5])
