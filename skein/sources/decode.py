@@ -62,12 +62,14 @@ def decode(rows: DataFrame, column: str, fields: Sequence[Field]) -> tuple[DataF
     the fields: text that is null or no JSON, JSON that is no object, a required field that is missing, a value of another type, a value that is not among the field's. Fields that are not
     declared are passed over. A declared field takes the place of another column of its name. Empty tables give empty ones.
     """
-    parsed = rows.withColumn("_v", F.try_parse_json(F.col(column).cast("string")))
+    # an exploded value is computed once; as a column it would be computed anew for each use in the filters on reasons, which are pushed down to where it is made
+    once = lambda x: F.explode(F.array(x))
+    parsed = rows.withColumn("_v", once(F.try_parse_json(F.col(column).cast("string"))))
     v = F.col("_v")
     of_fields = F.array_compact(F.array(*[_reason(v, f) for f in fields]))
     none = F.array().cast("array<string>")
     reasons = F.when(v.isNull(), F.array(F.lit("not JSON"))).when(~F.schema_of_variant(v).startswith("OBJECT"), F.array(F.lit("not an object"))).otherwise(F.coalesce(of_fields, none))
-    judged = parsed.withColumn("_reasons", reasons)
+    judged = parsed.withColumn("_reasons", once(reasons))
     names = {f.name for f in fields}
     kept = [c for c in rows.columns if c != column and c not in names]
     good = judged.where(F.size("_reasons") == 0).select(*kept, *[_value(v, f).alias(f.name) for f in fields])

@@ -101,3 +101,10 @@ def test_questions_of_demoted_diagnoses(spark):
 @pytest.mark.parametrize("text,want", [("오 밀리그램 드세요", "5 밀리그램 드세요"), ("백사십오 mmHg 입니다", "145 mmHg 입니다"), ("일이 알", "일이 알"), ("오진 회", "오진 회"), ("하루 삼 회", "하루 3 회"), ("십 정", "10 정"), ("백", "백"), ("만 리터", "10000 리터"), ("이만삼천 번", "23000 번"), ("구십이  회", "구십이  회")])
 def test_numerals(spark, text, want):
     assert spark.createDataFrame([(text,)], "x string").select(T.normalize_numerals(F.col("x")).alias("y")).first().y == want
+
+
+def test_json_is_parsed_once(spark):
+    df = spark.createDataFrame([(1, '{"a": 1}'), (2, '{"a": "x"}'), (3, "{"), (4, None)], "id long, json string")
+    for side in decode.decode(df, "json", [decode.Field("a", "bigint", required=True)]):
+        plan = side._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert plan.count("parse_json") + plan.count("parsejson") == 1
