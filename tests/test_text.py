@@ -108,3 +108,16 @@ def test_fuzzy_names(spark):
     assert found(spark, "오늘 리시노프닐 드세요", 0.95) == []
     assert found(spark, "아스피린 을") == []
     assert found(spark, "메트 포르밍 과 와파링") == [("메트포르밍", "메트포르민", 0.8), ("와파링", "와파린", 0.667)]
+
+
+def test_strip_and_the_last_line(spark, tmp_path):
+    from skein.plans.text_queries import explanation_grounding
+
+    texts = ["", " ", "a", " a", "a\n", "\u3000a b\u2028", "a\u00a0", "\u0085\t", "a b", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(T.strip(F.col("t")).alias("s"), F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("r")).collect()
+    assert all(r.s == r.r for r in got) and got[5].s == "a b" and got[9].s is None
+    # after a last line feed there is an empty line
+    spark.createDataFrame([(3, "one\ntwo\n"), (6, "one\ntwo")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    report = {r.doc_id: r.issues for r in explanation_grounding(spark, str(tmp_path)).collect()}
+    assert report == {3: "warning_signs: 'not said:' is not grounded in the source transcript", 6: "warning_signs: 'not said: two' is not grounded in the source transcript"}
