@@ -108,3 +108,14 @@ def test_exact_median_with_ties_nulls_and_far_values(spark):
     rows = [(k, v) for k, values in groups.items() for v in values] + [("one", None), (None, 1.0)]
     got = telemetry.exact_median(spark.createDataFrame(rows, "stage string, ms double"), "stage", "ms", bins=8)
     assert {r.stage: r["median"] for r in got.collect()} == {k: float(np.median(v)) for k, v in groups.items()}
+
+
+def test_requests_for_assets_are_read_once(spark):
+    from skein.plans import registry
+
+    plan = registry.QUERIES["owned_assets"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 3 and plan.count("Join ") == 2
+    assets = spark.createDataFrame([("a", 1, "original"), ("a", 1, "original"), ("b", 1, "derived")], "asset_id string, encounter_id int, kind string")
+    asked = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 1), (None, 1), ("a", None)], "asset_id string, encounter_id int")
+    got = sorted((str(r.asset_id), str(r.encounter_id), r.granted) for r in store.with_grants(asked, assets).collect())
+    assert got == [("None", "1", False), ("a", "1", True), ("a", "1", True), ("a", "2", False), ("a", "None", False), ("b", "1", False)]
