@@ -97,6 +97,15 @@ def falling_pairs(weights: np.ndarray) -> list[tuple[int, int]]:
     return pairs
 
 
+def overlap_matrix(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted ref, sorted hyp, frames of each pair of them) of rows (ref, hyp, frames)."""
+    refs, rows = np.unique(group["ref"].to_numpy(), return_inverse=True)
+    hyps, columns = np.unique(group["hyp"].to_numpy(), return_inverse=True)
+    weights = np.zeros((len(refs), len(hyps)), dtype=group["frames"].dtype)
+    np.add.at(weights, (rows, columns), group["frames"].to_numpy())
+    return refs, hyps, weights
+
+
 def best_mapping(overlaps: DataFrame, key: str = "conv_id") -> DataFrame:
     """(key, ref, hyp): the one-to-one mapping of speakers with the greatest total overlap, from (key, ref, hyp, frames).
 
@@ -105,9 +114,9 @@ def best_mapping(overlaps: DataFrame, key: str = "conv_id") -> DataFrame:
     """
 
     def assign(group: pd.DataFrame) -> pd.DataFrame:
-        table = group.pivot_table(index="ref", columns="hyp", values="frames", aggfunc="sum", fill_value=0).sort_index().sort_index(axis=1)
-        pairs = (falling_pairs if table.shape[1] > K.EXACT_SPEAKERS else heaviest_pairs)(table.to_numpy())
-        return pd.DataFrame({key: group[key].iloc[0], "ref": [table.index[r] for r, _ in pairs], "hyp": [table.columns[h] for _, h in pairs]}).astype({"ref": object, "hyp": object})
+        refs, hyps, weights = overlap_matrix(group)
+        pairs = (falling_pairs if len(hyps) > K.EXACT_SPEAKERS else heaviest_pairs)(weights)
+        return pd.DataFrame({key: group[key].iloc[0], "ref": [refs[r] for r, _ in pairs], "hyp": [hyps[h] for _, h in pairs]}).astype({"ref": object, "hyp": object})
 
     kind = overlaps.schema[key].dataType.simpleString()
     return overlaps.select(key, "ref", "hyp", "frames").groupBy(key).applyInPandas(assign, f"{key} {kind}, ref string, hyp string")

@@ -119,3 +119,13 @@ def test_requests_for_assets_are_read_once(spark):
     asked = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 1), (None, 1), ("a", None)], "asset_id string, encounter_id int")
     got = sorted((str(r.asset_id), str(r.encounter_id), r.granted) for r in store.with_grants(asked, assets).collect())
     assert got == [("None", "1", False), ("a", "1", True), ("a", "1", True), ("a", "2", False), ("a", "None", False), ("b", "1", False)]
+
+
+def test_overlap_matrix():
+    import pandas as pd
+
+    from skein.operators.diarization import overlap_matrix
+
+    group = pd.DataFrame({"ref": ["b", "a", "b", "b"], "hyp": ["y", "x", "y", "x"], "frames": [3, 4, 5, 1]})
+    refs, hyps, weights = overlap_matrix(group)
+    assert (list(refs), list(hyps), weights.tolist()) == (["a", "b"], ["x", "y"], [[4, 0], [1, 8]])
