@@ -14,6 +14,7 @@ other, so a link to the smallest is enough.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -145,12 +146,12 @@ def similar_links(classes: DataFrame, count: int, known: DataFrame, spread: floa
     bits = sum((F.bit_count(F.get("a_fps", F.lit(i)).bitwiseXOR(F.get("b_fps", F.lit(i)))) for i in range(count)), F.lit(0))
     alike = (F.col("ac") != F.col("bc")) & (bits <= spread * count)
     side = lambda x: named.select(F.col("v").alias(x), F.col("c").alias(f"{x}c"), F.col("fps").alias(f"{x}_fps"))
-    between = lambda met: met.select(F.col("ac").alias("a"), F.col("bc").alias("b")).distinct()
+    between = lambda met: met.select(F.col("ac").alias("a"), F.col("bc").alias("b"))
 
-    def components() -> DataFrame:
-        """Texts with the component c of the links so far, which is one of its fingerprints."""
-        names = connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("c"))
-        return checkpointed(vectors.join(names, "fp", "left").withColumn("c", F.coalesce("c", "fp")))
+    def linked(links: DataFrame) -> DataFrame:
+        """Texts with the component c, which is one of its fingerprints, after further links between components."""
+        names = connected_components(links).select(F.col("node").alias("c"), F.col("component").alias("_c"))
+        return checkpointed(named.join(names, "c", "left").withColumn("c", F.coalesce("_c", "c")).drop("_c"))
 
     def outside(some: list[Column]) -> DataFrame:
         """Texts with each component (top) that is the largest of one of their keys and not their own: a few of its texts there, the keys, and its texts in them."""
@@ -160,13 +161,12 @@ def similar_links(classes: DataFrame, count: int, known: DataFrame, spread: floa
         ones = F.array_distinct(F.array(F.max_by("one", "s"), F.min_by("one", F.xxhash64("k", F.lit(1))), F.min_by("one", F.xxhash64("k", F.lit(2)))))
         return checkpointed(rows.groupBy("v", "top").agg(ones.alias("ones"), F.count("*").alias("shared"), F.sum("s").alias("held")))
 
-    links = checkpointed(known)
-    named = components()
+    named = vectors.withColumn("c", F.col("fp"))
+    named = linked(known)
     for some in (parts[::_STEP], parts):
         pairs = outside(some)
         star = pairs.select(F.explode("ones").alias("a"), F.col("v").alias("b")).join(side("a"), "a").join(side("b"), "b").where(alike)
-        links = checkpointed(links.union(between(star)))
-        named = components()
+        named = linked(between(star))
     names = named.select(F.col("fp").alias("top"), F.col("c").alias("_top")).distinct()
     pairs = pairs.join(named.select("v", "c"), "v").join(names, "top").where("c <> _top").groupBy("v", F.col("_top").alias("top")).agg(F.sum("shared").alias("shared"), F.sum("held").alias("held"))
     tops = pairs.groupBy("top").agg(F.count("*").alias("rest"), F.sum("shared").alias("keys")).join(named.groupBy(F.col("c").alias("top")).agg(F.count("*").alias("n")), "top")
@@ -175,26 +175,31 @@ def similar_links(classes: DataFrame, count: int, known: DataFrame, spread: floa
     pairs = checkpointed(pairs)
     # a and b meet by x: a component and the texts outside of it, these among themselves, or a key
     by = lambda *x: F.xxhash64(*x).alias("x")
-    others = pairs.where("others AND rest > 1").select(by("top", F.lit("others")), "v")
+    one, other = F.lit(1).alias("first"), F.lit(0).alias("first")
+    both = F.explode(F.array(F.lit(1), F.lit(0))).alias("first")
     whole = pairs.where("whole AND n > 1")
-    one = whole.select(by("top", F.lit("whole")), "v").union(others)
-    other = named.join(whole.select(F.col("top").alias("c")).distinct(), "c").select(by("c", F.lit("whole")), "v").union(others)
+    sides = [pairs.where("others AND rest > 1").select(by("top", F.lit("others")), "v", both), whole.select(by("top", F.lit("whole")), "v", one)]
+    sides.append(named.join(whole.select(F.col("top").alias("c")).distinct(), "c").select(by("c", F.lit("whole")), "v", other))
     left = pairs.where("NOT whole OR NOT others")
     if not left.isEmpty():
         left = checkpointed(left.join(named.select("v", "blocks"), "v").select("v", "top", "whole", "others", F.explode(F.array(*parts)).alias("k")))
         met = named.select("v", "c", F.explode(F.array(*parts)).alias("k")).join(broadcast_if_small(left.where("NOT whole").select("k", "top").distinct()), "k").where("c = top")
         met = checkpointed(met.select("k", "top", "v"))
-        apart = left.where("NOT others").select(by("k", F.lit("others")), "v").distinct()
-        one = one.union(left.where("NOT whole").join(met.select("k", "top").distinct(), ["k", "top"]).select(by("k", "top", F.lit("whole")), "v")).union(apart)
-        other = other.union(met.select(by("k", "top", F.lit("whole")), "v")).union(apart)
+        sides.append(left.where("NOT whole").join(met.select("k", "top").distinct(), ["k", "top"]).select(by("k", "top", F.lit("whole")), "v", one))
+        sides.append(met.select(by("k", "top", F.lit("whole")), "v", other))
+        sides.append(left.where("NOT others").select(by("k", F.lit("others")), "v").distinct().select("x", "v", both))
+    # many short parts become as many as any other table has
+    sides = checkpointed(reduce(DataFrame.union, sides).repartition("x", "v"))
+    one, other = sides.where("first = 1").drop("first"), sides.where("first = 0").drop("first")
+    grid = sides.groupBy("x").agg(F.sum("first").alias("n"), F.sum(1 - F.col("first")).alias("m")).where("n > 0 AND m > 0")
     cut = lambda n: F.ceil(F.col(n) / block).cast("long")
-    grid = one.groupBy("x").agg(F.count("*").alias("n")).join(other.groupBy("x").agg(F.count("*").alias("m")), "x")
     grid = checkpointed(grid.select("x", cut("n").alias("n"), cut("m").alias("m")))
     place = lambda n: F.pmod(F.xxhash64("v", F.lit(0)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     a = one.join(grid, "x").select("x", F.col("v").alias("a"), place("n").alias("i"), every("m").alias("j")).join(side("a"), "a")
     b = other.join(grid, "x").select("x", F.col("v").alias("b"), place("m").alias("j"), every("n").alias("i")).join(side("b"), "b")
-    return links.union(between(a.join(b, ["x", "i", "j"]).where(alike)))
+    last = between(a.join(b, ["x", "i", "j"]).where(alike))
+    return named.select(F.col("c").alias("a"), F.col("fp").alias("b")).where("a <> b").union(last)
 
 
 def near_duplicates(

@@ -205,6 +205,33 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_take_few_tables(spark, monkeypatch):
+    """However many rounds and edges are left to the driver, the components are the same; short tables take one round, which was two at least."""
+    rng = random.Random(22)
+    edges = [(i, i + 1) for i in range(-30, 60)] + [(1000, k) for k in range(900, 1100)] + [(rng.randrange(5000, 5400), rng.randrange(5000, 5400)) for _ in range(190)] + [(5, 5)]
+    met = {}
+    for a, b in edges:
+        if a != b:
+            met.setdefault(a, set()).add(b)
+            met.setdefault(b, set()).add(a)
+    want = {}
+    for x in sorted(met):
+        todo = [] if x in want else [x]
+        while todo:
+            if (y := todo.pop()) not in want:
+                want[y] = x
+                todo += met[y]
+    tables = []
+    held = components.checkpointed
+    monkeypatch.setattr(components, "checkpointed", lambda df: tables.append(df) or held(df))
+    df = spark.createDataFrame(edges, "a long, b long")
+    found = components.connected_components(df)
+    assert len(tables) <= 3
+    assert {r.node: r.component for r in found.collect()} == want
+    for rest in (0, 20):
+        assert {r.node: r.component for r in components.connected_components(df, rest).collect()} == want
+
+
 def test_null_ids_repeats_and_empty(spark):
     data = [(None, "one two three four"), (5, "one two three four"), (5, "one two three four"), (None, "alone here now then")]
     got = [(str(r.id), r.component) for r in simhash.near_duplicates(spark.createDataFrame(data, SCHEMA)).collect()]
